@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,7 +110,8 @@ class Lexicon:
     def table(self, spark: SparkSession) -> DataFrame:
         """The lists as ``(category, term)`` rows."""
         rows = [(c, t) for c in CATEGORIES for t in self.terms(c)]
-        return spark.createDataFrame(rows, "category string, term string")
+        columns = {"category": [c for c, _ in rows], "term": [t for _, t in rows]}
+        return spark.createDataFrame(pa.table(columns))
 
 
 def is_in(word: Column, terms: tuple[str, ...]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..functions.lexicon import Lexicon, is_in
+from ..functions.lexicon import Lexicon, is_in, only
 from ..functions.wording import CAPITALISED
 from .joins import BROADCAST_ROWS, join_lookup
 
@@ -119,12 +119,12 @@ def explain_words(
 ) -> DataFrame:
     """Per text: top words, lexicon words, and the first ``show`` of each direction."""
     words = T.lexical_words(T.tokens(F.col(text)))
-    with_words = texts.withColumn("_words", words)
-    for category in ("positive", "negative", "uncertainty"):
-        with_words = with_words.withColumn(
-            f"lexicon_{category}",
-            F.filter("_words", lambda w, c=category: is_in(w, lexicon.terms(c))),
-        )
+    with_words = texts.withColumn("_words", words).withColumns(
+        {
+            f"lexicon_{category}": only(F.col("_words"), lexicon.terms(category))
+            for category in ("positive", "negative", "uncertainty")
+        }
+    )
     lists = importance_lists(top_words_per_text(importance, k, key), key)
     empty = F.array().cast("array<struct<word:string,score:double,direction:string>>")
     joined = with_words.drop("_words").join(lists, key, "left").withColumn(

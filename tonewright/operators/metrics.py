@@ -30,9 +30,10 @@ def confusion_matrix(
 ) -> DataFrame:
     """All 3 x 3 cells, zeros included."""
     spark = df.sparkSession
-    classes = range(len(P.LABELS))
-    grid = spark.createDataFrame(
-        [(t, p) for t in classes for p in classes], "truth int, prediction int"
+    size = len(P.LABELS)
+    grid = spark.range(size * size).select(
+        F.floor(F.col("id") / size).cast("int").alias("truth"),
+        (F.col("id") % size).cast("int").alias("prediction"),
     )
     counts = _cells(df, truth, prediction, [])  # at most one row per cell joins the nine
     return grid.join(counts, ["truth", "prediction"], "left").select(
