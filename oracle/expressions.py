@@ -83,8 +83,8 @@ def size(x: str) -> str:
     return f"len({x})::int"
 
 
-def r9(x: str) -> str:
-    return f"(round({x}, 9) + 0.0e0)"
+def r6(x: str) -> str:
+    return f"(round({x}, 6) + 0.0e0)"
 
 
 def preview(x: str, n: int) -> str:
@@ -137,11 +137,15 @@ def found(x: str, words_) -> str:
     return "list_filter([" + ", ".join(q(w) for w in words_) + f"], lambda k: contains({x}, k))"
 
 
-def terms_1_2(x: str) -> str:
-    t = f"regexp_extract_all(lower({x}), {q(P.TERM)})"
+def single_terms(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), {q(P.TERM)})"
+
+
+def with_pairs(t: str) -> str:
+    """A list of words followed by its neighbouring pairs; ``t`` should be a plain column."""
     return (
-        f"list_concat({t}, list_transform(range(1, len({t})), "
-        f"lambda i: {t}[i] || ' ' || {t}[i + 1]))"
+        f"list_concat({t}, list_transform(list_zip({t}[:len({t}) - 1], {t}[2:]), "
+        f"lambda z: z[1] || ' ' || z[2]))"
     )
 
 

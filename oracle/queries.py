@@ -82,7 +82,7 @@ add("lexicon_word_lists", "select doc_id, " + ", ".join(
     f"coalesce(string_agg(term, ' ' order by position) filter (category = '{c}'), '') as {c}_words"
     for c in CATEGORIES[:3]) + " from hits group by doc_id", H, LEX_TABLE, exploded("h"))
 add("coef_lookup", "select doc_id, term, " + ", ".join(
-    f"{r9(c)} as {c}" for c in ("tfidf", "coef_neg", "coef_neu", "coef_pos"))
+    f"{r6(c)} as {c}" for c in ("tfidf", "coef_neg", "coef_neu", "coef_pos"))
     + " from w join coefs using (term)", headline_coefs())
 add("append_unseen_lexicon_words", f"""select doc_id, {joined('positive_words')} as positive_words,
   {joined('negative_words')} as negative_words, positive_added, negative_added from e""", explained())
@@ -108,11 +108,11 @@ from (select {renamed('grp', MODEL_OF_GROUP)} as model from h
 left join reg on reg.model = n.model left join gm on gm.name = n.model""", GROUP_METRICS, REGISTRY)
 F_ = f"{H}, {features('h')}"
 add("attach_predictions", f"""select doc_id, grp, dir, text, category as predicted_label,
-  {encode('category')} as predicted_class, {r9('confidence')} as confidence from f""", F_)
+  {encode('category')} as predicted_class, {r6('confidence')} as confidence from f""", F_)
 
 # --- corpus description and split -----------------------------------------------------------------
 add("label_distribution", f"""select label, count(*) as n,
-  {r9('count(*) * 100e0 / sum(count(*)) over ()')} as pct from corpus group by label""", CORPUS)
+  {r6('count(*) * 100e0 / sum(count(*)) over ()')} as pct from corpus group by label""", CORPUS)
 add("corpus_quality_report", f"""select count(*) as n_rows,
   (count(*) - count(distinct value))::bigint as n_duplicates,
   (count(*) filter ({strip('value')} = ''))::bigint as n_blank,
@@ -121,7 +121,7 @@ add("corpus_quality_report", f"""select count(*) as n_rows,
   (select count(distinct label) = 3 from ql) as labels_as_expected from ql""", LINES, """ql as (
   select *, case when doc_id % 7 = 0 then 'negative' when doc_id % 7 < 3 then 'positive'
     when doc_id % 7 = 6 then 'unsure' else 'neutral' end as label from lines)""")
-add("length_by_label", f"""select label, {r9('avg(' + size(tokens('sentence')) + ')')} as avg_words
+add("length_by_label", f"""select label, {r6('avg(' + size(tokens('sentence')) + ')')} as avg_words
 from corpus group by label""", CORPUS)
 add("length_histogram", f"""select label,
   least(29, floor((n_words - lo) * 30 / (hi - lo)))::int as bin, count(*)::bigint as n from (
@@ -133,7 +133,7 @@ add("length_histogram", f"""select label,
   from (select label, {size(tokens('sentence'))} as n_words from corpus)
   window l as (partition by label)) group by all""", CORPUS)
 add("class_weights", f"""select label, count(*) as n,
-  {r9('sum(count(*)) over ()::double / (count(*) over () * count(*))')} as weight
+  {r6('sum(count(*)) over ()::double / (count(*) over () * count(*))')} as weight
 from corpus group by label""", CORPUS)
 FOUND = f"found as (select distinct case when dir in ('new', 'flat') then dir else {LABEL} end as label from h)"
 add("label_set_check", """select label, 'unexpected' as problem from found
@@ -160,13 +160,13 @@ add("split_overlap", "select sentence, " + ", ".join(
 
 # --- aggregate sentiment and outlook ----------------------------------------------------------------
 def aggregate(by: str) -> str:
-    return f"""select {by + ',' if by else ''} total_texts, {r9('m')} as average_sentiment_score,
-  {r9('s')} as sentiment_std, positive_count, negative_count, neutral_count,
+    return f"""select {by + ',' if by else ''} total_texts, {r6('m')} as average_sentiment_score,
+  {r6('s')} as sentiment_std, positive_count, negative_count, neutral_count,
   case when positive_count > negative_count * 1.5e0 then 'bullish'
        when negative_count > positive_count * 1.5e0 then 'bearish' else 'mixed' end as overall_trend,
-  {r9('positive_count::double / total_texts')} as positive_ratio,
-  {r9('negative_count::double / total_texts')} as negative_ratio,
-  {r9('neutral_count::double / total_texts')} as neutral_ratio
+  {r6('positive_count::double / total_texts')} as positive_ratio,
+  {r6('negative_count::double / total_texts')} as negative_ratio,
+  {r6('neutral_count::double / total_texts')} as neutral_ratio
 from (select {by + ',' if by else ''} count(*) as total_texts, avg(score) as m, stddev_pop(score) as s,
   count(*) filter (category = 'positive') as positive_count,
   count(*) filter (category = 'negative') as negative_count,
@@ -178,7 +178,7 @@ add("aggregate_sentiment_overall", aggregate(""), F_)
 SCORED = f"""{gaps()}, {features('h')},
 s as (select doc_id, grp, case when text is null or {strip('text')} = '' then 'error' else category end as label,
   case when text is null or {strip('text')} = '' then 0e0 else confidence end as confidence from f)"""
-add("score_or_error", f"select doc_id, grp, label, {r9('confidence')} as confidence from s", SCORED)
+add("score_or_error", f"select doc_id, grp, label, {r6('confidence')} as confidence from s", SCORED)
 add("batch_summary", f"""select {mix_columns('grp')},
   case when greatest(pos, neu, neg, err) = err then 'Error' when greatest(pos, neu, neg) = neg then 'Negative'
        when greatest(pos, neu) = neu then 'Neutral' else 'Positive' end as dominant,
@@ -246,7 +246,7 @@ for _suffix, _by in (("", "grp"), ("_by_direction", "dir")):
 
 # --- evaluation -------------------------------------------------------------------------------------
 P_ = predicted()
-METRIC_COLUMNS = ", ".join(f"{r9(m)} as {m}" for m in METRICS)
+METRIC_COLUMNS = ", ".join(f"{r6(m)} as {m}" for m in METRICS)
 add("confusion_matrix", """select t::int as truth, q::int as prediction,
   (select count(*) from p where label = t and prediction = q) as n
 from (select unnest(range(3)) as t), (select unnest(range(3)) as q)""", P_)
@@ -255,8 +255,8 @@ add("classification_metrics", f"select {METRIC_COLUMNS} from (select {SUMMARY} f
 add("classification_metrics_by_group",
     f"select grp, {METRIC_COLUMNS} from (select grp, {SUMMARY} from cr group by grp)",
     P_, class_rates("p", "cr", "grp"))
-add("classification_report", f"""select name, {r9('precision')} as precision, {r9('recall')} as recall,
-  {r9('f1')} as f1, support::bigint as support from (
+add("classification_report", f"""select name, {r6('precision')} as precision, {r6('recall')} as recall,
+  {r6('f1')} as f1, support::bigint as support from (
   select {decode('class')} as name, precision, recall, f1, support from cr
   union all select 'accuracy', null, null, sum(correct)::double / sum(support), sum(support) from cr
   union all select 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) from cr
@@ -265,7 +265,7 @@ add("classification_report", f"""select name, {r9('precision')} as precision, {r
   from cr)""", P_, class_rates("p", "cr"))
 add("error_analysis", f"""select count(*) as n_samples,
   (count(*) filter (label <> prediction))::bigint as total_errors,
-  {r9('(count(*) filter (label <> prediction))::double / count(*)')} as error_rate,
+  {r6('(count(*) filter (label <> prediction))::double / count(*)')} as error_rate,
   concat_ws('; ',
     case when count(*) filter (label = 1 and prediction <> 1) > 0 then 'Neutral class is often confused with positive/negative' end,
     case when count(*) filter (label = 2 and prediction = 1) > 0 then 'Some positive texts lack strong positive indicators' end,
@@ -278,7 +278,7 @@ add("error_samples", f"""select doc_id, text, {preview('text', 80)} as shown,
 from p where label <> prediction order by doc_id limit 10""", P_)
 add("leaderboard", f"""select name, {METRIC_COLUMNS},
   row_number() over (order by f1_macro desc, name)::int as rank from gm""", GROUP_METRICS)
-add("best_model", f"select name, {r9('f1_macro')} as f1_macro from gm order by gm.f1_macro desc, name limit 1",
+add("best_model", f"select name, {r6('f1_macro')} as f1_macro from gm order by gm.f1_macro desc, name limit 1",
     GROUP_METRICS)
 add("union_results", f"""select name, {METRIC_COLUMNS} from (select * from gm
   union all select 'six_step_reasoning', * from (select {SUMMARY} from rcr))""", GROUP_METRICS,
@@ -304,36 +304,36 @@ for _name, _pattern, _fold, _source in (
         *([H] if _source == "h" else []))
 DOC_F = features("documents")
 add("size_stats", f"""select doc_id, word_count, char_count, sentence_count,
-  {r9('avg_word_length')} as avg_word_length from f""", F_)
+  {r6('avg_word_length')} as avg_word_length from f""", F_)
 add("size_stats_documents", f"""select doc_id, word_count, char_count, sentence_count,
-  {r9('avg_word_length')} as avg_word_length, neg as negative_word_count from f""", DOC_F)
+  {r6('avg_word_length')} as avg_word_length, neg as negative_word_count from f""", DOC_F)
 add("lexicon_features", f"""select doc_id, pos as positive_word_count, neg as negative_word_count,
   unc as uncertainty_word_count, lit as litigious_word_count, {joined('positive_words')} as positive_words,
   {joined('negative_words')} as negative_words, {joined('uncertainty_words')} as uncertainty_words from f""", F_)
-add("sentiment_score", f"select doc_id, {r9('score')} as score from f", H, features("h", negations=False))
-add("negation_flip", f"""select doc_id, has_negation, ngt as negation_count, {r9('score')} as score
+add("sentiment_score", f"select doc_id, {r6('score')} as score from f", H, features("h", negations=False))
+add("negation_flip", f"""select doc_id, has_negation, ngt as negation_count, {r6('score')} as score
 from f""", F_)
-add("uncertainty_score", f"select doc_id, {r9('uncertainty_score')} as score from f", F_)
-add("subjectivity_score", f"select doc_id, {r9('subjectivity_score')} as score from f", F_)
+add("uncertainty_score", f"select doc_id, {r6('uncertainty_score')} as score from f", F_)
+add("subjectivity_score", f"select doc_id, {r6('subjectivity_score')} as score from f", F_)
 add("punctuation_counts", """select doc_id, (length(text) - length(replace(text, '!', '')))::int as exclamations,
   (length(text) - length(replace(text, '?', '')))::int as questions from documents""")
 add("sentiment_category", "select doc_id, category from f", F_)
-add("lexicon_confidence", f"select doc_id, {r9('confidence')} as confidence from f", F_)
+add("lexicon_confidence", f"select doc_id, {r6('confidence')} as confidence from f", F_)
 add("feature_explanation", f"select doc_id, {explanation()} as explanation from f", F_)
 add("list_caps", f"""select doc_id, {joined('numbers[1:10]')} as numbers,
   {joined('companies[1:10]')} as companies, {joined('negative_words[1:10]')} as negative_words from f""", DOC_F)
-add("analyze", f"""select doc_id, cleaned as cleaned_text, category, {r9('score')} as score,
-  {r9('confidence')} as confidence, {explanation()} as explanation, word_count, char_count, sentence_count,
+add("analyze", f"""select doc_id, cleaned as cleaned_text, category, {r6('score')} as score,
+  {r6('confidence')} as confidence, {explanation()} as explanation, word_count, char_count, sentence_count,
   pos as positive_word_count, neg as negative_word_count, unc as uncertainty_word_count,
-  lit as litigious_word_count, {r9('avg_word_length')} as avg_word_length,
+  lit as litigious_word_count, {r6('avg_word_length')} as avg_word_length,
   {joined('positive_words[1:10]')} as positive_words, {joined('negative_words[1:10]')} as negative_words,
   {joined('uncertainty_words[1:10]')} as uncertainty_words, {joined('numbers[1:10]')} as numbers,
   {joined('percentages')} as percentages, {joined('currencies')} as currencies,
-  {joined('companies')} as companies, {r9('uncertainty_score')} as uncertainty_score,
-  {r9('subjectivity_score')} as subjectivity_score, has_negation, ngt as negation_count,
+  {joined('companies')} as companies, {r6('uncertainty_score')} as uncertainty_score,
+  {r6('subjectivity_score')} as subjectivity_score, has_negation, ngt as negation_count,
   exclamation_count, question_count from f""", F_)
 add("get_lexicon_sentiment", f"""select doc_id, pos as positive_count, neg as negative_count,
-  unc as uncertainty_count, {r9('score')} as sentiment_score, {joined('positive_words')} as positive_words,
+  unc as uncertainty_count, {r6('score')} as sentiment_score, {joined('positive_words')} as positive_words,
   {joined('negative_words')} as negative_words, {joined('uncertainty_words')} as uncertainty_words from f""", F_)
 
 
@@ -348,66 +348,66 @@ def probabilities(items: list[str], names=("p0", "p1", "p2")) -> str:
 
 NAMES = ["p0", "p1", "p2"]
 SOFT = f"s as (select vec_id, {probabilities(vector(0))} from embeddings)"
-add("softmax", "select vec_id, " + ", ".join(f"{r9(p)} as {p}" for p in NAMES) + " from s", SOFT)
+add("softmax", "select vec_id, " + ", ".join(f"{r6(p)} as {p}" for p in NAMES) + " from s", SOFT)
 add("argmax_label", f"""select vec_id, {argmax(NAMES)}::int as prediction, {decode(argmax(NAMES))} as label,
-  {r9('greatest(p0, p1, p2)')} as confidence from s""", SOFT)
-add("reorder_probabilities", f"""select vec_id, {r9('p1')} as negative, {r9('p2')} as neutral,
-  {r9('p0')} as positive from s""", SOFT)
+  {r6('greatest(p0, p1, p2)')} as confidence from s""", SOFT)
+add("reorder_probabilities", f"""select vec_id, {r6('p1')} as negative, {r6('p2')} as neutral,
+  {r6('p0')} as positive from s""", SOFT)
 add("prediction_record", f"""select doc_id, {preview('text', 100)} as shown, {argmax(NAMES)}::int as prediction,
-  {decode(argmax(NAMES))} as label, {r9('greatest(p0, p1, p2)')} as confidence, {r9('p0')} as negative,
-  {r9('p1')} as neutral, {r9('p2')} as positive from s""", F_,
+  {decode(argmax(NAMES))} as label, {r6('greatest(p0, p1, p2)')} as confidence, {r6('p0')} as negative,
+  {r6('p1')} as neutral, {r6('p2')} as positive from s""", F_,
     f"s as (select doc_id, text, {probabilities(['neg * 1e0', '0.5e0', 'pos * 1e0'])} from f)")
 _members = [softmax(vector(i)) for i in (0, 3, 6)]
 _mean = ", ".join(f"({' + '.join(m[c] for m in _members)}) / 3 as p{c}" for c in range(3))
-add("soft_vote", "select vec_id, " + ", ".join(f"{r9(p)} as {p}" for p in NAMES)
-    + f", {argmax(NAMES)}::int as prediction, {r9('greatest(p0, p1, p2)')} as confidence from s",
+add("soft_vote", "select vec_id, " + ", ".join(f"{r6(p)} as {p}" for p in NAMES)
+    + f", {argmax(NAMES)}::int as prediction, {r6('greatest(p0, p1, p2)')} as confidence from s",
     f"s as (select vec_id, {_mean} from embeddings)")
 _counts = [f"(length(text) - length(replace(text, '{c}', ''))) / 4e0" for c in "aeo"]
 _class = ["p1", "p2", "p0"]  # external order positive, negative, neutral
 add("score_external", f"""select doc_id, {argmax(_class)}::int as prediction, {decode(argmax(_class))} as label,
-  {r9('greatest(p0, p1, p2)')} as confidence, {r9('p1')} as negative, {r9('p2')} as neutral,
-  {r9('p0')} as positive from s""", H, f"s as (select doc_id, {probabilities(_counts)} from h)")
+  {r6('greatest(p0, p1, p2)')} as confidence, {r6('p1')} as negative, {r6('p2')} as neutral,
+  {r6('p0')} as positive from s""", H, f"s as (select doc_id, {probabilities(_counts)} from h)")
 
 # --- TF-IDF and naive Bayes -------------------------------------------------------------------------------
-add("tokens_1_2gram", f"""select doc_id, {joined(terms_1_2('text'))} as terms,
-  {size(terms_1_2('text'))} as n_terms from documents""")
+add("tokens_1_2gram", f"""select doc_id, {joined(with_pairs('t'))} as terms,
+  {size(with_pairs('t'))} as n_terms from (select doc_id, {single_terms('text')} as t from documents)""")
 DOC_W = tfidf("documents")
 add("term_document_stats", "select term, df, cf from w_stats", DOC_W)
-add("vocabulary_top_k", f"select term, df, cf, {r9('idf')} as idf from w_vocab", DOC_W)
-add("tfidf_documents", f"select doc_id, term, tf, {r9('tfidf')} as tfidf from w", DOC_W)
-add("tfidf_headlines", f"select doc_id, term, tf, {r9('tfidf')} as tfidf from w", headline_weights())
+add("vocabulary_top_k", f"select term, df, cf, {r6('idf')} as idf from w_vocab", DOC_W)
+add("tfidf_documents", f"select doc_id, term, tf, {r6('tfidf')} as tfidf from w", DOC_W)
+add("tfidf_headlines", f"select doc_id, term, tf, {r6('tfidf')} as tfidf from w", headline_weights())
 LABELLED_NB = f"{LABELLED}, {tfidf('labelled')}, {bayes('w', 'labelled')}"
-add("naive_bayes_model", "select term, " + ", ".join(f"{r9(f'lp{c}')} as log_prob_{c}" for c in range(3))
+add("naive_bayes_model", "select term, " + ", ".join(f"{r6(f'lp{c}')} as log_prob_{c}" for c in range(3))
     + " from nb", LABELLED_NB)
 _joint = ", ".join(
     f"""coalesce(s{c}, 0e0) + ln((select count(*) filter (label = {c}) from labelled)::double
       / (select count(*) from labelled)) as jll_{c}""" for c in range(3))
 _sums = ", ".join(f"sum(tfidf * lp{c}) as s{c}" for c in range(3))
 _jll = [f"jll_{c}" for c in range(3)]
-add("naive_bayes_predictions", "select doc_id, " + ", ".join(f"{r9(j)} as {j}" for j in _jll)
+add("naive_bayes_predictions", "select doc_id, " + ", ".join(f"{r6(j)} as {j}" for j in _jll)
     + f", {argmax(_jll)}::int as prediction from j", LABELLED_NB,
     f"sc as (select doc_id, {_sums} from w join nb using (term) group by doc_id)",
     f"j as (select doc_id, {_joint} from labelled left join sc using (doc_id))")
 
 # --- word importance ----------------------------------------------------------------------------------------
 IMP = importance()
-add("word_importance", f"select doc_id, word, {r9('score')} as score, direction from imp", IMP)
+add("word_importance", f"select doc_id, word, {r6('score')} as score, direction from imp", IMP)
 _first = "string_split(lower(term), ' ')[1]"
-add("word_importance_without_coefs", f"""select doc_id, term as word, {r9('tfidf')} as score,
+add("word_importance_without_coefs", f"""select doc_id, term as word, {r6('tfidf')} as score,
   case when {_first} in {sql_list(LEX.positive)} then 'positive'
        when {_first} in {sql_list(LEX.negative)} then 'negative' else 'neutral' end as direction from w""",
     headline_weights())
-add("top_words_per_text", f"select doc_id, word, {r9('score')} as score, direction, rank from top20", IMP)
-add("top_words_by_direction", f"""select doc_id, word, {r9('score')} as score, direction, rank,
+add("top_words_per_text", f"select doc_id, word, {r6('score')} as score, direction, rank from top20", IMP)
+add("top_words_by_direction", f"""select doc_id, word, {r6('score')} as score, direction, rank,
   place from (select *, row_number() over (partition by doc_id, direction order by rank)::int as place from top20)
 where place <= 5""", IMP)
-TOP_FEATURES = """tf as (select *, row_number() over (partition by class order by round(coef, 9) desc, term)::int as rank
+TOP_FEATURES = """tf as (select *, row_number() over (partition by class order by round(coef, 6) desc, term)::int as rank
 from (select term, 'negative' as class, coef_neg as coef from coefs
   union all select term, 'neutral', coef_neu from coefs
   union all select term, 'positive', coef_pos from coefs))"""
-add("top_features_per_class", f"select term, class, {r9('coef')} as coef, rank from tf where rank <= 10",
+add("top_features_per_class", f"select term, class, {r6('coef')} as coef, rank from tf where rank <= 10",
     headline_coefs(), TOP_FEATURES)
-add("class_word_comparison", f"""select term as word, {r9('coef')} as score,
+add("class_word_comparison", f"""select term as word, {r6('coef')} as score,
   upper(class[1]) || class[2:] as sentiment from tf where rank <= 5""", headline_coefs(), TOP_FEATURES)
 E_ = explained()
 add("explain_prediction", f"""select doc_id, category as prediction,
@@ -455,12 +455,12 @@ for _i, _name in enumerate((
     "reasoning_calibration", "reasoning_synthesis",
 )):
     add(_name, f"""select doc_id, {q(W.STEPS[_i])} as step, o{_i + 1} as observation, w{_i + 1} as reasoning,
-  c{_i + 1} as conclusion, {r9(_confidence[_i])} as confidence from r""", R_)
-add("reasoning_final", f"""select doc_id, final_sentiment, {r9('final_confidence')} as final_confidence,
+  c{_i + 1} as conclusion, {r6(_confidence[_i])} as confidence from r""", R_)
+add("reasoning_final", f"""select doc_id, final_sentiment, {r6('final_confidence')} as final_confidence,
   reasoning from r""", R_)
 add("reasoning_key_factors", f"select doc_id, {joined('key_factors')} as key_factors from r", R_)
 add("reasoning_trace", f"select doc_id, {trace()} as trace from r", R_)
-add("reasoning_documents", f"""select doc_id, final_sentiment, {r9('final_confidence')} as final_confidence,
+add("reasoning_documents", f"""select doc_id, final_sentiment, {r6('final_confidence')} as final_confidence,
   {joined('key_factors')} as key_factors from r""", reasoning("documents"))
 add("reasoning_without_lexicon", f"""select doc_id, final_sentiment, {joined('key_factors')} as key_factors
 from r""", H, reasoning("h", fallback=True))
@@ -479,7 +479,7 @@ add("comprehensive_explanation", f"""select doc_id,
   case when model_confidence > 0.85e0 then {_told['high']} when model_confidence > 0.65e0 then {_told['moderate']}
        else {_told['low']} end as confidence_explanation,
   {joined('key_factors')} as key_factors, final_sentiment as reasoning_prediction,
-  {r9('final_confidence')} as reasoning_confidence, lower(model_label) = final_sentiment as agreement,
+  {r6('final_confidence')} as reasoning_confidence, lower(model_label) = final_sentiment as agreement,
   reasoning, {trace()} as trace from r""", MODEL_R)
 add("sample_analyses", f"""select doc_id, {preview('text', 100)} as shown, model_label as prediction,
   {joined('key_factors[1:3]')} as key_factors from r order by doc_id limit 3""", MODEL_R)

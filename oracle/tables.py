@@ -140,7 +140,8 @@ def tfidf(source: str, name: str = "w", top: int = 10_000) -> str:
     return f"""
 {name}_tf as materialized (
   select doc_id, term, count(*) as tf
-  from (select doc_id, unnest({terms_1_2('text')}) as term from {source}) group by all),
+  from (select doc_id, unnest({with_pairs('t')}) as term
+    from (select doc_id, {single_terms('text')} as t from {source})) group by all),
 {name}_stats as materialized (
   select term, count(*) as df, sum(tf)::bigint as cf from {name}_tf group by term),
 {name}_n as (select count(*) as n from {source}),
@@ -194,7 +195,7 @@ imp as materialized (select doc_id, term as word,
        when abs(coef_neg) >= abs(coef_neu) then 'negative' else 'neutral' end as direction
   from w join coefs using (term)),
 top20 as materialized (select * from (
-  select *, row_number() over (partition by doc_id order by round(score, 9) desc, word)::int as rank
+  select *, row_number() over (partition by doc_id order by round(score, 6) desc, word)::int as rank
   from imp) where rank <= 20)"""
 
 
@@ -344,5 +345,5 @@ m as (select *, pos::double / total * 100 as pos_pct, neu::double / total * 100
 
 
 def mix_columns(by: str) -> str:
-    return f"""{by}, total, pos, neu, neg, err, {r9('avg_confidence')} as avg_confidence,
-  {r9('pos_pct')} as pos_pct, {r9('neu_pct')} as neu_pct, {r9('neg_pct')} as neg_pct"""
+    return f"""{by}, total, pos, neu, neg, err, {r6('avg_confidence')} as avg_confidence,
+  {r6('pos_pct')} as pos_pct, {r6('neu_pct')} as neu_pct, {r6('neg_pct')} as neg_pct"""

@@ -29,9 +29,12 @@ AMOUNT = rf"[-+]?{D}+(?:,{D}{{3}})*(?:\.{D}+)?{SCALE}"
 PERCENT = rf"[-+]?{D}+(?:\.{D}+)?%"
 CURRENCY = rf"(?:USD|EUR|GBP|JPY|CNY|INR|\$|€|£|¥|₹){WS}*{AMOUNT}"
 NUMBER = AMOUNT
+COMPANY_SUFFIX = (
+    "(?:Inc|Corp|Ltd|LLC|Group|Holdings|Co|Company|Industries|Technologies|Systems|Solutions"
+    "|Services)"
+)
 COMPANY = (
-    rf"(?:[A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)*{WS}+(?:Inc|Corp|Ltd|LLC|Group|Holdings|Co|Company"
-    r"|Industries|Technologies|Systems|Solutions|Services)\.?)|(?:[A-Z]{2,5})"
+    rf"(?:[A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)*{WS}+{COMPANY_SUFFIX}\.?)|(?:[A-Z]{{2,5}})"
 )
 FISCAL = rf"(?:Q[1-4]|FY{D}{{2,4}}|H[12]|fiscal{WS}+(?:year|quarter))"
 DATE = (
@@ -66,7 +69,8 @@ TOPICS = (
 )
 OTHER_TOPIC = "general financial news"
 STEP_CURRENCY = rf"(?i)\${D}+(?:\.{D}+)?(?:{WS}*(?:million|billion|trillion|[MBT]))?\b"
-STEP_COMPANY = rf"\b[A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)*{WS}+(?:Inc|Corp|Ltd|LLC|Co)\.?\b"
+STEP_COMPANY_SUFFIX = r"(?:Inc|Corp|Ltd|LLC|Co)\.?\b"
+STEP_COMPANY = rf"\b[A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)*{WS}+{STEP_COMPANY_SUFFIX}"
 STEP_NEGATIONS = (
     "not", "no", "never", "neither", "cannot", "can't", "won't", "don't", "didn't", "without", "fail",
 )
@@ -99,6 +103,36 @@ HIGHLIGHT_COLOURS = {
 }
 
 
+# Java's regex engine recurses on repeated groups and rescans on failure: a long text could
+# overflow the stack or take quadratic time. The forms below match exactly what the plain ones
+# match, in linear time: quantifiers that never need to give back are possessive, a run is only
+# entered at its start, and the cheapest test comes first. The JAVA_ forms that name a plain
+# space are for text whose whitespace has been squashed to single spaces.
+JAVA_WS = r"(?U)[\s\x1c-\x1f]"  # the same characters as WS
+JAVA_URL = r"https?://[^ ]+|www\.[^ ]+"
+JAVA_EMAIL = r"[^ ](?<![^ ]{2})[^ ]*@[^ ]++"
+JAVA_NEEDS_REPAIR = r"@|://|www\.|â€"
+JAVA_QUANTITY = rf"{D}(?<!{D}{D}){D}*+(?:\.{D}++)?+"
+JAVA_PERCENT = rf"[-+]?+{JAVA_QUANTITY}%"
+JAVA_PLACEHOLDERS = (
+    (" _PERCENT_ ", JAVA_PERCENT),
+    (" _BILLION_DOLLARS_ ", rf"(?i)\$?+{JAVA_QUANTITY} ?+(?:billion|bn)(?![\p{{L}}\p{{N}}_])"),
+    (" _MILLION_DOLLARS_ ", rf"(?i)\$?+{JAVA_QUANTITY} ?+(?:million|mn|m)(?![\p{{L}}\p{{N}}_])"),
+    (" _TRILLION_DOLLARS_ ", rf"(?i)\$?+{JAVA_QUANTITY} ?+(?:trillion|tn|tr)(?![\p{{L}}\p{{N}}_])"),
+    (" _CURRENCY_ ", rf"\${D}+(?:,{D}{{3}})*(?:\.{D}+)?"),
+)
+JAVA_CURRENCY = rf"(?:[$€£¥₹]|(?=[UEGJCI])(?:USD|EUR|GBP|JPY|CNY|INR)){WS}*{AMOUNT}"
+
+
+def name_runs(suffix: str) -> str:
+    """Runs of capitalised words: up to the last suffix word if there is one (group 1), else the
+    whole run."""
+    word = "[A-Z][a-z]++"
+    plain = rf"(?:{WS}++(?!{suffix}){word})*+"
+    inner = rf"(?:{plain}{WS}++(?={suffix}){word}(?={plain}{WS}++{suffix}))*+"
+    return rf"({word}{inner}{plain}{WS}++{suffix})|{word}{plain}"
+
+
 def word_boundary_aware(pattern: str) -> str:
     """Make ``\\b`` see letters of every script in Java's regex engine."""
     if r"\b" not in pattern:

@@ -10,31 +10,37 @@ from . import patterns as P
 
 def strip(text: Column) -> Column:
     """Drop leading and trailing whitespace of any script (SQL ``trim`` drops spaces only)."""
-    return F.regexp_replace(text, f"^{P.WS}+|{P.WS}+$", "")
+    space = r"[\s\x1c-\x1f]"
+    return F.regexp_replace(text, rf"(?U)^{space}++|{space}(?<!{space}{{2}}){space}*+\z", "")
 
 
 def squash(text: Column) -> Column:
     """Turn every whitespace run into one space."""
-    return F.regexp_replace(text, f"{P.WS}+", " ")
+    return F.regexp_replace(text, f"{P.JAVA_WS}+", " ")
 
 
 def is_blank(text: Column) -> Column:
     """True for null text and for text made of whitespace only."""
-    return F.coalesce(strip(text) == "", F.lit(True))
+    return F.coalesce(~F.rlike(text, F.lit(P.NOT_WS)), F.lit(True))
 
 
 def clean_text(text: Column) -> Column:
     """Model text: lower case, single spaces, only word characters and ``. , % $ - +``."""
-    return strip(F.regexp_replace(squash(F.lower(text)), P.NOT_MODEL_TEXT, ""))
+    return F.trim(F.regexp_replace(squash(F.lower(text)), f"{P.NOT_MODEL_TEXT}+", ""))
 
 
 def clean_financial_text(text: Column) -> Column:
     """Repair mis-decoded quotes and blank out URLs and e-mail addresses."""
-    out = squash(text)
+    plain = squash(text)
+    repaired = plain
     for broken, fixed in P.MOJIBAKE:
-        out = F.replace(out, F.lit(broken), F.lit(fixed))
-    out = F.regexp_replace(out, P.URL, " ")
-    return strip(F.regexp_replace(out, P.EMAIL, " "))
+        repaired = F.replace(repaired, F.lit(broken), F.lit(fixed))
+    repaired = F.regexp_replace(repaired, P.JAVA_URL, " ")
+    repaired = F.regexp_replace(repaired, P.JAVA_EMAIL, " ")
+    # most texts need none of this; one test is cheaper than all the replacements
+    return F.trim(
+        F.when(F.rlike(plain, F.lit(P.JAVA_NEEDS_REPAIR)), repaired).otherwise(plain)
+    )
 
 
 def normalize_text(
@@ -44,26 +50,31 @@ def normalize_text(
     normalize_numbers: bool = True,
 ) -> Column:
     """Replace amounts by placeholders, then lower-case and squash whitespace."""
-    out = text
+    out = squash(text)
     if normalize_numbers:
-        for placeholder, pattern in P.PLACEHOLDERS:
-            out = F.regexp_replace(out, P.word_boundary_aware(pattern), placeholder)
+        replaced = out
+        for placeholder, pattern in P.JAVA_PLACEHOLDERS:
+            replaced = F.regexp_replace(replaced, pattern, placeholder)
+        out = F.when(F.rlike(out, F.lit(P.D)), replaced).otherwise(out)
     if lowercase:
         out = F.lower(out)
     if remove_punctuation:
         out = F.translate(out, P.PUNCTUATION, "")
-    return strip(squash(out))
+    return F.trim(F.regexp_replace(out, " {2,}", " "))
+
+
+def _pieces(squashed: Column) -> Column:
+    return F.array_remove(F.split(squashed, " "), "")
 
 
 def tokens(text: Column) -> Column:
     """Split on whitespace; no empty tokens."""
-    return F.filter(F.split(text, f"{P.WS}+"), lambda t: t != "")
+    return _pieces(squash(text))
 
 
-def lexical_words(token_array: Column) -> Column:
+def lexical_words(text: Column) -> Column:
     """Lower-cased tokens without non-word characters; tokens that vanish are dropped."""
-    bare = F.transform(token_array, lambda t: F.regexp_replace(F.lower(t), P.NOT_WORD, ""))
-    return F.filter(bare, lambda w: w != "")
+    return _pieces(F.regexp_replace(F.lower(squash(text)), r"[^\p{L}\p{N}_ ]+", ""))
 
 
 def word_count(text: Column) -> Column:
@@ -87,11 +98,11 @@ def find_all(text: Column, pattern: str, ignore_case: bool = False) -> Column:
 
 
 def percentages(text: Column) -> Column:
-    return find_all(text, P.PERCENT)
+    return find_all(text, P.JAVA_PERCENT)
 
 
 def currencies(text: Column) -> Column:
-    return find_all(text, P.CURRENCY, ignore_case=True)
+    return find_all(text, P.JAVA_CURRENCY, ignore_case=True)
 
 
 def numbers(text: Column) -> Column:
@@ -99,8 +110,30 @@ def numbers(text: Column) -> Column:
 
 
 def companies(text: Column, ignore_case: bool = True) -> Column:
-    """Company-like spans. With ``ignore_case`` (default) any 2-5 letters count, as the rules say."""
-    return find_all(text, P.COMPANY, ignore_case)
+    """Company-like spans. With ``ignore_case`` (default) any 2-5 letters count, as the rules say.
+
+    Runs of words are taken first; a run without a company suffix is then cut into letter groups.
+    """
+    letters = "[A-Z]{2,5}"
+    suffix = ("(?i)" if ignore_case else "") + P.WS + P.COMPANY_SUFFIX
+    runs = find_all(text, rf"{P.name_runs(P.COMPANY_SUFFIX + r'\.?')}|{letters}", ignore_case)
+    named = F.flatten(F.transform(
+        runs,
+        lambda run: F.when(F.rlike(run, F.lit(suffix)), F.array(run)).otherwise(
+            find_all(run, letters, ignore_case)
+        ),
+    ))
+    # without any suffix in the text there are only letter groups
+    return F.when(F.rlike(text, F.lit(suffix)), named).otherwise(
+        find_all(text, letters, ignore_case)
+    )
+
+
+def step_companies(text: Column) -> Column:
+    """Capitalised words that end in one of the few suffixes the reasoning steps know."""
+    runs = P.word_boundary_aware(rf"\b(?:{P.name_runs(P.STEP_COMPANY_SUFFIX)})")
+    named = F.regexp_extract_all(text, F.lit(runs), F.lit(1))
+    return F.filter(named, lambda name: name != "")
 
 
 def fiscal_terms(text: Column) -> Column:
@@ -118,7 +151,7 @@ def sentence_count(text: Column) -> Column:
 
 def mean_token_length(token_array: Column) -> Column:
     """Average token length; 0 without tokens."""
-    total = F.aggregate(token_array, F.lit(0), lambda acc, t: acc + F.length(t))
+    total = F.length(F.array_join(token_array, ""))
     return F.coalesce(F.try_divide(total.cast("double"), F.size(token_array)), F.lit(0.0))
 
 

@@ -37,7 +37,7 @@ def normalized_tokens(
             ),
         )
         .withColumn("tokens", T.tokens(F.col("normalized_text")))
-        .withColumn("words", T.lexical_words(F.col("tokens")))
+        .withColumn("words", T.lexical_words(F.col("normalized_text")))
     )
 
 

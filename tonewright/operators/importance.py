@@ -12,7 +12,7 @@ from ..functions.wording import CAPITALISED
 from .joins import BROADCAST_ROWS, join_lookup
 
 COEFS = ("coef_neg", "coef_neu", "coef_pos")  # class order 0, 1, 2
-RANK_DIGITS = 9  # scores are ranked to 1e-9, so equal scores tie whatever the summation order
+RANK_DIGITS = 6  # scores are ranked to 1e-6, so equal scores tie whatever the summation order
 
 
 def coef_lookup(
@@ -118,7 +118,7 @@ def explain_words(
     show: int = 5,
 ) -> DataFrame:
     """Per text: top words, lexicon words, and the first ``show`` of each direction."""
-    words = T.lexical_words(T.tokens(F.col(text)))
+    words = T.lexical_words(F.col(text))
     with_words = texts.withColumn("_words", words).withColumns(
         {
             f"lexicon_{category}": only(F.col("_words"), lexicon.terms(category))

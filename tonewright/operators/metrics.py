@@ -35,10 +35,9 @@ def confusion_matrix(
         F.floor(F.col("id") / size).cast("int").alias("truth"),
         (F.col("id") % size).cast("int").alias("prediction"),
     )
-    counts = _cells(df, truth, prediction, [])  # at most one row per cell joins the nine
-    return grid.join(counts, ["truth", "prediction"], "left").select(
-        "truth", "prediction", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
-    )
+    zeros = grid.withColumn("n", F.lit(0).cast("bigint"))
+    cells = _cells(df, truth, prediction, []).unionByName(zeros)
+    return cells.groupBy("truth", "prediction").agg(F.sum("n").alias("n"))
 
 
 def per_class(
@@ -117,7 +116,10 @@ def error_patterns(
     df: DataFrame, truth: str = "label", prediction: str = "prediction"
 ) -> DataFrame:
     """Mistakes by kind, named ``true_as_predicted``; kinds that do not occur are absent."""
-    wrong = _cells(df, truth, prediction, []).where(F.col("truth") != F.col("prediction"))
+    counted = df.groupBy(F.col(truth).alias("truth"), F.col(prediction).alias("prediction")).agg(
+        F.count_if(F.col(truth) != F.col(prediction)).alias("n")
+    )
+    wrong = counted.where(F.col("n") > 0)  # a test on the count cannot sink into the scoring
     kind = F.concat(
         T.decode_label(F.col("truth")), F.lit("_as_"), T.decode_label(F.col("prediction"))
     )
@@ -160,7 +162,11 @@ def error_samples(
     preview: int = 80,
 ) -> DataFrame:
     """The first ``n`` mistakes in ``order``."""
-    wrong = df.where(F.col(truth) != F.col(prediction)).orderBy(order).limit(n)
+    row = F.struct(order, text, truth, prediction)
+    missed = F.when(F.col(truth) != F.col(prediction), F.array(row))
+    # the test sits in a generator, so it is not copied below the projections that score a text
+    rows = df.select(F.inline_outer(missed)).where(F.col(truth).isNotNull())
+    wrong = rows.orderBy(order).limit(n)
     return wrong.select(
         order, text, T.preview(F.col(text), preview).alias("shown"),
         T.decode_label(F.col(truth)).alias("true_label"),

@@ -48,8 +48,8 @@ def signals(
     """The facts the six steps rest on, as flat columns prefixed ``r_``."""
     raw, lowered = F.col(text), F.col("r_lower")
     lists = lexicon or _fallback_lexicon()
-    base = df.withColumns({"r_lower": F.lower(raw), "r_tokens": T.tokens(raw)}).withColumn(
-        "r_words", T.lexical_words(F.col("r_tokens"))
+    base = df.withColumns(
+        {"r_lower": F.lower(raw), "r_tokens": T.tokens(raw), "r_words": T.lexical_words(raw)}
     )
     topic = F.lit(P.OTHER_TOPIC)
     for name, words in reversed(P.TOPICS):
@@ -61,7 +61,7 @@ def signals(
             "r_word_count": F.size("r_tokens"),
             "r_percents": T.percentages(raw),
             "r_amounts": T.find_all(raw, P.STEP_CURRENCY),
-            "r_companies": T.find_all(raw, P.STEP_COMPANY),
+            "r_companies": T.step_companies(raw),
             "r_positive": only(F.col("r_words"), lists.positive),
             "r_negative": only(F.col("r_words"), lists.negative),
             "r_uncertain": only(F.col("r_words"), lists.uncertainty),

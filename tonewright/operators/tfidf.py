@@ -18,8 +18,11 @@ def term_counts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     terms, and counting, weighting and scoring per text then need no further exchange.
     """
     placed = df.select(key, text).repartition(key)
-    exploded = placed.select(key, F.explode(T.terms_1_2(F.col(text))).alias("term"))
-    return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    terms = placed.select(key, T.terms_1_2(F.col(text)).alias("_terms"))
+    # the outer form keeps the planner from testing (and computing) the terms a second time
+    exploded = terms.select(key, F.explode_outer("_terms").alias("term"))
+    known = exploded.where(F.col("term").isNotNull())
+    return known.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def term_document_stats(counts: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Every operator as a named query over the given tables: ``name -> f(spark, sf_dir)``.
 
-Arrays are shown as ``|``-joined strings and fractions rounded to 9 decimals (sums of doubles
+Arrays are shown as ``|``-joined strings and fractions rounded to 6 decimals (sums of doubles
 depend on the order of addition), so that results can be compared across engines.
 """
 
@@ -20,6 +20,7 @@ from ..operators import reasoning, tfidf
 from ..operators.split import stratified_split
 from ..sources import metrics_store, texts
 from ..sources.tables import headline_label, headlines, labelled_documents, table
+from ..session import materialize
 from . import scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,8 +32,8 @@ def query(function):
     return function
 
 
-def r9(column: Column | str) -> Column:
-    return F.round(column, 9) + F.lit(0.0)
+def r6(column: Column | str) -> Column:
+    return F.round(column, 6) + F.lit(0.0)
 
 
 def joined(array: Column | str) -> Column:
@@ -108,8 +109,9 @@ def headline_importance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def headline_coefs(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted once and stored: at most one row per vocabulary term."""
     model = tfidf.fit_naive_bayes(headline_weights(spark, d), headline_labels(spark, d))
-    return tfidf.naive_bayes_coefficients(model)
+    return materialize(tfidf.naive_bayes_coefficients(model))
 
 
 def vector(first: int) -> Column:
@@ -245,7 +247,7 @@ def tokenize(spark, d):
 @query
 def lexical_words(spark, d):
     return headlines(spark, d).select(
-        "doc_id", joined(T.lexical_words(T.tokens(F.col("text")))).alias("words")
+        "doc_id", joined(T.lexical_words(F.col("text"))).alias("words")
     )
 
 
@@ -279,7 +281,7 @@ def lexicon_word_lists(spark, d):
 def coef_lookup(spark, d):
     rows = importance.coef_lookup(headline_weights(spark, d), headline_coefs(spark, d))
     return rows.select(
-        "doc_id", "term", *[r9(c).alias(c) for c in ("tfidf", *importance.COEFS)]
+        "doc_id", "term", *[r6(c).alias(c) for c in ("tfidf", *importance.COEFS)]
     )
 
 
@@ -330,7 +332,7 @@ def model_info(spark, d):
 def attach_predictions(spark, d):
     return judged(spark, d).select(
         "doc_id", "grp", "dir", "text", F.col("category").alias("predicted_label"),
-        T.encode_label(F.col("category")).alias("predicted_class"), r9("confidence").alias("confidence"),
+        T.encode_label(F.col("category")).alias("predicted_class"), r6("confidence").alias("confidence"),
     )
 
 
@@ -338,7 +340,7 @@ def attach_predictions(spark, d):
 
 @query
 def label_distribution(spark, d):
-    return corpus.label_distribution(corpus_table(spark, d)).withColumn("pct", r9("pct"))
+    return corpus.label_distribution(corpus_table(spark, d)).withColumn("pct", r6("pct"))
 
 
 @query
@@ -355,7 +357,7 @@ def corpus_quality_report(spark, d):
 
 @query
 def length_by_label(spark, d):
-    return corpus.length_by_label(corpus_table(spark, d)).withColumn("avg_words", r9("avg_words"))
+    return corpus.length_by_label(corpus_table(spark, d)).withColumn("avg_words", r6("avg_words"))
 
 
 @query
@@ -365,7 +367,7 @@ def length_histogram(spark, d):
 
 @query
 def class_weights(spark, d):
-    return corpus.class_weights(corpus_table(spark, d)).withColumn("weight", r9("weight"))
+    return corpus.class_weights(corpus_table(spark, d)).withColumn("weight", r6("weight"))
 
 
 @query
@@ -397,7 +399,7 @@ def split_overlap(spark, d):
 # --- aggregate sentiment and outlook ------------------------------------------------------------
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: r9(c) for c in columns})
+    return df.withColumns({c: r6(c) for c in columns})
 
 
 AGGREGATE_FRACTIONS = (
@@ -554,7 +556,7 @@ listing("extract_companies_documents", T.companies, documents)
 def size_stats(spark, d):
     return featured(spark, d).select(
         "doc_id", "word_count", "char_count", "sentence_count",
-        r9("avg_word_length").alias("avg_word_length"),
+        r6("avg_word_length").alias("avg_word_length"),
     )
 
 
@@ -563,7 +565,7 @@ def size_stats_documents(spark, d):
     full = features.extract_features(documents(spark, d).select("doc_id", "text"), lexicon=LEXICON)
     return full.select(
         "doc_id", "word_count", "char_count", "sentence_count",
-        r9("avg_word_length").alias("avg_word_length"), "negative_word_count",
+        r6("avg_word_length").alias("avg_word_length"), "negative_word_count",
     )
 
 
@@ -580,24 +582,24 @@ def lexicon_features(spark, d):
 @query
 def sentiment_score(spark, d):
     raw = features.extract_features(headlines(spark, d), lexicon=LEXICON, handle_negations=False)
-    return raw.select("doc_id", r9("sentiment_score").alias("score"))
+    return raw.select("doc_id", r6("sentiment_score").alias("score"))
 
 
 @query
 def negation_flip(spark, d):
     return featured(spark, d).select(
-        "doc_id", "has_negation", "negation_count", r9("sentiment_score").alias("score")
+        "doc_id", "has_negation", "negation_count", r6("sentiment_score").alias("score")
     )
 
 
 @query
 def uncertainty_score(spark, d):
-    return featured(spark, d).select("doc_id", r9("uncertainty_score").alias("score"))
+    return featured(spark, d).select("doc_id", r6("uncertainty_score").alias("score"))
 
 
 @query
 def subjectivity_score(spark, d):
-    return featured(spark, d).select("doc_id", r9("subjectivity_score").alias("score"))
+    return featured(spark, d).select("doc_id", r6("subjectivity_score").alias("score"))
 
 
 @query
@@ -615,7 +617,7 @@ def sentiment_category(spark, d):
 
 @query
 def lexicon_confidence(spark, d):
-    return judged(spark, d).select("doc_id", r9("confidence").alias("confidence"))
+    return judged(spark, d).select("doc_id", r6("confidence").alias("confidence"))
 
 
 @query
@@ -638,15 +640,15 @@ def analyze(spark, d):
     record = features.analyze(headlines(spark, d), lexicon=LEXICON)
     return record.select(
         "doc_id", "cleaned_text", F.col("sentiment.category").alias("category"),
-        r9("sentiment.score").alias("score"), r9("sentiment.confidence").alias("confidence"),
+        r6("sentiment.score").alias("score"), r6("sentiment.confidence").alias("confidence"),
         "sentiment.explanation",
         *[F.col(f"features.{c}").alias(c) for c in features.COUNTS if c != "avg_word_length"],
-        r9("features.avg_word_length").alias("avg_word_length"),
+        r6("features.avg_word_length").alias("avg_word_length"),
         *[joined(f"features.{c}").alias(c) for c in
           ("positive_words", "negative_words", "uncertainty_words", "numbers")],
         *[joined(f"entities.{c}").alias(c) for c in ("percentages", "currencies", "companies")],
-        r9("linguistic.uncertainty_score").alias("uncertainty_score"),
-        r9("linguistic.subjectivity_score").alias("subjectivity_score"),
+        r6("linguistic.uncertainty_score").alias("uncertainty_score"),
+        r6("linguistic.subjectivity_score").alias("subjectivity_score"),
         "linguistic.has_negation",
         *[F.col(f"features.{c}").alias(c) for c in
           ("negation_count", "exclamation_count", "question_count")],
@@ -658,7 +660,7 @@ def get_lexicon_sentiment(spark, d):
     short = features.lexicon_sentiment(headlines(spark, d), lexicon=LEXICON)
     return short.select(
         "doc_id", "positive_count", "negative_count", "uncertainty_count",
-        r9("sentiment_score").alias("sentiment_score"),
+        r6("sentiment_score").alias("sentiment_score"),
         *[joined(f"{c}_words").alias(f"{c}_words") for c in ("positive", "negative", "uncertainty")],
     )
 
@@ -670,7 +672,7 @@ def embeddings(spark, d) -> DataFrame:
 
 
 def numbered(array: str, names=("p0", "p1", "p2")) -> list[Column]:
-    return [r9(F.get(array, F.lit(i))).alias(n) for i, n in enumerate(names)]
+    return [r6(F.get(array, F.lit(i))).alias(n) for i, n in enumerate(names)]
 
 
 @query
@@ -685,7 +687,7 @@ def argmax_label(spark, d):
     return scored.select(
         "vec_id", S.argmax(F.col("p")).alias("prediction"),
         T.decode_label(S.argmax(F.col("p"))).alias("label"),
-        r9(F.array_max("p")).alias("confidence"),
+        r6(F.array_max("p")).alias("confidence"),
     )
 
 
@@ -706,8 +708,8 @@ def prediction_record(spark, d):
     done = featured(spark, d).withColumn("p", probabilities).select("doc_id", record.alias("r"))
     return done.select(
         "doc_id", F.col("r.text").alias("shown"), "r.prediction", "r.label",
-        r9("r.confidence").alias("confidence"),
-        *[r9(F.col("r.probabilities")[n]).alias(n) for n in P.LABELS],
+        r6("r.confidence").alias("confidence"),
+        *[r6(F.col("r.probabilities")[n]).alias(n) for n in P.LABELS],
     )
 
 
@@ -717,7 +719,7 @@ def soft_vote(spark, d):
     voted = embeddings(spark, d).select("vec_id", scoring.soft_vote(members).alias("p"))
     return voted.select(
         "vec_id", *numbered("p"), S.argmax(F.col("p")).alias("prediction"),
-        r9(F.array_max("p")).alias("confidence"),
+        r6(F.array_max("p")).alias("confidence"),
     )
 
 
@@ -726,8 +728,8 @@ def score_external(spark, d):
     scored = scoring.score_external(headlines(spark, d), scoring.letter_scorer(), batch_size=512)
     return scored.select(
         "doc_id", "prediction.prediction", "prediction.label",
-        r9("prediction.confidence").alias("confidence"),
-        *[r9(F.col("prediction.probabilities")[n]).alias(n) for n in P.LABELS],
+        r6("prediction.confidence").alias("confidence"),
+        *[r6(F.col("prediction.probabilities")[n]).alias(n) for n in P.LABELS],
     )
 
 
@@ -750,18 +752,18 @@ def term_document_stats(spark, d):
 def vocabulary_top_k(spark, d):
     counts = tfidf.term_counts(documents(spark, d))
     vocab = tfidf.vocabulary(tfidf.term_document_stats(counts), documents(spark, d))
-    return vocab.withColumn("idf", r9("idf"))
+    return vocab.withColumn("idf", r6("idf"))
 
 
 @query
 def tfidf_documents(spark, d):
     weights = tfidf.tfidf(documents(spark, d))
-    return weights.withColumn("tfidf", r9("tfidf"))
+    return weights.withColumn("tfidf", r6("tfidf"))
 
 
 @query
 def tfidf_headlines(spark, d):
-    return headline_weights(spark, d).withColumn("tfidf", r9("tfidf"))
+    return headline_weights(spark, d).withColumn("tfidf", r6("tfidf"))
 
 
 @query
@@ -775,7 +777,7 @@ def naive_bayes_model(spark, d):
 def naive_bayes_predictions(spark, d):
     data = labelled_documents(spark, d)
     weights = tfidf.tfidf(data)
-    model = tfidf.fit_naive_bayes(weights, data)
+    model = materialize(tfidf.fit_naive_bayes(weights, data))
     scored = tfidf.score_naive_bayes(weights, model, tfidf.class_priors(data), data)
     return rounded(scored, *[f"jll_{c}" for c in tfidf.CLASSES])
 
@@ -784,35 +786,35 @@ def naive_bayes_predictions(spark, d):
 
 @query
 def word_importance(spark, d):
-    return headline_importance(spark, d).withColumn("score", r9("score"))
+    return headline_importance(spark, d).withColumn("score", r6("score"))
 
 
 @query
 def word_importance_without_coefs(spark, d):
     weights = headline_weights(spark, d)
-    return importance.word_importance(weights, LEXICON).withColumn("score", r9("score"))
+    return importance.word_importance(weights, LEXICON).withColumn("score", r6("score"))
 
 
 @query
 def top_words_per_text(spark, d):
     top = importance.top_words_per_text(headline_importance(spark, d))
-    return top.withColumn("score", r9("score"))
+    return top.withColumn("score", r6("score"))
 
 
 @query
 def top_words_by_direction(spark, d):
     top = importance.top_words_per_text(headline_importance(spark, d))
-    return importance.top_words_by_direction(top).withColumn("score", r9("score"))
+    return importance.top_words_by_direction(top).withColumn("score", r6("score"))
 
 
 @query
 def top_features_per_class(spark, d):
-    return importance.top_features_per_class(headline_coefs(spark, d)).withColumn("coef", r9("coef"))
+    return importance.top_features_per_class(headline_coefs(spark, d)).withColumn("coef", r6("coef"))
 
 
 @query
 def class_word_comparison(spark, d):
-    return importance.class_word_comparison(headline_coefs(spark, d)).withColumn("score", r9("score"))
+    return importance.class_word_comparison(headline_coefs(spark, d)).withColumn("score", r6("score"))
 
 
 def explained(spark, d) -> DataFrame:
@@ -858,7 +860,7 @@ def step(position: int):
         one = F.get("steps", F.lit(position))
         return done.select("doc_id", one.alias("s")).select(
             "doc_id", "s.step", "s.observation", "s.reasoning", "s.conclusion",
-            r9("s.confidence").alias("confidence"),
+            r6("s.confidence").alias("confidence"),
         )
 
     return run
@@ -875,7 +877,7 @@ for _position, _name in enumerate((
 def reasoning_final(spark, d):
     done = reasoning.reason(headlines(spark, d), lexicon=LEXICON)
     return done.select(
-        "doc_id", "final_sentiment", r9("final_confidence").alias("final_confidence"), "reasoning"
+        "doc_id", "final_sentiment", r6("final_confidence").alias("final_confidence"), "reasoning"
     )
 
 
@@ -895,7 +897,7 @@ def reasoning_trace(spark, d):
 def reasoning_documents(spark, d):
     done = reasoning.reason(documents(spark, d).select("doc_id", "text"), lexicon=LEXICON)
     return done.select(
-        "doc_id", "final_sentiment", r9("final_confidence").alias("final_confidence"),
+        "doc_id", "final_sentiment", r6("final_confidence").alias("final_confidence"),
         joined("key_factors").alias("key_factors"),
     )
 
@@ -912,7 +914,7 @@ def comprehensive_explanation(spark, d):
     return full.select(
         "doc_id", "summary", "confidence_explanation", joined("key_factors").alias("key_factors"),
         F.col("model_vs_reasoning.reasoning_prediction").alias("reasoning_prediction"),
-        r9("model_vs_reasoning.reasoning_confidence").alias("reasoning_confidence"),
+        r6("model_vs_reasoning.reasoning_confidence").alias("reasoning_confidence"),
         F.col("model_vs_reasoning.agreement").alias("agreement"), "reasoning", "trace",
     )
 
