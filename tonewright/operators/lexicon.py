@@ -12,8 +12,9 @@ from .joins import BROADCAST_ROWS, join_lookup
 
 def explode_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per lexical word of the normalized text: ``(key, position, term)``."""
-    normalized = T.normalize_text(T.clean_financial_text(F.col(text)))
-    words = df.select(key, T.lexical_words(normalized).alias("_words"))
+    cleaned = df.select(key, T.clean_financial_text(F.col(text)).alias("_cleaned"))
+    normalized = T.normalize_text(F.col("_cleaned"))
+    words = cleaned.select(key, T.lexical_words(normalized).alias("_words"))
     # the outer form keeps the planner from testing (and computing) the words a second time
     exploded = words.select(key, F.posexplode_outer("_words").alias("position", "term"))
     return exploded.where(F.col("term").isNotNull())

@@ -20,6 +20,7 @@ from ..operators import reasoning, tfidf
 from ..operators.split import stratified_split
 from ..sources import metrics_store, texts
 from ..sources.tables import headline_label, headlines, labelled_documents, table
+from ..sources.tables import texts as texts_of
 from ..session import materialize
 from . import scoring
 
@@ -48,16 +49,19 @@ def corpus_table(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("doc_id") % 7 == 0, "negative")
         .when(F.col("doc_id") % 7 < 3, "positive").otherwise("neutral")
     )
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", F.col("text").alias("sentence"), label.alias("label")
     )
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return texts_of(spark, d, "documents", "doc_id", "text")
+
+
 def document_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of the documents, blank ones included: ``doc_id, position, value``."""
-    return table(spark, d, "documents").select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("position", "value")
-    )
+    lines = documents(spark, d).select("doc_id", F.split("text", "\n").alias("lines"))
+    return lines.select("doc_id", F.posexplode("lines").alias("position", "value"))
 
 
 def with_gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +160,7 @@ def detect_text_columns(spark, d):
 
 @query
 def clean_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
+    return documents(spark, d).select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query
@@ -197,7 +201,7 @@ def preprocess(spark, d):
 
 @query
 def preview_text(spark, d):
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", T.preview(F.col("text"), 100).alias("preview_100"),
         T.preview(F.col("text"), 200).alias("preview_200"),
     )
@@ -214,7 +218,7 @@ def clean_financial_text(spark, d):
 
 @query
 def clean_financial_documents(spark, d):
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", T.clean_financial_text(F.col("text")).alias("cleaned")
     )
 
@@ -239,7 +243,7 @@ def processor_options(spark, d):
 @query
 def tokenize(spark, d):
     tokens = T.tokens(F.col("text"))
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", joined(tokens).alias("tokens"), F.size(tokens).alias("n_tokens")
     )
 
@@ -261,7 +265,7 @@ def lexicon_match(spark, d):
 
 @query
 def lexicon_match_documents(spark, d):
-    words = lexicon.explode_words(table(spark, d, "documents"))
+    words = lexicon.explode_words(documents(spark, d))
     return lexicon.match_lexicon(words, LEXICON.table(spark))
 
 
@@ -535,10 +539,6 @@ def listing(name: str, expression: Callable[[Column], Column], source=headlines)
     QUERIES[name] = run
 
 
-def documents(spark, d) -> DataFrame:
-    return table(spark, d, "documents")
-
-
 listing("extract_percentages", T.percentages)
 listing("extract_currencies", T.currencies)
 listing("extract_numbers", T.numbers)
@@ -562,7 +562,7 @@ def size_stats(spark, d):
 
 @query
 def size_stats_documents(spark, d):
-    full = features.extract_features(documents(spark, d).select("doc_id", "text"), lexicon=LEXICON)
+    full = features.extract_features(documents(spark, d), lexicon=LEXICON)
     return full.select(
         "doc_id", "word_count", "char_count", "sentence_count",
         r6("avg_word_length").alias("avg_word_length"), "negative_word_count",
@@ -627,7 +627,7 @@ def feature_explanation(spark, d):
 
 @query
 def list_caps(spark, d):
-    record = features.analyze(documents(spark, d).select("doc_id", "text"), lexicon=LEXICON)
+    record = features.analyze(documents(spark, d), lexicon=LEXICON)
     return record.select(
         "doc_id", joined("features.numbers").alias("numbers"),
         joined("features.companies").alias("companies"),
@@ -895,7 +895,7 @@ def reasoning_trace(spark, d):
 
 @query
 def reasoning_documents(spark, d):
-    done = reasoning.reason(documents(spark, d).select("doc_id", "text"), lexicon=LEXICON)
+    done = reasoning.reason(documents(spark, d), lexicon=LEXICON)
     return done.select(
         "doc_id", "final_sentiment", r6("final_confidence").alias("final_confidence"),
         joined("key_factors").alias("key_factors"),

@@ -39,10 +39,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when the input has fewer splits than that (one small file).
+
+    Text work costs far more than reading. A large table already has more splits than cores and
+    passes through unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Some columns of a text table, ready for text work."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One finance headline per order: ``doc_id, grp, dir, text``. A projection of ``orders``
     without a shuffle; ``dir`` is up, down, flat or new."""
-    return spark.sql(HEADLINES, orders=table(spark, sf_dir, "orders"))
+    columns = ("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    return spark.sql(HEADLINES, orders=texts(spark, sf_dir, "orders", *columns))
 
 
 def headline_label(direction: str = "dir"):
@@ -63,5 +79,5 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1).alias("label"),
     )
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = texts(spark, sf_dir, "documents", "doc_id", "text")
     return documents.join(labels, "doc_id")
