@@ -22,7 +22,7 @@ from ..sources import metrics_store, texts
 from ..sources.tables import headline_label, headlines, labelled_documents, table
 from ..sources.tables import texts as texts_of
 from ..session import materialize
-from . import scoring
+from . import scoring, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LEXICON = Lexicon()
@@ -923,3 +923,38 @@ def comprehensive_explanation(spark, d):
 def sample_analyses(spark, d):
     sampled = reasoning.sample_analyses(with_model(spark, d), lexicon=LEXICON)
     return sampled.withColumn("key_factors", joined("key_factors"))
+
+
+# --- model training: metrics on the validation split ------------------------------------------------
+
+# rounds of the iterative solvers in these runs; the library's defaults are far longer
+ROUNDS = {
+    "naive_bayes": {}, "random_forest": {}, "logreg": {"maxIter": 20}, "svm": {"maxIter": 20},
+    "mlp": {"maxIter": 20}, "gradient_boosting": {"maxIter": 3},
+}
+
+
+def training_data(spark, d) -> DataFrame:
+    data = labelled_documents(spark, d).withColumnRenamed("text", "sentence")
+    return materialize(stratified_split(data))
+
+
+def trained(name: str):
+    def run(spark, d):
+        data = training_data(spark, d)
+        model = training.train_model(name, data.where("split = 'train'"), **ROUNDS[name])
+        return training.evaluate_model(name, model, data.where("split = 'val'"))
+
+    return run
+
+
+for _name in ROUNDS:
+    QUERIES[f"train_{_name}"] = trained(_name)
+
+
+@query
+def train_ensemble(spark, d):
+    data = training_data(spark, d)
+    rounds = {"logreg": ROUNDS["logreg"], "svm": ROUNDS["svm"]}
+    model = training.train_ensemble(data.where("split = 'train'"), changes=rounds)
+    return training.evaluate_model("ensemble", model, data.where("split = 'val'"))
