@@ -115,7 +115,7 @@ def classifier(name: str, n_rows: int, n_features: int, **changes) -> Estimator:
     if name == "svm":
         return OneVsRest(
             classifier=LinearSVC(weightCol="weight", **merged(**linear)), weightCol="weight",
-            parallelism=3,
+            parallelism=1,  # every fit already uses the whole cluster
         )
     if name == "random_forest":
         return RandomForestClassifier(
@@ -125,7 +125,7 @@ def classifier(name: str, n_rows: int, n_features: int, **changes) -> Estimator:
     if name == "gradient_boosting":
         return OneVsRest(
             classifier=GBTClassifier(**merged(maxIter=100, maxDepth=5, stepSize=0.1, seed=SEED)),
-            parallelism=3,
+            parallelism=1,  # every fit already uses the whole cluster
         )
     if name == "mlp":
         layers = [min(n_features, DENSE_FEATURES), 256, 128, len(P.LABELS)]
