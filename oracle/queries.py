@@ -14,7 +14,6 @@ from .tables import *  # noqa: F403
 
 SQL: dict[str, str] = {}
 H = h()  # noqa: F405
-MARK = "@"
 
 
 def add(name: str, body: str, *ctes: str) -> None:

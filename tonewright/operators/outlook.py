@@ -16,10 +16,6 @@ from ..functions import wording as W
 from ..functions.wording import fill
 
 
-def _grouped(df: DataFrame, by: Sequence[str]):
-    return df.groupBy(*by)
-
-
 def _share(part: str, total: str) -> Column:
     return F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(total)), F.lit(0.0))
 
@@ -28,7 +24,7 @@ def aggregate_sentiment(
     df: DataFrame, by: Sequence[str] = (), score: str = "sentiment_score", category: str = "category"
 ) -> DataFrame:
     """Size, mean and population deviation of the score, class counts and shares, trend (1.5x)."""
-    counts = _grouped(df, by).agg(
+    counts = df.groupBy(*by).agg(
         F.count("*").alias("total_texts"),
         F.avg(score).alias("average_sentiment_score"),
         F.stddev_pop(score).alias("sentiment_std"),
@@ -55,7 +51,7 @@ def label_mix(
 ) -> DataFrame:
     """Counts per label (any case) with size and mean confidence: input of the outlook rules."""
     lowered = F.lower(F.col(label))
-    return _grouped(df, by).agg(
+    return df.groupBy(*by).agg(
         F.count("*").alias("total"),
         *[F.count_if(lowered == name).alias(short)
           for short, name in (("pos", "positive"), ("neu", "neutral"), ("neg", "negative"))],
@@ -93,7 +89,7 @@ def batch_summary(
 def market_outlook(mix: DataFrame) -> DataFrame:
     """Outlook by percentage points (15 / 5) with a markdown report; input from ``label_mix``."""
     df = _percents(mix)
-    positive, negative, neutral = F.col("pos_pct"), F.col("neg_pct"), F.col("neu_pct")
+    positive, negative = F.col("pos_pct"), F.col("neg_pct")
     overall = (
         F.when(positive > negative + 15, "bullish")
         .when(negative > positive + 15, "bearish")

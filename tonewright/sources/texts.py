@@ -122,8 +122,8 @@ def read_texts_any_encoding(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv_any_encoding(spark: SparkSession, path: str, text_column: str) -> DataFrame:
     """CSV of unknown encoding (one encoding for the whole path); null texts are dropped."""
-    raw = spark.read.text(path).select(~F.is_valid_utf8(F.col("value")) & F.lit(True))
-    encoding = "ISO-8859-1" if not raw.where(raw.columns and F.col(raw.columns[0])).isEmpty() else "UTF-8"
+    broken = spark.read.text(path).where(~F.is_valid_utf8(F.col("value")))
+    encoding = "UTF-8" if broken.isEmpty() else "ISO-8859-1"
     df = spark.read.options(
         header=True, multiLine=True, quote='"', escape='"', encoding=encoding
     ).csv(path)
