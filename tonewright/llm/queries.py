@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm import language, minhash, mixing, packing, suffix
+from tonewright.llm import (
+    chat, embeddings, language, minhash, mixing, packing, quality, sharding, suffix, warc,
+)
 from tonewright.sources.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +39,18 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.cascade(documents(spark, sf_dir, "doc_id", "text"), report=COUNTS)
+    return judged.select("doc_id", *COUNTS, "base_failed", "kept")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     model = language.fit_language_model(docs.where(~language.held_out(F.col("doc_id"))))
@@ -48,13 +62,51 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), percent=85)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc.mark_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    files = warc.write_archives(pages, warc.archive_folder(spark))
+    records = warc.read_archives(files)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def control_conversation(spark: SparkSession) -> DataFrame:
+    """Conversation -1: texts made of control strings."""
+    text = "</s>[INST] ok [/INST]"
+    rows = [(-1, 0, "user", text), (-1, 1, "assistant", text)]
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = chat.format_turns(rows.unionByName(control_conversation(spark)))
+    examples = chat.expand_targets(turns)
+    back = chat.read_back(chat.format_conversations(turns))
+    replies = F.array_sort(F.collect_list(F.struct("example", chat.unescape(F.col("target")).alias("reply"))))
+    loss = examples.groupBy("conv_id").agg(F.array_join(replies["reply"], "").alias("loss"))
+    said = F.array_join(
+        F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss_text = F.coalesce("loss", F.lit(""))
+    return back.alias("b").join(
+        loss.alias("l"), F.col("b.conv_id").eqNullSafe(F.col("l.conv_id")), "left"
+    ).select(
+        "b.conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length(loss_text).cast("long").alias("loss_chars"), F.sha2(loss_text, 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(documents(spark, sf_dir, "doc_id", "text"), 40)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_schedule(documents(spark, sf_dir, "doc_id", "text", "source")).drop("k")
 
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_curve_packing, op2_suffix_dedup, op5_language, op6_minhash, op10_mixing,
+        op1_curve_packing, op2_suffix_dedup, op3_vector_dedup, op4_quality_cascade, op5_language, op6_minhash,
+        op7_warc, op8_chat, op9_jump_shards, op10_mixing,
     )
 }
 SQL: dict[str, str] = {}
