@@ -31,9 +31,10 @@ def test_tfidf_pipeline_equals_long_form(spark, labelled):
 
 
 def test_naive_bayes_forms_agree(spark, labelled):
-    weights = tfidf.tfidf(labelled, text="sentence")
-    model = tfidf.fit_naive_bayes(weights, labelled)
-    ours = tfidf.score_naive_bayes(weights, model, tfidf.class_priors(labelled), labelled)
+    vocab = tfidf.fit_vocabulary(labelled, text="sentence")
+    rows = tfidf.weigh_rows(labelled, vocab, text="sentence", keep=["label"])
+    model = tfidf.fit_naive_bayes(tfidf.exploded(rows, vocab, keep=["label"]))
+    ours = tfidf.score_naive_bayes(rows, vocab, model, tfidf.class_priors(labelled))
     fitted = training.train_model("naive_bayes", labelled)
     theirs = training.score(fitted, labelled).select("doc_id", "prediction.prediction")
     both = ours.select("doc_id", "prediction").exceptAll(theirs)
@@ -95,11 +96,10 @@ def test_lexicon_words_are_appended_and_highlighted(spark):
     df = spark.createDataFrame([(1, "Profit up, weak demand.", top)],
                                "doc_id long, text string, word_importance "
                                "array<struct<word:string,score:double,direction:string>>")
-    imp = df.select("doc_id", F.inline("word_importance"))
-    r = importance.explain_words(df.drop("word_importance"), imp, Lexicon()).first()
+    r = importance.explain_words(df, Lexicon()).first()
     assert [tuple(x) for x in r.positive_words] == [("profit", 0.5), ("up", 0.1)]
     assert [tuple(x) for x in r.negative_words] == [("weak demand", 0.4), ("weak", 0.1)]
-    html = df.select(importance.highlight_html(F.col("text"), F.col("word_importance"))).first()[0]
+    html = importance.highlight_html(df).first().html
     assert html.startswith('<span style="background-color: rgba(40, 167, 69, 0.2)')
     assert html.endswith("up, weak demand.")
 

@@ -155,10 +155,15 @@ def mean_token_length(token_array: Column) -> Column:
     return F.coalesce(F.try_divide(total.cast("double"), F.size(token_array)), F.lit(0.0))
 
 
+def term_words(text: Column) -> Column:
+    """Lower-case words of two or more characters. Make it a column before pairing it: an
+    expression that stands in several places is computed in each of them."""
+    return F.regexp_extract_all(F.lower(text), F.lit(P.TERM), F.lit(0))
+
+
 def terms_1_2(text: Column) -> Column:
     """Lower-case words of two or more characters, followed by their neighbouring pairs."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(P.TERM), F.lit(0))
-    return with_pairs(words)
+    return with_pairs(term_words(text))
 
 
 def with_pairs(words: Column) -> Column:

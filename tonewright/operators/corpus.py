@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -12,19 +12,24 @@ from ..functions import patterns as P
 from ..functions import text as T
 
 
+def fingerprint(column: str) -> list[Column]:
+    """128 bits that stand for a text in grouping: two hashes, so whole texts are not sorted."""
+    return [F.xxhash64(column), F.xxhash64(F.lit(1), column)]
+
+
 def drop_duplicate_sentences(
     df: DataFrame, sentence: str = "sentence", order: str = "doc_id"
 ) -> DataFrame:
-    """Keep the row with the lowest ``order`` per exact sentence.
+    """Keep the row with the lowest ``order`` per exact sentence (of rows that tie in it, all).
 
-    An aggregation, not a window: copies collapse before the shuffle, so a sentence that makes
-    up a third of the rows sends one row per input partition.
+    The first row of each sentence is found on fingerprints: copies collapse before the shuffle, so
+    a sentence that makes up a third of the rows sends one row per input partition, and only
+    fingerprints are grouped.
     """
-    rest = [c for c in df.columns if c not in (sentence, order)]
-    first = F.min_by(F.struct(order, *rest), F.col(order)).alias("_first")
-    return df.groupBy(sentence).agg(first).select(
-        *[sentence if c == sentence else F.col(f"_first.{c}").alias(c) for c in df.columns]
-    )
+    one, two = fingerprint(sentence)
+    marked = df.withColumns({"_h1": one, "_h2": two})
+    first = marked.groupBy("_h1", "_h2").agg(F.min(order).alias(order))
+    return marked.join(first, ["_h1", "_h2", order], "left_semi").select(*df.columns)
 
 
 def drop_empty(df: DataFrame, sentence: str = "sentence") -> DataFrame:
@@ -57,9 +62,9 @@ def detect_text_columns(df: DataFrame) -> list[str]:
 
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows and percent per label."""
+    total = df.agg(F.count("*")).scalar()
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())  # one row per label here
-    return counts.withColumn("pct", share)
+    return counts.withColumn("pct", F.col("n") * 100.0 / total)
 
 
 def corpus_quality_report(
@@ -128,8 +133,7 @@ def length_histogram(
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weight per class: n / (classes * class size)."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    everything = Window.partitionBy()  # one row per class here
-    total, classes = F.sum("n").over(everything), F.count("*").over(everything)
+    total, classes = (counts.agg(x).scalar() for x in (F.sum("n"), F.count("*")))
     return counts.withColumn("weight", total / (classes * F.col("n")))
 
 
@@ -152,4 +156,9 @@ def split_overlap(
     """Sentences that occur in more than one split, with the splits they occur in."""
     flags = [F.max((F.col(split) == name).cast("int")).alias(name) for name in splits]
     total = sum((F.coalesce(F.col(name), F.lit(0)) for name in splits), F.lit(0))
-    return df.groupBy(sentence).agg(*flags).where(total > 1)
+    one, two = fingerprint(sentence)
+    marked = df.withColumns({"_h1": one, "_h2": two})
+    both = marked.groupBy("_h1", "_h2").agg(*flags).where(total > 1)
+    # the sentence is looked up only for those in several splits
+    named = marked.select("_h1", "_h2", sentence).join(both, ["_h1", "_h2"])
+    return named.dropDuplicates(["_h1", "_h2"]).select(sentence, *splits)

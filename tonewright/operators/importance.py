@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -10,8 +14,10 @@ from ..functions import text as T
 from ..functions.lexicon import Lexicon, is_in, only
 from ..functions.wording import CAPITALISED
 from .joins import BROADCAST_ROWS, join_lookup
+from .tfidf import Vocabulary, at, constant_numbers, constant_strings
 
 COEFS = ("coef_neg", "coef_neu", "coef_pos")  # class order 0, 1, 2
+ITEMS = "array<struct<word:string,score:double,direction:string>>"
 RANK_DIGITS = 6  # scores are ranked to 1e-6, so equal scores tie whatever the summation order
 
 
@@ -39,39 +45,70 @@ def word_direction(lexicon: Lexicon, with_coefs: bool = True, term: str = "term"
     )
 
 
-def importance_score(with_coefs: bool = True, weight: str = "tfidf") -> Column:
-    """TF-IDF times the largest absolute coefficient; TF-IDF alone without coefficients."""
-    if not with_coefs:
-        return F.col(weight)
-    return F.col(weight) * F.greatest(*[F.abs(F.col(c)) for c in COEFS])
-
-
-def word_importance(
-    weights: DataFrame,
-    lexicon: Lexicon,
-    coefs: DataFrame | None = None,
-    key: str = "doc_id",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+@dataclass(frozen=True)
+class WordScores:
+    """What importance needs of each vocabulary term: a factor for its weight (null: the term has
+    no coefficients and drops out) and a direction."""
+
+    vocabulary: Vocabulary
+    factors: tuple[float | None, ...]
+    directions: tuple[str, ...]
+
+
+def word_scores(
+    spark: SparkSession, vocabulary: Vocabulary, lexicon: Lexicon, coefs: DataFrame | None = None
+) -> WordScores:
+    """Factors and directions, computed once per term (the vocabulary is bounded)."""
+    terms = spark.createDataFrame(
+        pa.table({"no": range(len(vocabulary.terms)), "term": pa.array(vocabulary.terms, pa.string())}))
+    if coefs is None:
+        known, factor = terms, F.lit(1.0)
+    else:
+        known = terms.join(coefs.select("term", *COEFS), "term", "left")
+        factor = F.greatest(*[F.abs(F.col(c)) for c in COEFS])
+    rows = known.orderBy("no").select(
+        factor.alias("factor"), word_direction(lexicon, coefs is not None).alias("direction")).collect()
+    return WordScores(vocabulary, tuple(r.factor for r in rows), tuple(r.direction for r in rows))
+
+
+def add_importance(rows: DataFrame, scores: WordScores, out: str = "importance") -> DataFrame:
+    """Add ``(word, score, direction)`` of every term as an array, from the rows of
+    :func:`weigh_rows`. A projection: no join, no shuffle."""
+    if not scores.vocabulary.terms:
+        return rows.withColumn(out, F.array().cast(ITEMS))
+    words = constant_strings(scores.vocabulary.terms)
+    factors = constant_numbers([float("nan") if f is None else f for f in scores.factors])
+    directions = constant_strings(scores.directions)
+    items = F.zip_with("term_no", "tfidf", lambda i, w: F.struct(
+        at(words, i).alias("word"), (w * at(factors, i)).alias("score"),
+        at(directions, i).alias("direction"),
+    ))
+    if any(f is None for f in scores.factors):
+        items = F.filter(items, lambda x: ~F.isnan(x["score"]))
+    return rows.withColumn(out, items)
+
+
+def word_importance(rows: DataFrame, scores: WordScores, key: str = "doc_id") -> DataFrame:
     """``(key, word, score, direction)`` for every term of every text."""
-    with_coefs = coefs is not None
-    rows = coef_lookup(weights, coefs, key, max_rows) if with_coefs else weights
-    return rows.select(
-        key,
-        F.col("term").alias("word"),
-        importance_score(with_coefs).alias("score"),
-        word_direction(lexicon, with_coefs).alias("direction"),
-    )
+    items = add_importance(rows, scores).select(key, F.inline_outer("importance"))
+    return items.where(F.col("word").isNotNull())
 
 
-def _best_first() -> list[Column]:
-    return [F.round("score", RANK_DIGITS).desc(), F.col("word").asc()]
+def top_items(items: Column, k: int) -> Column:
+    """The ``k`` most important items of an array; scores that tie to 1e-6 are put in order by word.
+    A sort inside the row: no window, no shuffle."""
+    ranked = F.array_sort(F.transform(items, lambda x: F.struct(
+        (-F.round(x["score"], RANK_DIGITS)).alias("place"), x["word"].alias("word"), x.alias("item"))))
+    return F.transform(F.slice(ranked, 1, k), lambda x: x["item"])
 
 
-def top_words_per_text(importance: DataFrame, k: int = 20, key: str = "doc_id") -> DataFrame:
+def top_words_per_text(
+    rows: DataFrame, scores: WordScores, k: int = 20, key: str = "doc_id"
+) -> DataFrame:
     """The ``k`` most important words of each text, with ``rank``."""
-    order = Window.partitionBy(key).orderBy(*_best_first())
-    return importance.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    lists = importance_lists(rows, scores, k, key)
+    out = lists.select(key, F.posexplode_outer("word_importance").alias("rank", "_x"))
+    return out.where(F.col("_x").isNotNull()).select(key, "_x.*", (F.col("rank") + 1).alias("rank"))
 
 
 def top_words_by_direction(
@@ -82,18 +119,18 @@ def top_words_by_direction(
     return top.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def importance_lists(top: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A text's top words as one array in rank order (at most the ``k`` of the top-k)."""
-    item = F.struct("rank", "word", "score", "direction")
-    ordered = F.array_sort(F.collect_list(item))
-    return top.groupBy(key).agg(
-        F.transform(ordered, lambda x: x.dropFields("rank")).alias("word_importance")
-    )
+def importance_lists(
+    rows: DataFrame, scores: WordScores, k: int = 20, key: str = "doc_id", keep: Sequence[str] = ()
+) -> DataFrame:
+    """``key``, ``keep`` and a text's top words as one array in rank order."""
+    columns = [key, *[c for c in keep if c != key]]
+    return add_importance(rows, scores).select(
+        *columns, top_items(F.col("importance"), k).alias("word_importance"))
 
 
-def append_unseen(ranked: Column, lexicon_words: Column) -> Column:
-    """Lexicon words that are not in ``ranked`` join its end with score 0.1 (repeats included)."""
-    known = F.transform(ranked, lambda x: x["word"])
+def append_unseen(ranked: Column, known: Column, lexicon_words: Column) -> Column:
+    """Lexicon words that are not in ``known``, the words of ``ranked``, join its end with score
+    0.1 (repeats included). ``known`` has to be a column: it is looked at for every word."""
     extra = F.transform(
         F.filter(lexicon_words, lambda w: ~F.array_contains(known, w)),
         lambda w: F.struct(w.alias("word"), F.lit(0.1).alias("score")),
@@ -110,14 +147,12 @@ def _of_direction(array: str, direction: str) -> Column:
 
 def explain_words(
     texts: DataFrame,
-    importance: DataFrame,
     lexicon: Lexicon,
-    key: str = "doc_id",
     text: str = "text",
-    k: int = 20,
     show: int = 5,
 ) -> DataFrame:
-    """Per text: top words, lexicon words, and the first ``show`` of each direction."""
+    """Texts with ``word_importance`` (:func:`importance_lists`): their lexicon words and the first
+    ``show`` words of each direction are added. A projection."""
     words = T.lexical_words(F.col(text))
     with_words = texts.withColumn("_words", words).withColumns(
         {
@@ -125,30 +160,37 @@ def explain_words(
             for category in ("positive", "negative", "uncertainty")
         }
     )
-    lists = importance_lists(top_words_per_text(importance, k, key), key)
-    empty = F.array().cast("array<struct<word:string,score:double,direction:string>>")
-    joined = with_words.drop("_words").join(lists, key, "left").withColumn(
-        "word_importance", F.coalesce("word_importance", empty)
-    )
-    positive = append_unseen(_of_direction("word_importance", "positive"), F.col("lexicon_positive"))
-    negative = append_unseen(_of_direction("word_importance", "negative"), F.col("lexicon_negative"))
-    return joined.withColumns(
-        {
-            "positive_words": F.slice(positive, 1, show),
-            "negative_words": F.slice(negative, 1, show),
-            "neutral_words": F.slice(_of_direction("word_importance", "neutral"), 1, show),
-        }
-    )
-
-
-def highlight_html(text: Column, top_words: Column, top: int = 15) -> Column:
-    """Wrap each word found among the first ``top`` important words in a coloured span."""
+    sides = ("positive", "negative")
+    ranked = with_words.drop("_words").withColumns(
+        {f"_{side}": _of_direction("word_importance", side) for side in sides})
+    known = ranked.withColumns(
+        {f"_{side}_known": F.transform(f"_{side}", lambda x: x["word"]) for side in sides})
+    lists = {
+        side: append_unseen(F.col(f"_{side}"), F.col(f"_{side}_known"), F.col(f"lexicon_{side}"))
+        for side in sides
+    }
+    lists["neutral"] = _of_direction("word_importance", "neutral")
+    told = known.withColumns({f"{side}_words": F.slice(x, 1, show) for side, x in lists.items()})
+    return told.drop(*[f"_{side}" for side in sides], *[f"_{side}_known" for side in sides])
+
+
+def highlight_html(
+    df: DataFrame, text: str = "text", top_words: str = "word_importance", top: int = 15, out: str = "html"
+) -> DataFrame:
+    """Add ``out``: the text with each word found among the first ``top`` important words in a
+    coloured span. The colours are a column of their own, so they are not looked up anew for each
+    word; of words that differ only in case the last one decides."""
     first = F.slice(top_words, 1, top)
-    colours = F.transform(first, lambda x: _colour(x["direction"]))
-    by_word = F.map_from_arrays(F.transform(first, lambda x: F.lower(x["word"])), colours)
+    pairs = F.transform(F.reverse(first), lambda x: F.struct(
+        F.lower(x["word"]).alias("word"), _colour(x["direction"]).alias("colour")))
+    listed = df.withColumn("_pairs", pairs).withColumn(
+        "_names", F.transform("_pairs", lambda x: x["word"])).withColumn(
+        "_tokens", T.tokens(F.col(text)))
 
     def marked(word: Column) -> Column:
-        colour = F.element_at(by_word, F.regexp_replace(F.lower(word), P.NOT_WORD, ""))
+        bare = F.regexp_replace(F.lower(word), P.NOT_WORD, "")
+        place = F.array_position("_names", bare).cast("int")  # 0: not among them
+        colour = F.get("_pairs", place - 1)["colour"]
         # fixed values: span format
         opened = F.concat(
             F.lit('<span style="background-color: '), colour,
@@ -156,7 +198,8 @@ def highlight_html(text: Column, top_words: Column, top: int = 15) -> Column:
         )
         return F.coalesce(opened, word)
 
-    return F.array_join(F.transform(T.tokens(text), marked), " ")
+    html = F.array_join(F.transform("_tokens", marked), " ")
+    return listed.withColumn(out, html).drop("_pairs", "_names", "_tokens")
 
 
 def _colour(direction: Column) -> Column:

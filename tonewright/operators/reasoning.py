@@ -385,7 +385,9 @@ def sample_analyses(
     model: Sequence[str] = MODEL_COLUMNS,
 ) -> DataFrame:
     """Reasoning for the first ``n`` texts, with three factors each: a sample for the report."""
-    first = df.orderBy(order).limit(n)
+    # the smallest keys are a top-k; sorting whole rows would sort the corpus
+    smallest = df.select(order).orderBy(order).limit(n)
+    first = df.join(F.broadcast(smallest), order, "left_semi")  # n rows
     return reason(first, text, lexicon, model).select(
         order,
         T.preview(F.col(text), 100).alias("shown"),

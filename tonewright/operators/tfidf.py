@@ -1,8 +1,16 @@
-"""TF-IDF over 1- and 2-grams in long form ``(key, term, ...)``, and naive Bayes on it."""
+"""TF-IDF over 1- and 2-grams, and naive Bayes on it.
+
+Texts never move: terms are counted inside their row, only combined ``(term, df, cf)`` counts are
+shuffled, and weights are computed in the row from a vocabulary of at most ``max_features`` terms.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -11,18 +19,30 @@ from ..functions import text as T
 CLASSES = range(len(P.LABELS))
 
 
+def with_terms(df: DataFrame, keep: Sequence[str], text: str, out: str = "_terms") -> DataFrame:
+    """``keep`` columns and the 1- and 2-grams of the text (empty for a null text)."""
+    words = df.select(*keep, F.coalesce(T.term_words(F.col(text)), F.array()).alias("_words"))
+    return words.select(*keep, T.with_pairs(F.col("_words")).alias(out))
+
+
 def term_counts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, term, tf)`` for every 1- and 2-gram.
+    """``(key, term, tf)`` for every 1- and 2-gram, without a shuffle: a row's terms are sorted
+    and the lengths of their runs are the counts."""
+    terms = with_terms(df, [key], text).select(key, F.array_sort("_terms").alias("_s"))
+    n = F.size("_s")
 
-    The texts are shuffled by ``key`` before they are exploded: they are smaller than their
-    terms, and counting, weighting and scoring per text then need no further exchange.
-    """
-    placed = df.select(key, text).repartition(key)
-    terms = placed.select(key, T.terms_1_2(F.col(text)).alias("_terms"))
-    # the outer form keeps the planner from testing (and computing) the terms a second time
-    exploded = terms.select(key, F.explode_outer("_terms").alias("term"))
-    known = exploded.where(F.col("term").isNotNull())
-    return known.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    def begins(i: Column) -> Column:
+        return (i == 0) | (F.get("_s", i) != F.get("_s", i - 1))
+
+    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = terms.select(key, "_s", F.filter(every, begins).alias("_at"))
+    counts = F.transform("_at", lambda at, i: F.struct(
+        F.get("_s", at).alias("term"),
+        (F.coalesce(F.get("_at", i + 1), n) - at).cast("long").alias("tf"),
+    ))
+    # the outer form keeps the planner from testing (and computing) the counts a second time
+    exploded = starts.select(key, counts.alias("_c")).select(key, F.inline_outer("_c"))
+    return exploded.where(F.col("tf").isNotNull())
 
 
 def term_document_stats(counts: DataFrame) -> DataFrame:
@@ -49,21 +69,88 @@ def vocabulary(
     return top.select("term", "df", "cf", idf.alias("idf"))
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, term, tf, tfidf)`` with unit length per text.
+@dataclass(frozen=True)
+class Vocabulary:
+    """A fitted vocabulary: at most ``max_features`` terms, most frequent first, with their idf."""
+
+    terms: tuple[str, ...]
+    idf: tuple[float, ...]
+
+    @classmethod
+    def collect(cls, vocab: DataFrame) -> "Vocabulary":
+        """From the rows of :func:`vocabulary`, whose number ``max_features`` bounds."""
+        rows = vocab.orderBy(F.col("cf").desc(), "term").select("term", "idf").collect()
+        return cls(tuple(r.term for r in rows), tuple(r.idf for r in rows))
+
+
+def fit_vocabulary(
+    df: DataFrame, key: str = "doc_id", text: str = "text", **limits
+) -> Vocabulary:
+    stats = term_document_stats(term_counts(df, key, text))
+    return Vocabulary.collect(vocabulary(stats, df, **limits))
+
+
+def constant_strings(values: Sequence[str]) -> Column:
+    """An array constant of terms (which hold no line break)."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def constant_numbers(values: Sequence[float]) -> Column:
+    return constant_strings([repr(float(v)) for v in values]).cast("array<double>")
+
+
+def at(constant: Column, position: Column) -> Column:
+    return F.get(constant, position)
 
-    ``vocab`` comes from :func:`vocabulary` and so has at most ``max_features`` rows.
-    """
-    raw = counts.join(F.broadcast(vocab.select("term", "idf")), "term")
-    raw = raw.withColumn("_w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", "tf", (F.col("_w") / length).alias("tfidf"))
+
+def weigh_rows(
+    df: DataFrame,
+    vocab: Vocabulary,
+    key: str = "doc_id",
+    text: str = "text",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """``key``, ``keep`` and three arrays of equal length: ``term_no`` (position in the
+    vocabulary), ``tf`` and ``tfidf`` (unit length per text). A projection of the texts."""
+    columns = [key, *[c for c in keep if c != key]]
+    nothing = {"term_no": "array<int>", "tf": "array<long>", "tfidf": "array<double>"}
+    if not vocab.terms:
+        return df.select(*columns, *[F.array().cast(t).alias(n) for n, t in nothing.items()])
+    counter = CountVectorizerModel.from_vocabulary(
+        list(vocab.terms), inputCol="_terms", outputCol="_counts")
+    counted = counter.transform(with_terms(df, columns, text))
+    sparse = counted.select(*columns, F.unwrap_udt("_counts").alias("_v"))
+    idf = constant_numbers(vocab.idf)
+    raw = sparse.select(
+        *columns, F.col("_v.indices").alias("term_no"),
+        F.col("_v.values").cast("array<long>").alias("tf"),
+        F.zip_with("_v.indices", "_v.values", lambda i, n: n * at(idf, i)).alias("_w"),
+    )
+    square = F.aggregate("_w", F.lit(0.0), lambda total, w: total + w * w)
+    scaled = raw.withColumn("_length", F.sqrt(square))
+    tfidf = F.transform("_w", lambda w: w / F.col("_length"))
+    return scaled.select(*columns, "term_no", "tf", tfidf.alias("tfidf"))
+
+
+def exploded(rows: DataFrame, vocab: Vocabulary, key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """``(key, keep, term, tf, tfidf)``, one row per term of a text."""
+    columns = [key, *[c for c in keep if c != key]]
+    zipped = rows.select(*columns, F.inline_outer(F.arrays_zip("term_no", "tf", "tfidf")))
+    known = zipped.where(F.col("term_no").isNotNull())
+    term = at(constant_strings(vocab.terms), F.col("term_no"))
+    return known.select(*columns, term.alias("term"), "tf", "tfidf")
+
+
+def weigh(
+    df: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
+    """``(key, keep, term, tf, tfidf)`` with unit length per text; no shuffle."""
+    return exploded(weigh_rows(df, vocab, key, text, keep), vocab, key, keep)
 
 
 def tfidf(df: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """Fit on ``df`` and weigh it."""
-    counts = term_counts(df, key, text)
-    return weigh(counts, vocabulary(term_document_stats(counts), df, **limits), key)
+    return weigh(df, fit_vocabulary(df, key, text, **limits), key, text)
 
 
 def class_priors(labels: DataFrame, label: str = "label") -> DataFrame:
@@ -74,16 +161,12 @@ def class_priors(labels: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
-def fit_naive_bayes(
-    weights: DataFrame,
-    labels: DataFrame,
-    key: str = "doc_id",
-    label: str = "label",
-    alpha: float = 0.1,
-) -> DataFrame:
-    """Multinomial naive Bayes in closed form: one row per term with three log probabilities."""
-    labelled = weights.join(labels.select(key, label), key)
-    sums = labelled.groupBy("term").agg(
+def fit_naive_bayes(weights: DataFrame, label: str = "label", alpha: float = 0.1) -> DataFrame:
+    """Multinomial naive Bayes in closed form: one row per term with three log probabilities.
+
+    ``weights`` are rows of :func:`weigh` that kept the label, so nothing is joined.
+    """
+    sums = weights.where(F.col(label).isNotNull()).groupBy("term").agg(
         *[F.sum(F.when(F.col(label) == c, F.col("tfidf")).otherwise(0.0)).alias(f"_s{c}")
           for c in CLASSES]
     )
@@ -102,22 +185,27 @@ def fit_naive_bayes(
 
 
 def score_naive_bayes(
-    weights: DataFrame, model: DataFrame, priors: DataFrame, texts: DataFrame, key: str = "doc_id"
+    rows: DataFrame, vocab: Vocabulary, model: DataFrame, priors: DataFrame, key: str = "doc_id"
 ) -> DataFrame:
-    """Joint log likelihood and predicted class for every row of ``texts``; a text without known
-    terms is decided by the priors. ``model`` has one row per vocabulary term."""
-    sums = weights.join(F.broadcast(model), "term").groupBy(key).agg(
-        *[F.sum(F.col("tfidf") * F.col(f"log_prob_{c}")).alias(f"_s{c}") for c in CLASSES]
-    )
+    """Joint log likelihood and predicted class for every row of :func:`weigh_rows`; a text without
+    known terms is decided by the priors. ``model`` has at most one row per vocabulary term, so it
+    is taken along as three array constants and nothing is shuffled."""
+    names = [f"log_prob_{c}" for c in CLASSES]
+    logs = {r["term"]: r for r in model.select("term", *names).collect()}
+    columns = [[logs[t][n] if t in logs else 0.0 for t in vocab.terms] for n in names]
     prior = priors.agg(
         F.struct(*[F.first(f"prior_{c}").alias(f"prior_{c}") for c in CLASSES])
     ).scalar()
-    everyone = texts.select(key).repartition(key).join(sums, key, "left").withColumn("_p", prior)
-    scored = everyone.select(
-        key,
-        *[(F.coalesce(F.col(f"_s{c}"), F.lit(0.0)) + F.col(f"_p.prior_{c}")).alias(f"jll_{c}")
-          for c in CLASSES],
-    )
+
+    def likelihood(c: int) -> Column:
+        if not vocab.terms:
+            return F.lit(0.0)
+        table = constant_numbers(columns[c])
+        parts = F.zip_with("term_no", "tfidf", lambda i, w: w * at(table, i))
+        return F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
+
+    scored = rows.withColumn("_p", prior).select(
+        key, *[(likelihood(c) + F.col(f"_p.prior_{c}")).alias(f"jll_{c}") for c in CLASSES])
     joint = F.array(*[F.col(f"jll_{c}") for c in CLASSES])
     best = (F.array_position(joint, F.array_max(joint)) - 1).cast("int")
     return scored.withColumn("prediction", best)

@@ -98,24 +98,26 @@ def with_model(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def headline_labels(spark: SparkSession, d: str) -> DataFrame:
-    return headlines(spark, d).select("doc_id", T.encode_label(headline_label()).alias("label"))
+def labelled_headlines(spark: SparkSession, d: str) -> DataFrame:
+    return headlines(spark, d).withColumn("label", T.encode_label(headline_label()))
 
 
-def headline_weights(spark: SparkSession, d: str) -> DataFrame:
-    return tfidf.tfidf(headlines(spark, d))
+def headline_vocabulary(spark: SparkSession, d: str) -> tfidf.Vocabulary:
+    return tfidf.fit_vocabulary(headlines(spark, d))
 
 
-def headline_importance(spark: SparkSession, d: str) -> DataFrame:
-    """Word importance of the headlines with naive Bayes log probabilities as coefficients."""
-    weights = headline_weights(spark, d)
-    return importance.word_importance(weights, LEXICON, headline_coefs(spark, d))
+def headline_coefs(spark: SparkSession, d: str, vocab: tfidf.Vocabulary | None = None) -> DataFrame:
+    """Naive Bayes log probabilities as coefficients. Fitted once and stored: at most one row per
+    vocabulary term."""
+    vocab = vocab or headline_vocabulary(spark, d)
+    weights = tfidf.weigh(labelled_headlines(spark, d), vocab, keep=["label"])
+    return materialize(tfidf.naive_bayes_coefficients(tfidf.fit_naive_bayes(weights)))
 
 
-def headline_coefs(spark: SparkSession, d: str) -> DataFrame:
-    """Fitted once and stored: at most one row per vocabulary term."""
-    model = tfidf.fit_naive_bayes(headline_weights(spark, d), headline_labels(spark, d))
-    return materialize(tfidf.naive_bayes_coefficients(model))
+def headline_scores(spark: SparkSession, d: str) -> importance.WordScores:
+    """Vocabulary, factors and directions of the headlines' words: fitted once, used for any text."""
+    vocab = headline_vocabulary(spark, d)
+    return importance.word_scores(spark, vocab, LEXICON, headline_coefs(spark, d, vocab))
 
 
 def vector(first: int) -> Column:
@@ -283,7 +285,9 @@ def lexicon_word_lists(spark, d):
 
 @query
 def coef_lookup(spark, d):
-    rows = importance.coef_lookup(headline_weights(spark, d), headline_coefs(spark, d))
+    vocab = headline_vocabulary(spark, d)
+    weights = tfidf.weigh(headlines(spark, d), vocab)
+    rows = importance.coef_lookup(weights, headline_coefs(spark, d, vocab))
     return rows.select(
         "doc_id", "term", *[r6(c).alias(c) for c in ("tfidf", *importance.COEFS)]
     )
@@ -291,7 +295,7 @@ def coef_lookup(spark, d):
 
 @query
 def append_unseen_lexicon_words(spark, d):
-    full = importance.explain_words(headlines(spark, d), headline_importance(spark, d), LEXICON)
+    full = explained(spark, d)
     words = {c: F.transform(f"{c}_words", lambda x: x["word"]) for c in ("positive", "negative")}
     added = {
         c: F.size(F.filter(f"{c}_words", lambda x: x["score"] == 0.1))
@@ -763,22 +767,24 @@ def tfidf_documents(spark, d):
 
 @query
 def tfidf_headlines(spark, d):
-    return headline_weights(spark, d).withColumn("tfidf", r6("tfidf"))
+    return tfidf.tfidf(headlines(spark, d)).withColumn("tfidf", r6("tfidf"))
 
 
 @query
 def naive_bayes_model(spark, d):
     data = labelled_documents(spark, d)
-    model = tfidf.fit_naive_bayes(tfidf.tfidf(data), data)
+    weights = tfidf.weigh(data, tfidf.fit_vocabulary(data), keep=["label"])
+    model = tfidf.fit_naive_bayes(weights)
     return rounded(model, *[f"log_prob_{c}" for c in tfidf.CLASSES])
 
 
 @query
 def naive_bayes_predictions(spark, d):
     data = labelled_documents(spark, d)
-    weights = tfidf.tfidf(data)
-    model = materialize(tfidf.fit_naive_bayes(weights, data))
-    scored = tfidf.score_naive_bayes(weights, model, tfidf.class_priors(data), data)
+    vocab = tfidf.fit_vocabulary(data)
+    rows = tfidf.weigh_rows(data, vocab, keep=["label"])
+    model = tfidf.fit_naive_bayes(tfidf.exploded(rows, vocab, keep=["label"]))
+    scored = tfidf.score_naive_bayes(rows, vocab, model, tfidf.class_priors(data))
     return rounded(scored, *[f"jll_{c}" for c in tfidf.CLASSES])
 
 
@@ -786,25 +792,32 @@ def naive_bayes_predictions(spark, d):
 
 @query
 def word_importance(spark, d):
-    return headline_importance(spark, d).withColumn("score", r6("score"))
+    scores = headline_scores(spark, d)
+    rows = tfidf.weigh_rows(headlines(spark, d), scores.vocabulary)
+    return importance.word_importance(rows, scores).withColumn("score", r6("score"))
 
 
 @query
 def word_importance_without_coefs(spark, d):
-    weights = headline_weights(spark, d)
-    return importance.word_importance(weights, LEXICON).withColumn("score", r6("score"))
+    scores = importance.word_scores(spark, headline_vocabulary(spark, d), LEXICON)
+    rows = tfidf.weigh_rows(headlines(spark, d), scores.vocabulary)
+    return importance.word_importance(rows, scores).withColumn("score", r6("score"))
+
+
+def headline_top_words(spark, d) -> DataFrame:
+    scores = headline_scores(spark, d)
+    rows = tfidf.weigh_rows(headlines(spark, d), scores.vocabulary)
+    return importance.top_words_per_text(rows, scores)
 
 
 @query
 def top_words_per_text(spark, d):
-    top = importance.top_words_per_text(headline_importance(spark, d))
-    return top.withColumn("score", r6("score"))
+    return headline_top_words(spark, d).withColumn("score", r6("score"))
 
 
 @query
 def top_words_by_direction(spark, d):
-    top = importance.top_words_per_text(headline_importance(spark, d))
-    return importance.top_words_by_direction(top).withColumn("score", r6("score"))
+    return importance.top_words_by_direction(headline_top_words(spark, d)).withColumn("score", r6("score"))
 
 
 @query
@@ -818,8 +831,10 @@ def class_word_comparison(spark, d):
 
 
 def explained(spark, d) -> DataFrame:
-    texts_ = judged(spark, d).select("doc_id", "text", "category", "confidence")
-    return importance.explain_words(texts_, headline_importance(spark, d), LEXICON)
+    scores = headline_scores(spark, d)
+    keep = ["text", "category", "confidence"]
+    rows = tfidf.weigh_rows(judged(spark, d), scores.vocabulary, keep=keep)
+    return importance.explain_words(importance.importance_lists(rows, scores, keep=keep), LEXICON)
 
 
 def words_of(array: str) -> Column:
@@ -839,8 +854,7 @@ def explain_prediction(spark, d):
 
 @query
 def highlight_html(spark, d):
-    html = importance.highlight_html(F.col("text"), F.col("word_importance"))
-    return explained(spark, d).select("doc_id", html.alias("html"))
+    return importance.highlight_html(explained(spark, d)).select("doc_id", "html")
 
 
 @query

@@ -67,12 +67,9 @@ def fit_features(
     max_df: float = 0.95,
 ) -> PipelineModel:
     """Text to a unit-length TF-IDF vector in ``features``; a saveable pipeline."""
-    counts = tfidf.term_counts(train, key, text)
-    vocab = tfidf.vocabulary(
-        tfidf.term_document_stats(counts), train, max_features, min_df, max_df
-    )
-    rows = vocab.orderBy(F.col("cf").desc(), "term").select("term", "idf").collect()
-    terms, idf = [r.term for r in rows], [r.idf for r in rows]
+    vocab = tfidf.fit_vocabulary(
+        train, key, text, max_features=max_features, min_df=min_df, max_df=max_df)
+    terms, idf = list(vocab.terms), list(vocab.idf)
     return PipelineModel(stages=[
         RegexTokenizer(inputCol=text, outputCol="words", pattern=P.TERM, gaps=False),
         NGram(n=2, inputCol="words", outputCol="pairs"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,10 +23,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
     For results that are small next to what they were computed from (a fitted model) and are
     used several times. The folder is the session's ``spark.checkpoint.dir``, which has to be
-    shared storage on a cluster; a temporary folder is used only where nothing is set.
+    shared storage on a cluster.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tonewright-"))
+        if not folder:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
