@@ -391,9 +391,18 @@ def repeated_spans(transforms: DataFrame, length: int, gram: int) -> DataFrame:
         row = np.repeat(first[string], number) + (
             np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number))
         at = places["at"][row].astype(np.int64) - reach
+        start, stop = at + np.repeat(begin, number), at + np.repeat(end, number) - 1 + length
+        k1, k2 = places["k1"][row], places["k2"][row]
+        # spans of a text that touch are one
+        order = np.lexsort((start, k2, k1))
+        k1, k2, start, stop = k1[order], k2[order], start[order], stop[order]
+        text = np.cumsum(first_of_each(k1, k2)) << 40
+        reached = np.maximum.accumulate(stop + text)
+        new = np.ones(len(text), bool)
+        new[1:] = (start + text)[1:] > reached[:-1]
+        last = np.append(np.flatnonzero(new)[1:], len(text)) - 1 if len(text) else np.flatnonzero(new)
         return pa.RecordBatch.from_arrays([
-            pa.array(places["k1"][row]), pa.array(places["k2"][row]),
-            pa.array(at + np.repeat(begin, number)), pa.array(at + np.repeat(end, number) - 1 + length),
+            pa.array(k1[new]), pa.array(k2[new]), pa.array(start[new]), pa.array((reached - text)[last]),
         ], names=["k1", "k2", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
