@@ -159,14 +159,15 @@ add("split_overlap", "select sentence, " + ", ".join(
 
 # --- aggregate sentiment and outlook ----------------------------------------------------------------
 def aggregate(by: str) -> str:
-    return f"""select {by + ',' if by else ''} total_texts, {r6('m')} as average_sentiment_score,
+    return f"""select {by + ',' if by else ''} total_texts, null_texts, {r6('m')} as average_sentiment_score,
   {r6('s')} as sentiment_std, positive_count, negative_count, neutral_count,
   case when positive_count > negative_count * 1.5e0 then 'bullish'
        when negative_count > positive_count * 1.5e0 then 'bearish' else 'mixed' end as overall_trend,
   {r6('positive_count::double / total_texts')} as positive_ratio,
   {r6('negative_count::double / total_texts')} as negative_ratio,
   {r6('neutral_count::double / total_texts')} as neutral_ratio
-from (select {by + ',' if by else ''} count(*) as total_texts, avg(score) as m, stddev_pop(score) as s,
+from (select {by + ',' if by else ''} count(score) as total_texts,
+  count(*) - count(score) as null_texts, avg(score) as m, stddev_pop(score) as s,
   count(*) filter (category = 'positive') as positive_count,
   count(*) filter (category = 'negative') as negative_count,
   count(*) filter (category = 'neutral') as neutral_count from f {'group by ' + by if by else ''})"""
@@ -174,6 +175,9 @@ from (select {by + ',' if by else ''} count(*) as total_texts, avg(score) as m,
 
 add("aggregate_sentiment", aggregate("grp"), F_)
 add("aggregate_sentiment_overall", aggregate(""), F_)
+add("aggregate_sentiment_with_gaps", aggregate("grp"), gaps(), features("h", "f0").strip(), """f as (
+  select * replace (case when text is not null then score end as score,
+    case when text is not null then category end as category) from f0)""")
 SCORED = f"""{gaps()}, {features('h')},
 s as (select doc_id, grp, case when text is null or {strip('text')} = '' then 'error' else category end as label,
   case when text is null or {strip('text')} = '' then 0e0 else confidence end as confidence from f)"""
@@ -292,7 +296,7 @@ for _name, _pattern, _fold, _source in (
     ("extract_companies", P.COMPANY, True, "h"),
     ("extract_companies_strict", P.COMPANY, False, "h"),
     ("extract_fiscal_terms", P.FISCAL, True, "h"),
-    ("extract_dates", P.DATE, True, "documents"),
+    ("extract_dates", P.DATE, True, "h"),
     ("extract_percentages_documents", P.PERCENT, False, "documents"),
     ("extract_currencies_documents", P.CURRENCY, True, "documents"),
     ("extract_numbers_documents", P.NUMBER, True, "documents"),
@@ -482,3 +486,20 @@ add("comprehensive_explanation", f"""select doc_id,
   reasoning, {trace()} as trace from r""", MODEL_R)
 add("sample_analyses", f"""select doc_id, {preview('text', 100)} as shown, model_label as prediction,
   {joined('key_factors[1:3]')} as key_factors from r order by doc_id limit 3""", MODEL_R)
+
+# --- training: what has to hold for the scores of any model ------------------------------------------
+for _model in ("logreg", "naive_bayes", "svm", "random_forest", "gradient_boosting", "mlp", "ensemble"):
+    add(f"train_{_model}", """select label as class, count(*) as n, count(*) as predicted,
+  count(*) as shares_sum_to_one, count(*) as confidence_is_largest
+from sp where split = 'val' group by label""", LABELLED, split("labelled"))
+
+# --- written and read back ------------------------------------------------------------------------------
+add("agreement_levels", f"""select case left(grp, 1) when '1' then '50Agree' when '2' then '66Agree'
+    when '3' then '75Agree' else 'AllAgree' end as level,
+  {strip('text')} as sentence, {LABEL} as label from h where dir <> 'new' and left(grp, 1) <= '4'""", H)
+add("splits_round_trip", "select sentence, label, split from sp", CORPUS, CODED, split("coded"))
+add("predictions_round_trip", "select doc_id::varchar as doc_id, text, category as predicted_label from f", F_)
+add("metrics_round_trip", f"select grp as name, {METRIC_COLUMNS} from (select grp, {SUMMARY} from cr group by grp)",
+    P_, class_rates("p", "cr", "grp"))
+add("models_round_trip", """select unnest(['baseline_naive_bayes', 'finbert_pretrained']) as model, n, n as predicted
+from (select count(*) as n from sp where split = 'val') union all select 'compared', 1, 1""", LABELLED, split("labelled"))

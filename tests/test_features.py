@@ -50,8 +50,8 @@ def test_join_form_equals_row_form(texts, spark):
     )
     by_row = {tuple(r) for r in by_row.collect() if any(r[1:])}
     words = lexicon.explode_words(df)
-    for limit in (10_000, 5):  # broadcast, then salted
-        matches = lexicon.match_lexicon(words, table, max_rows=limit)
+    for salts in (None, 5):
+        matches = lexicon.match_lexicon(words, table, salts=salts)
         assert {tuple(r) for r in lexicon.lexicon_counts(matches).collect()} == by_row
 
 
@@ -60,7 +60,7 @@ def test_salted_join_keeps_every_row(spark):
     small = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left", "left_semi", "left_anti"):
         plain = large.join(small, "k", how).collect()
-        salted = join_lookup(large, small, ["k"], spread_by=["id"], how=how, max_rows=10)
+        salted = join_lookup(large, small, ["k"], spread_by=["id"], how=how, salts=16)
         assert sorted(map(str, salted.select(*large.join(small, "k", how).columns).collect())) == \
             sorted(map(str, plain))
 
@@ -73,10 +73,18 @@ def test_lexicon_from_table_is_bounded(spark):
         Lexicon.from_table(table, max_terms=1)
 
 
-def test_null_text_gives_null_or_zero_features(spark):
-    df = spark.createDataFrame([(1, None)], "doc_id long, text string")
-    r = features.analyze(df).first()
-    assert r.cleaned_text is None and r.sentiment.category == "neutral"
+def test_null_text_gives_null_features(spark):
+    df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    null, blank = features.analyze(df).orderBy("doc_id").collect()
+    assert null.cleaned_text is None and null.sentiment.category is None
+    assert null.sentiment.score is None and null.sentiment.confidence is None
+    assert blank.sentiment.category == "neutral"
+
+
+def test_null_texts_are_counted_apart(spark):
+    df = spark.createDataFrame([(1, "Strong growth."), (2, None), (3, None)], "doc_id long, text string")
+    r = outlook.aggregate_sentiment(features.add_sentiment(features.extract_features(df))).first()
+    assert (r.total_texts, r.null_texts, r.neutral_count, r.positive_ratio) == (1, 2, 0, 1.0)
 
 
 def test_aggregate(texts):

@@ -46,8 +46,9 @@ def test_all_classifiers_save_load_list(spark, labelled, tmp_path):
                "gradient_boosting": {"maxIter": 2}}
     models = training.train_all(labelled, changes=changes)
     results = training.compare_models({**models, "broken": object()}, labelled).collect()
-    assert {r.name for r in results} == set(training.CLASSIFIERS)
-    assert max(r.f1_macro for r in results) > 0.9
+    assert {r.name for r in results} == {*training.CLASSIFIERS, "broken"}
+    assert max(r.f1_macro for r in results if r.error is None) > 0.9
+    assert [r.name for r in results if r.error] == ["broken"]
     for name in ("logreg", "svm"):
         training.save_model(models[name], str(tmp_path), name)
         again = training.load_model(str(tmp_path), name)
@@ -63,6 +64,37 @@ def test_all_classifiers_save_load_list(spark, labelled, tmp_path):
         training.coefficient_table(spark, models["random_forest"])
 
 
+def test_folds_share_out_every_class(spark):
+    rows = [(i, 0 if i % 10 == 0 else 1 + i % 2) for i in range(900)]
+    placed = training.with_folds(spark.createDataFrame(rows, "doc_id long, label int"), "doc_id", 3)
+    counts = {(r.label, r._fold): r["count"] for r in placed.groupBy("label", "_fold").count().collect()}
+    size = {c: sum(1 for _, x in rows if x == c) for c in range(3)}
+    assert len(counts) == 9 and all(abs(n - size[c] / 3) <= 1 for (c, _), n in counts.items())
+
+
+def test_checkpoint_folder_is_needed(spark):
+    from types import SimpleNamespace
+
+    from tonewright.session import materialize
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, other: other))
+    with pytest.raises(ValueError):
+        materialize(SimpleNamespace(sparkSession=session))
+
+
+def test_plans_of_dedup_and_terms(spark, labelled):
+    from tonewright.operators import corpus
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "SortAggregate" not in plan(corpus.drop_duplicate_sentences(labelled))
+    stats = tfidf.term_document_stats(tfidf.term_counts(labelled, text="sentence"))
+    assert plan(stats).count("Exchange hashpartitioning") == 1
+    assert "Exchange" not in plan(tfidf.tfidf(labelled, text="sentence")).replace("CacheManager", "")
+
+
 def test_ensemble(spark, labelled, tmp_path):
     changes = {"logreg": FEW, "svm": FEW, "forest": {"numTrees": 5}}
     model = training.train_ensemble(labelled, changes=changes)
@@ -89,6 +121,24 @@ def test_external_scorer_survives_bad_rows(spark):
     got = {r.doc_id: r.prediction for r in scoring.score_external(df, make).collect()}
     assert got[1].label == "positive" and got[1].prediction == 2
     assert [got[i].label for i in (2, 3, 4)] == ["error"] * 3 and got[2].confidence == 0.0
+    told = {r.doc_id: r.error for r in scoring.score_external(df, make).collect()}
+    assert told == {1: None, 2: "RuntimeError: bad text", 3: "no text", 4: "no text"}
+
+
+def test_external_scorer_is_made_once_per_worker(spark, tmp_path):
+    log = str(tmp_path / "made")
+
+    def make():
+        import os
+        with open(log, "a") as out:
+            out.write(f"{os.getpid()}\n")
+        return lambda texts: [[1.0, 2.0, 3.0] for _ in texts]
+
+    df = spark.range(64).selectExpr("id as doc_id", "cast(id as string) as text").repartition(32, "doc_id")
+    for _ in range(2):
+        scoring.score_external(df, make).write.format("noop").mode("overwrite").save()
+    made = open(log).read().split()
+    assert 1 <= len(made) == len(set(made)) <= 16  # far fewer than the 64 tasks
 
 
 def test_lexicon_words_are_appended_and_highlighted(spark):

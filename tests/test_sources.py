@@ -34,7 +34,46 @@ def test_texts_and_encodings(spark, tmp_path):
     df = texts.read_csv_any_encoding(spark, str(tmp_path / "c.csv"), "text")
     assert [r.text for r in df.collect()] == ["naïve"]
     with pytest.raises(ValueError):
-        texts.read_texts(spark, "x.pdf")
+        (tmp_path / "x.pdf").write_text("x")
+        texts.read_texts(spark, f"{tmp_path}/x.pdf")
+
+
+def test_folders_and_globs(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("one\n\n")
+    (tmp_path / "t" / "b.txt").write_text("two\n")
+    for where in (tmp_path / "t", f"{tmp_path}/t/*.txt", f"{tmp_path}/t/*"):
+        assert sorted(r.text for r in texts.read_texts(spark, str(where)).collect()) == ["one", "two"]
+    df = spark.createDataFrame([("a\nb", 1)], "text string, predicted_class int")
+    texts.write_predictions(df, str(tmp_path / "out"))
+    assert texts.read_texts(spark, str(tmp_path / "out")).first().text == "a\nb"
+    (tmp_path / "t" / "c.csv").write_text("text\nx\n")
+    with pytest.raises(ValueError):
+        texts.read_texts(spark, str(tmp_path / "t"))
+
+
+def test_csv_encoding_is_found_for_each_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("id,text\n1,café\n".encode("utf-8"))
+    (tmp_path / "b.csv").write_bytes("id,text\n2,naïve\n3,\n".encode("latin-1"))
+    got = texts.read_csv_any_encoding(spark, f"{tmp_path}/*.csv", "text")
+    assert sorted((r.id, r.text) for r in got.collect()) == [("1", "café"), ("2", "naïve")]
+    assert got.columns == ["id", "text"]
+
+
+def test_line_numbers_follow_files_and_lines(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("b0@neutral\n" + "x" * 300 + "\n" + "b2@positive\n")
+    (tmp_path / "a.txt").write_text("\n".join(f"a{i} {'y' * i}@negative" for i in range(40)) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+    try:
+        for size in ("128m", "97b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = texts.read_labelled_text(spark, f"{tmp_path}/*.txt", None).orderBy("doc_id").collect()
+            seen.append([(r.doc_id, r.sentence.split(" ")[0]) for r in got])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[0] == [(i, f"a{i}") for i in range(40)] + [(40, "b0"), (42, "b2")]
+    assert seen[1] == seen[0]
 
 
 def test_predictions_and_metrics(spark, tmp_path):
@@ -47,8 +86,8 @@ def test_predictions_and_metrics(spark, tmp_path):
     stored = metrics_store.read_metrics(spark, str(tmp_path / "m"))
     names = spark.createDataFrame([("baseline_svm",), ("baseline_mlp",), ("mine",)], "model string")
     info = {r.model: r for r in metrics_store.model_info(names, stored).collect()}
-    assert info["baseline_svm"].accuracy == "50.0%" and info["baseline_svm"].speed == "Fast"
-    assert info["baseline_mlp"].accuracy == "87.6%" and info["mine"].type == "Unknown"
+    assert info["baseline_svm"].accuracy == "50.0%" and info["baseline_svm"].type == "linear"
+    assert info["baseline_mlp"].accuracy == "N/A" and info["mine"].type == "Unknown"
 
 
 def test_lexicon_files(spark, tmp_path):

@@ -9,7 +9,13 @@ from . import patterns as P
 
 
 def _ratio(part: Column, whole: Column) -> Column:
-    return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
+    """The fraction; 0 of nothing, null if either number is unknown."""
+    known = part.isNotNull() & whole.isNotNull()
+    return F.when(known, F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0)))
+
+
+def _at_most_one(x: Column) -> Column:
+    return F.when(x > 1.0, 1.0).otherwise(x)
 
 
 def sentiment_score(positive: Column, negative: Column) -> Column:
@@ -23,15 +29,19 @@ def flip_for_negation(score: Column, negations: Column) -> Column:
 
 
 def uncertainty_score(uncertain: Column, words: Column) -> Column:
-    return F.least(F.lit(1.0), _ratio(uncertain, words) * 5)
+    return _at_most_one(_ratio(uncertain, words) * 5)
 
 
 def subjectivity_score(opinions: Column, words: Column) -> Column:
-    return F.least(F.lit(1.0), _ratio(opinions, words) * 3)
+    return _at_most_one(_ratio(opinions, words) * 3)
 
 
 def sentiment_category(score: Column) -> Column:
-    return F.when(score > 0.2, "positive").when(score < -0.2, "negative").otherwise("neutral")
+    """By the sign of a clear score; null without a score."""
+    return (
+        F.when(score > 0.2, "positive").when(score < -0.2, "negative")
+        .when(score.isNotNull(), "neutral")
+    )
 
 
 def lexicon_confidence(score: Column, uncertainty: Column, negations: Column) -> Column:
@@ -41,14 +51,19 @@ def lexicon_confidence(score: Column, uncertainty: Column, negations: Column) ->
         - uncertainty * 0.3
         - F.least(F.lit(0.2), negations * F.lit(0.1))
     )
-    return F.greatest(F.lit(0.1), F.least(F.lit(1.0), raw))
+    return F.when(raw < 0.1, 0.1).when(raw > 1.0, 1.0).otherwise(raw)
 
 
 def softmax(scores: Column) -> Column:
     """Shifted softmax of a score array."""
-    exps = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(exps, lambda x: x / total)
+    def shares(exps: Column) -> Column:
+        # the array holds one item, so the total is taken once and not for every element
+        total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
+        return F.transform(F.array(total), lambda t: F.transform(exps, lambda x: x / t))[0]
+
+    shifted = F.transform(F.array(F.array_max(scores)), lambda m: F.transform(
+        scores, lambda x: F.exp(x - m)))
+    return F.transform(shifted, shares)[0]
 
 
 def argmax(scores: Column) -> Column:

@@ -13,7 +13,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.lexicon import Lexicon, is_in, only
 from ..functions.wording import CAPITALISED
-from .joins import BROADCAST_ROWS, join_lookup
+from .joins import join_lookup
 from .tfidf import Vocabulary, at, constant_numbers, constant_strings
 
 COEFS = ("coef_neg", "coef_neu", "coef_pos")  # class order 0, 1, 2
@@ -22,11 +22,11 @@ RANK_DIGITS = 6  # scores are ranked to 1e-6, so equal scores tie whatever the s
 
 
 def coef_lookup(
-    weights: DataFrame, coefs: DataFrame, key: str = "doc_id", max_rows: int = BROADCAST_ROWS
+    weights: DataFrame, coefs: DataFrame, key: str = "doc_id", salts: int | None = None
 ) -> DataFrame:
     """Attach class coefficients to each text's terms; terms without coefficients drop out."""
     table = coefs.select("term", *COEFS)
-    return join_lookup(weights, table, ["term"], spread_by=[key], max_rows=max_rows)
+    return join_lookup(weights, table, ["term"], spread_by=[key], salts=salts)
 
 
 def word_direction(lexicon: Lexicon, with_coefs: bool = True, term: str = "term") -> Column:

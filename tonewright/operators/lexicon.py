@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import CATEGORIES
-from .joins import BROADCAST_ROWS, join_lookup
+from .joins import join_lookup
 
 
 def explode_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -21,11 +21,11 @@ def explode_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def match_lexicon(
-    words: DataFrame, lexicon_table: DataFrame, key: str = "doc_id", max_rows: int = BROADCAST_ROWS
+    words: DataFrame, lexicon_table: DataFrame, key: str = "doc_id", salts: int | None = None
 ) -> DataFrame:
     """Words that occur in the lexicon, once per category: adds ``category``."""
     lookup = lexicon_table.select(F.lower("term").alias("term"), "category").distinct()
-    return join_lookup(words, lookup, ["term"], spread_by=[key, "position"], max_rows=max_rows)
+    return join_lookup(words, lookup, ["term"], spread_by=[key, "position"], salts=salts)
 
 
 def lexicon_counts(matches: DataFrame, key: str = "doc_id") -> DataFrame:

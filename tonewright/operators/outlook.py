@@ -23,9 +23,13 @@ def _share(part: str, total: str) -> Column:
 def aggregate_sentiment(
     df: DataFrame, by: Sequence[str] = (), score: str = "sentiment_score", category: str = "category"
 ) -> DataFrame:
-    """Size, mean and population deviation of the score, class counts and shares, trend (1.5x)."""
+    """Size, mean and population deviation of the score, class counts and shares, trend (1.5x).
+
+    Texts without a score (null texts) are counted apart, in ``null_texts``.
+    """
     counts = df.groupBy(*by).agg(
-        F.count("*").alias("total_texts"),
+        F.count(score).alias("total_texts"),
+        F.count_if(F.col(score).isNull()).alias("null_texts"),
         F.avg(score).alias("average_sentiment_score"),
         F.stddev_pop(score).alias("sentiment_std"),
         *[F.count_if(F.col(category) == c).alias(f"{c}_count")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import hashlib
+from collections.abc import Callable, Sequence
+from typing import Iterator
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +47,14 @@ def score_or_error(
     return df.withColumns({"label": out_label, "confidence": out_confidence})
 
 
-def letter_scorer() -> Callable[[], Scorer]:
-    """Maker of a stand-in scorer without weights: three scores from letter counts."""
-    def make():
-        def score(texts):
-            return [[t.count("a") / 4, t.count("e") / 4, t.count("o") / 4] for t in texts]
+_SCORERS: dict[str, Scorer] = {}
 
-        return score
 
-    return make
+def worker_scorer(key: str, make_scorer: Callable[[], Scorer]) -> Scorer:
+    """The scorer of this Python worker. Workers serve many tasks, so it is made once in each."""
+    if key not in _SCORERS:
+        _SCORERS[key] = make_scorer()
+    return _SCORERS[key]
 
 
 def score_external(
@@ -63,35 +66,35 @@ def score_external(
 ) -> DataFrame:
     """Score texts with a model that lives outside Spark, e.g. an ONNX file shipped to workers.
 
-    ``make_scorer`` runs once per task and returns a function from texts to three raw scores each.
-    Rows stay where they are; only the text column goes through Arrow. A batch that fails is
-    retried row by row, and a row that fails, or has no text, gets label ``error``.
+    ``make_scorer`` runs once per Python worker and returns a function from texts to three raw
+    scores each. Rows stay where they are; only the text column goes through Arrow. A batch that
+    fails is retried row by row; a row that fails, or has no text, gets label ``error``, and
+    ``error`` holds the failure's message.
     """
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        score = make_scorer()
-
-        def scores_of(texts: list[str]) -> list[list[float] | None]:
-            try:
-                return [list(map(float, s)) for s in score(texts)]
-            except Exception:
-                if len(texts) == 1:
-                    return [None]
-                return [s for t in texts for s in scores_of([t])]
-
+    key = hashlib.sha256(cloudpickle.dumps(make_scorer)).hexdigest()
+
+    def scores_of(score: Scorer, texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+        try:
+            return [(list(map(float, s)), None) for s in score(texts)]
+        except Exception as error:  # noqa: BLE001 - a bad row must not end the job
+            if len(texts) == 1:
+                return [(None, f"{type(error).__name__}: {error}")]
+            return [s for t in texts for s in scores_of(score, [t])]
+
+    @F.pandas_udf("scores array<double>, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        score = worker_scorer(key, make_scorer)
         for batch in batches:
             usable = [i for i, t in enumerate(batch) if isinstance(t, str) and t.strip()]
-            out: list[list[float] | None] = [None] * len(batch)
+            out: list[tuple] = [(None, "no text")] * len(batch)
             for start in range(0, len(usable), batch_size):
                 picked = usable[start:start + batch_size]
-                for i, scores in zip(picked, scores_of([batch.iloc[j] for j in picked])):
-                    out[i] = scores
-            yield pd.Series(out, index=batch.index, dtype=object)
+                for i, found in zip(picked, scores_of(score, [batch.iloc[j] for j in picked])):
+                    out[i] = found
+            yield pd.DataFrame(out, columns=["scores", "error"])
 
-    run.__annotations__ = {}  # the kind is given below, in place of pandas type hints
-    scorer = F.pandas_udf(run, "array<double>", F.PandasUDFType.SCALAR_ITER)
-    raw = df.withColumn("_scores", scorer(F.col(text)))
+    scored = df.withColumn("_raw", run(F.col(text)))
+    raw = scored.withColumns({"_scores": F.col("_raw.scores"), "error": F.col("_raw.error")}).drop("_raw")
     probabilities = S.softmax(F.col("_scores"))
     if external_order:
         probabilities = S.reorder_external(probabilities)

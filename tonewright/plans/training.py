@@ -45,17 +45,16 @@ from ..functions import patterns as P
 from ..functions import scores as S
 from ..operators import tfidf
 from ..operators.corpus import class_weights
-from ..operators.metrics import classification_metrics, union_results
+from ..operators.metrics import METRICS, classification_metrics, union_results
 from ..session import materialize
-from ..sources.metrics_store import FINE_TUNED, PRETRAINED
-from .scoring import prediction_record, soft_vote
+from ..sources.metrics_store import FINE_TUNED, METRIC_SCHEMA, PRETRAINED
+from .scoring import prediction_record, score_external, soft_vote
 
 log = logging.getLogger(__name__)
 
 CLASSIFIERS = ("logreg", "naive_bayes", "svm", "random_forest", "gradient_boosting", "mlp")
 LINEAR = ("logreg", "svm")
 SEED = 42
-DENSE_FEATURES = 1_000  # the neural network works on dense vectors
 
 
 def fit_features(
@@ -105,6 +104,7 @@ def classifier(name: str, n_rows: int, n_features: int, **changes) -> Estimator:
         return {**standard, **changes}
 
     linear = {"regParam": 1.0 / n_rows, "standardization": False, "maxIter": 1000, "tol": 1e-4}
+    dense = changes.pop("dense_features", None)
     if name == "logreg":
         return LogisticRegression(weightCol="weight", **merged(family="multinomial", **linear))
     if name == "naive_bayes":
@@ -125,24 +125,29 @@ def classifier(name: str, n_rows: int, n_features: int, **changes) -> Estimator:
             parallelism=1,  # every fit already uses the whole cluster
         )
     if name == "mlp":
-        layers = [min(n_features, DENSE_FEATURES), 256, 128, len(P.LABELS)]
+        layers = [min(n_features, dense or n_features), 256, 128, len(P.LABELS)]
         return MultilayerPerceptronClassifier(
-            featuresCol="selected", **merged(layers=layers, maxIter=500, seed=SEED)
+            featuresCol="selected" if dense else "features",
+            **merged(layers=layers, maxIter=500, tol=1e-4, seed=SEED),
         )
     raise ValueError(f"unknown classifier {name!r}; use one of {CLASSIFIERS}")
 
 
 def fit_classifier(name: str, data: DataFrame, **changes) -> list[Model]:
-    """Fit on ``features, label``; the stages to append to the feature pipeline."""
+    """Fit on ``features, label``; the stages to append to the feature pipeline.
+
+    ``dense_features`` (the neural network, which works on dense vectors) keeps that many features
+    with the strongest class signal; by default it sees the whole vocabulary.
+    """
     weighted, n_rows = with_weights(data)
     n_features = len(weighted.select("features").first()["features"])
     stages: list[Model] = []
-    if name == "mlp":
+    if name == "mlp" and changes.get("dense_features"):
         selector = UnivariateFeatureSelector(
             featuresCol="features", outputCol="selected", labelCol="label",
             selectionMode="numTopFeatures",
         ).setFeatureType("continuous").setLabelType("categorical")
-        selector = selector.setSelectionThreshold(min(n_features, DENSE_FEATURES))
+        selector = selector.setSelectionThreshold(min(n_features, changes["dense_features"]))
         stages.append(selector.fit(weighted))
         weighted = stages[0].transform(weighted)
     stages.append(classifier(name, n_rows, n_features, **changes).fit(weighted))
@@ -181,15 +186,19 @@ def evaluate_model(name: str, model, df: DataFrame, label: str = "label") -> Dat
 
 
 def compare_models(models: dict, df: DataFrame) -> DataFrame:
-    """Metric rows of all models; a model that fails is logged and left out."""
+    """Metric rows of all models with ``error``: null, or why a model has no metrics."""
     rows = []
     for name, model in models.items():
         try:
-            rows.append(materialize(evaluate_model(name, model, df)))
-        except Exception:  # noqa: BLE001 - one broken model must not hide the others
+            measured = materialize(evaluate_model(name, model, df))
+            rows.append(measured.withColumn("error", F.lit(None).cast("string")))
+        except Exception as error:  # noqa: BLE001 - one broken model must not hide the others
             log.exception("could not evaluate %s", name)
+            told = f"{type(error).__name__}: {error}"[:500]
+            rows.append(df.sparkSession.createDataFrame(
+                [(name, *[None] * len(METRICS), told)], f"{METRIC_SCHEMA}, error string"))
     if not rows:
-        raise ValueError("no model could be evaluated")
+        raise ValueError("no model to evaluate")
     return union_results(*rows)
 
 
@@ -220,6 +229,20 @@ def train_all(
         data.unpersist()
 
 
+def with_folds(data: DataFrame, key: str, folds: int, label: str = "label") -> DataFrame:
+    """Add ``_fold``: every class is shared out evenly, by cuts through the order of a hash.
+
+    The cuts are exact quantiles of a 16-bit hash for each class, counted in an aggregate; no
+    class is sorted.
+    """
+    hashed = data.where(F.col(label).isin(*range(len(P.LABELS)))).withColumn(
+        "_hash", F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1 << 16)).cast("int"))
+    cuts = hashed.groupBy(label).agg(F.percentile("_hash", [i / folds for i in range(1, folds)]).alias("_cuts"))
+    placed = hashed.join(F.broadcast(cuts), label)  # one row per class
+    fold = F.size(F.filter("_cuts", lambda c: F.col("_hash") > c))
+    return placed.withColumn("_fold", fold).drop("_hash", "_cuts")
+
+
 # --- ensemble -----------------------------------------------------------------------------------
 
 @dataclass
@@ -232,11 +255,12 @@ class CalibratedSvm:
     @classmethod
     def fit(cls, data: DataFrame, key: str = "doc_id", folds: int = 3, **changes) -> "CalibratedSvm":
         """Fit on ``key, features, label``: each fold calibrates the SVM of the other folds."""
-        weighted, n_rows = with_weights(data)
-        placed = weighted.withColumn("_fold", F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(folds)))
+        placed = with_folds(data, key, folds)
         members, sigmoids = [], []
         for fold in range(folds):
-            svm = classifier("svm", n_rows, 0, **changes).fit(placed.where(F.col("_fold") != fold))
+            # weights and penalty come from the rows that the member sees
+            seen, n_rows = with_weights(placed.where(F.col("_fold") != fold))
+            svm = classifier("svm", n_rows, 0, **changes).fit(seen)
             held_out = svm.transform(placed.where(F.col("_fold") == fold))
             margins = held_out.withColumn("_m", vector_to_array("rawPrediction"))
             members.append(svm)
@@ -356,6 +380,27 @@ def load_model(path: str, name: str):
     return SoftVoteModel.load(where) if name == "ensemble" else PipelineModel.load(where)
 
 
+def score_by_name(
+    path: str, name: str, df: DataFrame, text: str = "text", make_scorer=None
+) -> DataFrame:
+    """``df`` with a ``prediction`` record from the model that :func:`list_models` calls ``name``.
+
+    Stored models are loaded from ``path`` (with or without the prefix ``baseline_``); pretrained and
+    fine-tuned ones are scored by ``make_scorer``, which the caller supplies.
+    """
+    short = name.removeprefix("baseline_")
+    if short in (*CLASSIFIERS, "ensemble"):
+        model = load_model(path, short)
+        column = text_column(model)
+        scored = score(model, df.withColumn(column, F.col(text)))
+        return scored.select(*[c for c in scored.columns if c in (*df.columns, "prediction")])
+    if name == PRETRAINED or name.removesuffix("_finetuned") in FINE_TUNED:
+        if make_scorer is None:
+            raise ValueError(f"{name!r} needs make_scorer")
+        return score_external(df, make_scorer, text, external_order=name == PRETRAINED)
+    raise ValueError(f"unknown model {name!r}")
+
+
 def list_models(spark: SparkSession, path: str) -> list[str]:
     """Names of stored models, and the pretrained scorer, which needs no training."""
     def stored(name: str) -> bool:

@@ -20,7 +20,7 @@ select o_orderkey as doc_id, o_orderpriority as grp, dir,
       when 3 then '. Acme Holdings Inc. may face litigation in court.'
       when 4 then '. See https://ir.example.com/q?id=7 for details.'
       when 5 then '. Contact ir@example.com.'
-      when 6 then '. Could volatility be a risk?'
+      when 6 then '. Could volatility be a risk in FY2024, H1 or the fiscal year to March 31, 2025?'
       when 7 then '.  Résultat   naïve, no change.'
       else ' versus a profit of -3.5% last year.' end) as text
 from (
@@ -40,13 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input has fewer splits than that (one small file).
+    """Give every core work when the whole input is less than one split (``maxPartitionBytes``).
 
-    Text work costs far more than reading. A large table already has more splits than cores and
-    passes through unchanged, without a shuffle.
+    Text work costs far more than reading, and such a table would be a single task. What moves is
+    bounded by the size of a split; larger tables are read where they are and never pass through
+    a shuffle, whatever the number of cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < split else df
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

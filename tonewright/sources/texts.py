@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -39,20 +39,38 @@ def read_labelled_text(spark: SparkSession, path: str, level: str | None = "AllA
     """Read Latin-1 ``sentence@label`` files.
 
     With ``level``, ``path`` is the folder of the agreement files; with ``None`` it is a path or
-    glob. Lines stay splittable: bytes are decoded per line. ``doc_id`` follows file and line
-    order (it is unique, not dense) and ``file`` names the source.
+    glob. Lines stay splittable: bytes are decoded per line. ``doc_id`` is the number of the line in
+    the files in order of their paths, whatever the size of splits; ``file`` names the source.
     """
     if level is not None and level not in AGREEMENT_FILES:
         raise ValueError(f"unknown agreement level {level!r}; use one of {list(AGREEMENT_FILES)}")
     where = f"{path}/{AGREEMENT_FILES[level]}" if level else path
-    lines = spark.read.text(where).select(
-        F.monotonically_increasing_id().alias("doc_id"),
-        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"),
+    lines = numbered_lines(spark, where).select(
+        "doc_id",
+        F.element_at(F.split("path", "/"), -1).alias("file"),
         latin1(F.col("value")).alias("value"),
     )
     return parse_labelled_lines(lines)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, path, value``: lines with their number, counted through the files by path.
+
+    Ids within a task rise by one from line to line, so a line's place in its split is its id less
+    the split's first. The splits (one row each) are then counted through in order.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"), "value",
+    )
+    splits = lines.groupBy("path", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.orderBy("path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    number = F.col("_before") + F.col("_id") - F.col("_first")
+    return lines.join(splits, ["path", "_block"]).select(number.alias("doc_id"), "path", "value")
+
+
 def write_splits(df: DataFrame, path: str, file_format: str = "parquet") -> None:
     """Write the corpus partitioned by ``split``, so a reader of one split opens only its files."""
     writer = df.select("sentence", "label", "split").write.mode("overwrite").partitionBy("split")
@@ -69,9 +87,7 @@ def read_split(
     if split not in SPLITS:
         raise ValueError(f"unknown split {split!r}; use one of {SPLITS}")
     if file_format == "csv":
-        return spark.read.schema(SPLIT_SCHEMA).options(
-            header=True, multiLine=True, quote='"', escape='"'
-        ).csv(f"{path}/split={split}")
+        return spark.read.schema(SPLIT_SCHEMA).options(**csv_options(True)).csv(f"{path}/split={split}")
     stored = spark.read.schema(f"{SPLIT_SCHEMA}, split string").format(file_format).load(path)
     return stored.where(F.col("split") == split).select("sentence", "label")
 
@@ -84,16 +100,39 @@ def non_empty_lines(lines: DataFrame, value: str = "value", out: str = "text") -
     return stripped.where(F.col(out) != "")
 
 
-def read_texts(spark: SparkSession, path: str, text_column: str = "text") -> DataFrame:
-    """Texts to score: ``.csv`` with a named column, or ``.txt`` with one text per line."""
-    if path.endswith(".csv"):
-        df = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path)
-        if text_column not in df.columns:
-            raise ValueError(f"no column {text_column!r} in {path}; found {df.columns}")
-        return df
-    if path.endswith(".txt"):
+def file_kind(spark: SparkSession, path: str) -> str:
+    """``csv`` or ``txt``: what the files of a path, folder or glob are."""
+    for kind in ("csv", "txt"):
+        if path.endswith(f".{kind}"):
+            return kind
+    # names only; contents are not read
+    names = spark.read.format("binaryFile").load(path).select(
+        F.regexp_extract("path", r"\.([A-Za-z]+)$", 1).alias("kind"))
+    found = {r["kind"] for r in names.distinct().collect()}
+    if len(found) != 1 or not found <= {"csv", "txt"}:
+        raise ValueError(f"unsupported file format: {path} holds {sorted(found)}")
+    return found.pop()
+
+
+def csv_options(line_breaks: bool) -> dict:
+    return {"header": True, "multiLine": line_breaks, "quote": '"', "escape": '"'}
+
+
+def read_texts(
+    spark: SparkSession, path: str, text_column: str = "text", line_breaks: bool = True
+) -> DataFrame:
+    """Texts to score: CSV with a named column, or ``.txt`` with one text per line.
+
+    ``path`` is a file, folder or glob. Texts in a CSV file may hold quoted line breaks, which makes
+    each file one task; ``line_breaks=False`` lets large files be split where there are none. For
+    large input Parquet is the better format.
+    """
+    if file_kind(spark, path) == "txt":
         return non_empty_lines(spark.read.text(path))
-    raise ValueError(f"unsupported file format: {path}")
+    df = spark.read.options(**csv_options(line_breaks)).csv(path)
+    if text_column not in df.columns:
+        raise ValueError(f"no column {text_column!r} in {path}; found {df.columns}")
+    return df
 
 
 def decode_per_file(lines: DataFrame, file: str = "file", raw: str = "raw", out: str = "text") -> DataFrame:
@@ -120,14 +159,23 @@ def read_texts_any_encoding(spark: SparkSession, path: str) -> DataFrame:
     return non_empty_lines(decode_per_file(lines), "text", "text")
 
 
-def read_csv_any_encoding(spark: SparkSession, path: str, text_column: str) -> DataFrame:
-    """CSV of unknown encoding (one encoding for the whole path); null texts are dropped."""
-    broken = spark.read.text(path).where(~F.is_valid_utf8(F.col("value")))
-    encoding = "UTF-8" if broken.isEmpty() else "ISO-8859-1"
-    df = spark.read.options(
-        header=True, multiLine=True, quote='"', escape='"', encoding=encoding
-    ).csv(path)
-    return df.where(F.col(text_column).isNotNull())
+def read_csv_any_encoding(
+    spark: SparkSession, path: str, text_column: str, line_breaks: bool = True
+) -> DataFrame:
+    """CSV files of unknown encoding, found for each file; rows without a text are dropped.
+
+    All files are read in both encodings and each file's rows are taken from the right one, so
+    no list of files is gathered. Column names have to be the same in both.
+    """
+    broken = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("_file")).agg(
+        F.max(~F.is_valid_utf8(F.col("value"))).alias("_broken"))
+    broken = broken.where("_broken").select("_file")
+    parts = []
+    for encoding, how in (("UTF-8", "left_anti"), ("ISO-8859-1", "left_semi")):
+        df = spark.read.options(**csv_options(line_breaks), encoding=encoding).csv(path)
+        named = df.select("*", F.col("_metadata.file_path").alias("_file"))
+        parts.append(named.join(broken, "_file", how).select(*df.columns))
+    return parts[0].unionByName(parts[1]).where(F.col(text_column).isNotNull())
 
 
 def write_predictions(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
