@@ -413,10 +413,22 @@ add("top_features_per_class", f"select term, class, {r6('coef')} as coef, rank f
 add("class_word_comparison", f"""select term as word, {r6('coef')} as score,
   upper(class[1]) || class[2:] as sentiment from tf where rank <= 5""", headline_coefs(), TOP_FEATURES)
 E_ = explained()
-add("explain_prediction", f"""select doc_id, category as prediction,
+_parts = ", ".join(f"coalesce(sum(tfidf * lp{c}), 0e0) as s{c}" for c in range(3))
+_joint = ", ".join(
+    f"s{c} + ln((select count(*) filter (label = {c}) from hl)::double / (select count(*) from hl)) as jll_{c}"
+    for c in range(3))
+_top = "greatest(jll_0, jll_1, jll_2)"
+_total = " + ".join(f"exp(jll_{c} - {_top})" for c in range(3))
+MODEL_SCORES = f"""ms as (select doc_id, {_joint} from (
+  select h.doc_id, {_parts} from h left join (select * from w join nb using (term)) t using (doc_id) group by h.doc_id)),
+mp as (select *, {decode(argmax(_jll))} as prediction, """ + ", ".join(
+    f"exp(jll_{c} - {_top}) / ({_total}) as p{c}" for c in range(3)) + " from ms)"
+add("explain_prediction", """select doc_id, prediction, """ + ", ".join(
+    f"{r6(f'p{i}')} as p_{c}" for i, c in enumerate(("negative", "neutral", "positive"))) + f""",
   {joined('list_transform(items, lambda x: x.word)')} as word_importance, """ + ", ".join(
     f"{joined(c + '_words')} as {c}_words" for c in ("negative", "neutral", "positive")) + ", " + ", ".join(
-    f"{joined('lex_' + c)} as lexicon_{c}" for c in ("positive", "negative", "uncertainty")) + " from e", E_)
+    f"{joined('lex_' + c)} as lexicon_{c}" for c in ("positive", "negative", "uncertainty"))
+    + " from e join mp using (doc_id)", E_, MODEL_SCORES)
 _colour = pick("direction", {k: q(v) for k, v in P.HIGHLIGHT_COLOURS.items()}, "'#ffffff'")
 SQL["highlight_html"] = f"""with {IMP},
 tk as (select doc_id, unnest(range(0, len(ts))) as position, unnest(ts) as tok

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import scores as S
 from ..functions import text as T
 from ..functions.lexicon import Lexicon, is_in, only
 from ..functions.wording import CAPITALISED
 from .joins import join_lookup
-from .tfidf import Vocabulary, at, constant_numbers, constant_strings
+from .tfidf import CLASSES, Vocabulary, at, constant_numbers, constant_strings, score_naive_bayes
 
 COEFS = ("coef_neg", "coef_neu", "coef_pos")  # class order 0, 1, 2
 ITEMS = "array<struct<word:string,score:double,direction:string>>"
@@ -174,6 +175,28 @@ def explain_words(
     return told.drop(*[f"_{side}" for side in sides], *[f"_{side}_known" for side in sides])
 
 
+def explain_prediction(
+    rows: DataFrame,
+    scores: WordScores,
+    model: DataFrame,
+    priors: DataFrame,
+    lexicon: Lexicon,
+    key: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """A fitted model's class for each text with the words that speak for it: ``prediction`` (class
+    name), ``probabilities`` in class order, and the lists of :func:`explain_words`. ``rows`` are rows of
+    :func:`weigh_rows` that kept the text; everything is a projection of them."""
+    vectors = ["term_no", "tf", "tfidf"]
+    scored = score_naive_bayes(
+        rows, scores.vocabulary, model, priors, key, keep=[text, *vectors])
+    joint = F.array(*[F.col(f"jll_{c}") for c in CLASSES])
+    told = scored.withColumn("probabilities", S.softmax(joint)).withColumn(
+        "prediction", T.decode_label(F.col("prediction")))
+    listed = importance_lists(told, scores, key=key, keep=[text, "prediction", "probabilities"])
+    return explain_words(listed, lexicon, text)
+
+
 def highlight_html(
     df: DataFrame, text: str = "text", top_words: str = "word_importance", top: int = 15, out: str = "html"
 ) -> DataFrame:

@@ -185,7 +185,12 @@ def fit_naive_bayes(weights: DataFrame, label: str = "label", alpha: float = 0.1
 
 
 def score_naive_bayes(
-    rows: DataFrame, vocab: Vocabulary, model: DataFrame, priors: DataFrame, key: str = "doc_id"
+    rows: DataFrame,
+    vocab: Vocabulary,
+    model: DataFrame,
+    priors: DataFrame,
+    key: str = "doc_id",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Joint log likelihood and predicted class for every row of :func:`weigh_rows`; a text without
     known terms is decided by the priors. ``model`` has at most one row per vocabulary term, so it
@@ -205,7 +210,7 @@ def score_naive_bayes(
         return F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
 
     scored = rows.withColumn("_p", prior).select(
-        key, *[(likelihood(c) + F.col(f"_p.prior_{c}")).alias(f"jll_{c}") for c in CLASSES])
+        key, *keep, *[(likelihood(c) + F.col(f"_p.prior_{c}")).alias(f"jll_{c}") for c in CLASSES])
     joint = F.array(*[F.col(f"jll_{c}") for c in CLASSES])
     best = (F.array_position(joint, F.array_max(joint)) - 1).cast("int")
     return scored.withColumn("prediction", best)

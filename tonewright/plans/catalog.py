@@ -107,18 +107,24 @@ def headline_vocabulary(spark: SparkSession, d: str) -> tfidf.Vocabulary:
     return tfidf.fit_vocabulary(headlines(spark, d))
 
 
-def headline_coefs(spark: SparkSession, d: str, vocab: tfidf.Vocabulary | None = None) -> DataFrame:
-    """Naive Bayes log probabilities as coefficients. Fitted once and stored: at most one row per
-    vocabulary term."""
-    vocab = vocab or headline_vocabulary(spark, d)
+def headline_model(spark: SparkSession, d: str, vocab: tfidf.Vocabulary) -> DataFrame:
+    """Naive Bayes of the headlines. Fitted once and stored: at most one row per vocabulary term."""
     weights = tfidf.weigh(labelled_headlines(spark, d), vocab, keep=["label"])
-    return materialize(tfidf.naive_bayes_coefficients(tfidf.fit_naive_bayes(weights)))
+    return materialize(tfidf.fit_naive_bayes(weights))
 
 
-def headline_scores(spark: SparkSession, d: str) -> importance.WordScores:
-    """Vocabulary, factors and directions of the headlines' words: fitted once, used for any text."""
+def headline_coefs(spark: SparkSession, d: str) -> DataFrame:
+    model = headline_model(spark, d, headline_vocabulary(spark, d))
+    return tfidf.naive_bayes_coefficients(model)
+
+
+def headline_scores(spark: SparkSession, d: str) -> tuple[importance.WordScores, DataFrame]:
+    """Vocabulary, factors and directions of the headlines' words, and the model they come from:
+    fitted once, used for any text."""
     vocab = headline_vocabulary(spark, d)
-    return importance.word_scores(spark, vocab, LEXICON, headline_coefs(spark, d, vocab))
+    model = headline_model(spark, d, vocab)
+    coefs = tfidf.naive_bayes_coefficients(model)
+    return importance.word_scores(spark, vocab, LEXICON, coefs), model
 
 
 def vector(first: int) -> Column:
@@ -352,7 +358,8 @@ def lexicon_word_lists(spark, d):
 def coef_lookup(spark, d):
     vocab = headline_vocabulary(spark, d)
     weights = tfidf.weigh(headlines(spark, d), vocab)
-    rows = importance.coef_lookup(weights, headline_coefs(spark, d, vocab))
+    coefs = tfidf.naive_bayes_coefficients(headline_model(spark, d, vocab))
+    rows = importance.coef_lookup(weights, coefs)
     return rows.select(
         "doc_id", "term", *[r6(c).alias(c) for c in ("tfidf", *importance.COEFS)]
     )
@@ -872,7 +879,7 @@ def naive_bayes_predictions(spark, d):
 
 @query
 def word_importance(spark, d):
-    scores = headline_scores(spark, d)
+    scores, _ = headline_scores(spark, d)
     rows = tfidf.weigh_rows(headlines(spark, d), scores.vocabulary)
     return importance.word_importance(rows, scores).withColumn("score", r6("score"))
 
@@ -885,7 +892,7 @@ def word_importance_without_coefs(spark, d):
 
 
 def headline_top_words(spark, d) -> DataFrame:
-    scores = headline_scores(spark, d)
+    scores, _ = headline_scores(spark, d)
     rows = tfidf.weigh_rows(headlines(spark, d), scores.vocabulary)
     return importance.top_words_per_text(rows, scores)
 
@@ -911,7 +918,7 @@ def class_word_comparison(spark, d):
 
 
 def explained(spark, d) -> DataFrame:
-    scores = headline_scores(spark, d)
+    scores, _ = headline_scores(spark, d)
     keep = ["text", "category", "confidence"]
     rows = tfidf.weigh_rows(judged(spark, d), scores.vocabulary, keep=keep)
     return importance.explain_words(importance.importance_lists(rows, scores, keep=keep), LEXICON)
@@ -923,8 +930,12 @@ def words_of(array: str) -> Column:
 
 @query
 def explain_prediction(spark, d):
-    return explained(spark, d).select(
-        "doc_id", F.col("category").alias("prediction"),
+    scores, model = headline_scores(spark, d)
+    rows = tfidf.weigh_rows(headlines(spark, d), scores.vocabulary, keep=["text"])
+    priors = tfidf.class_priors(labelled_headlines(spark, d))
+    return importance.explain_prediction(rows, scores, model, priors, LEXICON).select(
+        "doc_id", "prediction",
+        *[r6(F.get("probabilities", F.lit(i))).alias(f"p_{c}") for i, c in enumerate(P.LABELS)],
         joined(words_of("word_importance")).alias("word_importance"),
         *[joined(words_of(f"{c}_words")).alias(f"{c}_words") for c in P.LABELS],
         *[joined(f"lexicon_{c}").alias(f"lexicon_{c}")
