@@ -119,6 +119,12 @@ def test_cascade_keeps_the_same_in_any_order(spark):
     assert 0 < rejected.sum() < len(data)
 
 
+def test_stutters_stop_at_the_end_of_a_text():
+    data = [b"a a b", b"b b b", b"", b"b"]
+    texts = quality.Texts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert texts["stutters"].tolist() == [1, 2, 0, 0]
+
+
 def test_rules_that_reject_more_for_less_come_first(spark):
     docs = frame(spark, [(i, "word " * 30) for i in range(50)])
 

@@ -121,6 +121,19 @@ def _lettered(texts: Texts) -> np.ndarray:
     return has[first[1:]] - has[first[:-1]]
 
 
+def _stutters(texts: Texts) -> np.ndarray:
+    """Words that equal the word before."""
+    start, end = texts["_words"]
+    first = np.searchsorted(start, texts.offsets)
+    again = np.zeros(len(start), bool)
+    if len(start):
+        hashes = span_hash(prefix_hash(texts.data), start, end)
+        again[1:] = hashes[1:] == hashes[:-1]
+        again[first[:-1][first[:-1] < len(start)]] = False
+    total = np.concatenate([[0], np.cumsum(again)])
+    return total[first[1:]] - total[first[:-1]]
+
+
 FEATURES: dict[str, Callable[[Texts], np.ndarray]] = {
     "_words": _words,
     "n_words": _n_words,
@@ -133,6 +146,7 @@ FEATURES: dict[str, Callable[[Texts], np.ndarray]] = {
     "letters": lambda t: t.count(_LETTER),
     "shouts": lambda t: t.count(_SHOUT),
     "lettered": _lettered,
+    "stutters": _stutters,
 }
 
 
@@ -174,6 +188,10 @@ def few_lettered_words(t: Texts) -> np.ndarray:
     return 10 * t["lettered"] < 8 * t["n_words"]
 
 
+def stuttering(t: Texts) -> np.ndarray:
+    return 10 * t["stutters"] > 3 * t["n_words"]
+
+
 BASE = (Rule("few_words", few_words), Rule("many_repeats", many_repeats))
 RULES = (
     Rule("many_symbols", many_symbols),
@@ -182,6 +200,7 @@ RULES = (
     Rule("mostly_capitals", mostly_capitals),
     Rule("many_shouts", many_shouts),
     Rule("few_lettered_words", few_lettered_words),
+    Rule("stuttering", stuttering),
 )
 
 
