@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tonewright.llm import (
     chat, embeddings, language, minhash, mixing, packing, quality, sharding, suffix, warc,
 )
+from tonewright.llm.sql import SQL  # noqa: F401 - registered with the queries
 from tonewright.sources.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -109,4 +110,3 @@ QUERIES = {
         op7_warc, op8_chat, op9_jump_shards, op10_mixing,
     )
 }
-SQL: dict[str, str] = {}
