@@ -496,6 +496,14 @@ add("comprehensive_explanation", f"""select doc_id,
   {joined('key_factors')} as key_factors, final_sentiment as reasoning_prediction,
   {r6('final_confidence')} as reasoning_confidence, lower(model_label) = final_sentiment as agreement,
   reasoning, {trace()} as trace from r""", MODEL_R)
+_influential = ", ".join(
+    f"""{joined(f"list_transform(list_filter(items, lambda x: x.direction = '{c}')[1:5], lambda x: x.word)")}
+      as influential_{c}""" for c in ("positive", "negative"))
+add("comprehensive_explanation_words", f"""select e.doc_id, {_influential},
+  {r6('f.score')} as lexicon_sentiment_score, {r6('f.uncertainty_score')} as uncertainty_level,
+  {joined('f.positive_words[1:10]')} as positive_words_found, {joined('f.negative_words[1:10]')} as negative_words_found,
+  {joined('percentages')} as percentages, {joined('currencies')} as currencies, {joined('companies')} as companies
+from e join f using (doc_id)""", E_)
 add("sample_analyses", f"""select doc_id, {preview('text', 100)} as shown, model_label as prediction,
   {joined('key_factors[1:3]')} as key_factors from r order by doc_id limit 3""", MODEL_R)
 

@@ -15,6 +15,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.lexicon import Lexicon, only
 from ..functions.wording import REASON, STEPS, TRACE_STEP, fill
+from . import features
 
 MODEL_COLUMNS = ("model_label", "model_confidence")
 
@@ -336,14 +337,39 @@ def reason(
     )
 
 
+def _with_linguistic(df: DataFrame, text: str, lexicon: Lexicon | None) -> DataFrame:
+    found = features.analyze(df, text, lexicon)
+    block = F.struct(
+        F.col("sentiment.score").alias("lexicon_sentiment_score"),
+        F.col("linguistic.uncertainty_score").alias("uncertainty_level"),
+        F.col("features.positive_words").alias("positive_words_found"),
+        F.col("features.negative_words").alias("negative_words_found"),
+        F.col("entities").alias("entities_found"),
+    )
+    return found.select(*df.columns, block.alias("linguistic_analysis"))
+
+
+def _scored(direction: str) -> Column:
+    kept = F.filter("word_importance", lambda x: x["direction"] == direction)
+    return F.transform(kept, lambda x: x.dropFields("direction"))
+
+
 def comprehensive_explanation(
     df: DataFrame,
     text: str = "text",
     lexicon: Lexicon | None = None,
     model: Sequence[str] = MODEL_COLUMNS,
 ) -> DataFrame:
-    """Model prediction and reasoning side by side, in words and as a struct."""
-    full = reason(df, text, lexicon, model)
+    """Model prediction and reasoning side by side, in words and as a struct.
+
+    ``linguistic_analysis`` holds the lexicon's view of the text. If ``df`` has ``word_importance``
+    (:func:`importance.importance_lists`), ``influential_words`` names the first five words and scores of
+    either direction.
+    """
+    full = reason(_with_linguistic(df, text, lexicon), text, lexicon, model)
+    if "word_importance" in df.columns:
+        full = full.withColumn("influential_words", F.struct(*[
+            F.slice(_scored(side), 1, 5).alias(side) for side in ("positive", "negative")]))
     label, confidence = F.col(model[0]), F.col(model[1])
     final, final_confidence = F.col("final_sentiment"), F.col("final_confidence")
     agreement = F.lower(label) == final

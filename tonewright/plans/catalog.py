@@ -1024,6 +1024,24 @@ def comprehensive_explanation(spark, d):
     )
 
 
+@query
+def comprehensive_explanation_words(spark, d):
+    """The influential words and the linguistic block of the comprehensive explanation."""
+    scores, _ = headline_scores(spark, d)
+    keep = ["text", "model_label", "model_confidence"]
+    rows = tfidf.weigh_rows(with_model(spark, d), scores.vocabulary, keep=keep)
+    listed = importance.importance_lists(rows, scores, keep=keep)
+    full = reasoning.comprehensive_explanation(listed, lexicon=LEXICON)
+    block = "linguistic_analysis"
+    return full.select(
+        "doc_id",
+        *[joined(words_of(f"influential_words.{c}")).alias(f"influential_{c}") for c in ("positive", "negative")],
+        *[r6(f"{block}.{c}").alias(c) for c in ("lexicon_sentiment_score", "uncertainty_level")],
+        *[joined(f"{block}.{c}_words_found").alias(f"{c}_words_found") for c in ("positive", "negative")],
+        *[joined(f"{block}.entities_found.{c}").alias(c) for c in ("percentages", "currencies", "companies")],
+    )
+
+
 @query
 def sample_analyses(spark, d):
     sampled = reasoning.sample_analyses(with_model(spark, d), lexicon=LEXICON)

@@ -84,6 +84,16 @@ def vectors(features: PipelineModel, df: DataFrame, keep: Sequence[str]) -> Data
     return features.transform(df).select(*keep, "features")
 
 
+ROWS_PER_TASK = 2_000
+
+
+def training_vectors(features: PipelineModel, train: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Feature vectors for the solvers, which run very many short jobs: small sets are held in few
+    partitions, so a job is not mostly the start of its tasks. Large ones keep theirs."""
+    rows = vectors(features, train, keep)
+    return rows.coalesce(max(1, -(-train.count() // ROWS_PER_TASK)))
+
+
 def with_weights(df: DataFrame, label: str = "label") -> tuple[DataFrame, int]:
     """Add balanced class weights in ``weight``; also the number of rows."""
     known = df.where(F.col(label).isin(*range(len(P.LABELS))))
@@ -205,7 +215,7 @@ def compare_models(models: dict, df: DataFrame) -> DataFrame:
 def train_model(name: str, train: DataFrame, text: str = "sentence", features=None, **changes):
     """Fit one classifier on ``doc_id, text, label``; returns the whole pipeline."""
     features = features or fit_features(train, text)
-    data = vectors(features, train, ["label"]).persist()
+    data = training_vectors(features, train, ["label"]).persist()
     try:
         return PipelineModel(stages=features.stages + fit_classifier(name, data, **changes))
     finally:
@@ -217,7 +227,7 @@ def train_all(
 ) -> dict[str, PipelineModel]:
     """Fit several classifiers on one set of cached feature vectors."""
     features = fit_features(train, text)
-    data = vectors(features, train, ["label"]).persist()
+    data = training_vectors(features, train, ["label"]).persist()
     try:
         return {
             name: PipelineModel(
@@ -351,7 +361,7 @@ def train_ensemble(
     """Fit the three members on one set of cached feature vectors."""
     changes = changes or {}
     features = fit_features(train, text, key)
-    data = vectors(features, train, [key, "label"]).persist()
+    data = training_vectors(features, train, [key, "label"]).persist()
     try:
         forest = {"numTrees": 100, "maxDepth": 30, "minInstancesPerNode": 1}
         return SoftVoteModel(
