@@ -69,6 +69,27 @@ def test_near_duplicates_in_other_documents_of_an_entry(spark):
     assert got == {d: c for d, (_, c) in brute.near_duplicates(rows, 80).items()}
 
 
+def test_large_groups_are_verified_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 3)
+    monkeypatch.setattr(minhash, "TILE", 7)
+    rng = random.Random(12)
+    bases = [words(120, rng), words(90, rng)]
+    rows = [(i, edited(bases[i % 2], rng.randint(0, 5), rng)) for i in range(70)]
+    got = {r["doc_id"]: r["component_id"] for r in
+           minhash.near_duplicates(frame(spark, rows), percent=85).collect()}
+    assert got == {d: c for d, (_, c) in brute.near_duplicates(rows, 85).items()}
+    assert len(set(got.values())) > 2
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 16)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(0, 60))).astype(np.uint64) for _ in range(20)]
+    expected = [[len(np.intersect1d(a, b)) for b in sets[9:]] for a in sets[:9]]
+    assert (minhash.shared_counts(sets[:9], sets[9:]) == expected).all()
+    assert minhash.shared_counts([np.zeros(0, np.uint64)], sets[:2]).shape == (1, 2)
+
+
 def test_near_duplicates_of_repeated_rows_and_of_nothing(spark):
     rows = [(1, words(20)), (2, words(20)), (None, words(20))]
     got = minhash.near_duplicates(frame(spark, rows + rows), percent=80).collect()

@@ -1,7 +1,8 @@
-"""Connected components of a table of links, by joins."""
+"""Connected components of a table of links, by joins, and of a few in memory."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     lowest = edges.groupBy("u").agg(F.min("v").alias("low"))
     tied = edges.join(lowest, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return tied.union(lowest.select("u", "low")).distinct()
+
+
+def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest node reachable from each of ``n`` nodes."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low

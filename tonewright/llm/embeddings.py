@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.llm.common import checkpoint, running_total
-from tonewright.llm.components import connected_components
+from tonewright.llm.components import connected_components, local_components
 from tonewright.llm.packing import hilbert_key
 
 TILE = 1024
@@ -84,19 +84,6 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.nda
     return i[good], j[good]
 
 
-def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest node reachable from each of ``n`` nodes."""
-    label = np.arange(n)
-    while True:
-        low = label.copy()
-        np.minimum.at(low, i, label[j])
-        np.minimum.at(low, j, label[i])
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
-
-
 def tile_rows(cell: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, copies and vectors of a tile, as they come in a list of structs."""
     flat = cell.values

@@ -6,9 +6,12 @@ each collection. ``bands`` keys on either side give ``bands * bands`` tables whi
 probability ``(1 - (1 - s**rows)**bands)**2``: 0.99993 at 0.85 with the default values.
 
 What meets is verified on full shingle sets. Copies of one word sequence form a class first and take
-part once. Within a table entry every document is compared with the smallest one; when that has
-joined what belongs together, all pairs left in different components of an entry are compared as
-well, so no pair that met goes unverified.
+part once. Within a table entry every document is compared with the smallest one. When that has
+joined what belongs together, documents of one entry may still be in different components. Entries of
+up to ``SMALL`` documents then list their pairs, which is linear in the rows. Documents that larger
+entries hold together form groups; a group is cut into tiles of ``TILE`` documents, and pairs of tiles
+count the shingles that their documents share as products of incidence matrices, without a row for
+any pair. So every pair that met is verified, in no matter how large an entry.
 
 Nulls and odd input: a null or blank text has an empty set and is linked with nothing; fewer words
 than a shingle count as one shingle; rows with one doc_id are one document in the links (each row is
@@ -26,13 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.llm.common import (
-    checkpoint, mix, prefix_hash, slices, span_hash, text_bytes, word_bounds,
+    checkpoint, mix, prefix_hash, running_total, slices, span_hash, text_bytes, word_bounds,
 )
-from tonewright.llm.components import connected_components
+from tonewright.llm.components import connected_components, local_components
 
 SHINGLE = 5
 BANDS = 8
 ROWS = 2
+SMALL = 30
+TILE = 256
+COLUMNS = 8192  # shingles whose incidence is multiplied at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -164,6 +170,83 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set on the left has in common with each on the right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    every = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, value, times = np.unique(every, return_inverse=True, return_counts=True)
+    shared = times[value] > 1
+    rank = np.cumsum(times > 1) - 1
+    row, value = row[shared], rank[value[shared]]
+    order = np.argsort(value, kind="stable")
+    row, value = row[order], value[order]
+    for first in range(0, int(rank[-1]) + 1 if len(rank) else 0, COLUMNS):
+        part = slice(*np.searchsorted(value, [first, first + COLUMNS]))
+        grid = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        grid[row[part], value[part] - first] = 1
+        out += grid[: len(left)] @ grid[len(left):].T
+    return out
+
+
+def verify_groups(groups: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``node, component`` (groups of documents that met) -> links ``a, b`` that join, within each pair of
+    tiles, all documents that are similar; a spanning star for each set, not every pair."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(2))
+            for lo, hi in slices(offsets):
+                part = data[offsets[lo]: offsets[hi]]
+                hashes, where, _ = shingles(part, offsets[lo: hi + 1] - offsets[lo], size)
+                values, at = sorted_sets(hashes, where)
+                packed = [values[s:e].tobytes() for s, e in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(packed, pa.binary()),
+                ], names=["part", "doc_id", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                same = batch.column(0)[row].as_py() == batch.column(1)[row].as_py()
+                sides = []
+                for column in (2, 3):
+                    items = batch.column(column)[row].values
+                    ids = items.field("doc_id").to_numpy(zero_copy_only=False)
+                    sides.append((ids, [np.frombuffer(x, np.uint64) for x in items.field("shingles").to_pylist()]))
+                (ids_x, x), (ids_y, y) = sides
+                both = shared_counts(x, y)
+                total = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :] - both
+                i, j = np.nonzero((both > 0) & (100 * both.astype(np.int64) >= percent * total.astype(np.int64)))
+                ids = ids_x if same else np.concatenate([ids_x, ids_y])
+                label = local_components(len(ids), i, j if same else j + len(x))
+                tied = np.flatnonzero(label != np.arange(len(ids)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[label[tied]]), pa.array(ids[tied])], names=["a", "b"])
+
+    members = groups.select(F.col("component").alias("part"), F.col("node").alias("doc_id"))
+    order = [F.col("part"), F.xxhash64("doc_id"), F.col("doc_id")]
+    placed = running_total(members, order, F.lit(1).cast("long"), "place")
+    begins = placed.groupBy("part").agg(F.min("place").alias("begin"), F.count("*").alias("n"))
+    placed = placed.join(begins, "part").select(
+        "part", "doc_id", F.floor((F.col("place") - F.col("begin")) / TILE).alias("tile"),
+        F.ceil(F.col("n") / TILE).alias("tiles"),
+    )
+    texts = docs.join(members.select("part", "doc_id"), "doc_id").select("part", "doc_id", "text")
+    packed = texts.mapInArrow(sets, "part long, doc_id long, shingles binary")
+    tiles = checkpoint(
+        packed.join(placed, ["part", "doc_id"]).groupBy("part", "tile", "tiles")
+        .agg(F.collect_list(F.struct("doc_id", "shingles")).alias("items"))
+    )
+    left = tiles.select(
+        "part", F.col("tile").alias("left_tile"), F.col("items").alias("left"),
+        F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("right_tile"),
+    )
+    right = tiles.select("part", F.col("tile").alias("right_tile"), F.col("items").alias("right"))
+    pairs = left.join(right, ["part", "right_tile"]).select("left_tile", "right_tile", "left", "right")
+    return pairs.mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     text: str = "text",
@@ -212,18 +295,22 @@ def near_duplicates(
         "entry", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
     )
     mixed = found.groupBy("entry").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi")
-    ).where("lo < hi").select("entry")
-    found = found.join(mixed, "entry", "left_semi")
-    other = found.select(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"),
+        F.min("doc_id").alias("head"),
+    ).where("lo < hi").select("entry", "n", "head")
+    found = checkpoint(found.join(mixed, "entry"))
+    few = found.where(F.col("n") <= SMALL)
+    other = few.select(
         "entry", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_other"),
         F.col("component").alias("component_b"),
     )
     rest = checkpoint(
-        found.join(other, "entry").where("doc_id < b and component <> component_b").where(close)
+        few.join(other, "entry").where("doc_id < b and component <> component_b").where(close)
         .select(F.col("doc_id").alias("a"), "b").distinct()
         .join(first_pairs, ["a", "b"], "left_anti")
     )
+    many = found.where(F.col("n") > SMALL).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
+    links = links.union(verify_groups(connected_components(many), docs, size, percent))
     links = links.union(verify(rest, docs, size, percent))
     found = connected_components(links)
     return (
