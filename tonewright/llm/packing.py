@@ -16,6 +16,7 @@ key stays null; an empty table gives no pieces; other columns are not read.
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,41 +43,91 @@ def tokenizer_of(path: str):
 
 class WordIds:
     """Token ids of words, remembered. White space always separates tokens, so a text's ids are the
-    ids of its words in a row; a word's are those of its letters and of the mark that follows."""
+    ids of its words in a row; a word's are those of its letters and of the mark that follows.
+
+    New words of letters only are encoded many at a time. Where the vocabulary marks the end of a word,
+    each of them has one such token, so the ids fall apart into words again.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer_of(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {"": b""}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def ask(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, packed."""
+        out: list[bytes] = []
+        for first in range(0, len(words), 500):
+            part = words[first: first + 500]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids) and all(map(str.isalpha, part)):
+                packed, width = ids.astype(self.kind).tobytes(), self.kind.itemsize
+                cuts = [0, *(stops * width).tolist()]
+                out.extend(packed[i:j] for i, j in zip(cuts, cuts[1:]))
+            else:
+                for found in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                    out.append(np.array(found.ids, self.kind).tobytes())
+        return out
 
     def learn(self, words: set[str]) -> None:
-        memo = self.memo
-        if len(memo) + len(words) > MEMO:
-            memo.clear()
-            memo[""] = b""
-        new = [w for w in words if w not in memo]
-        plain: dict[str, tuple[str, str]] = {}
-        for word in new:
-            body, mark = (word[:-1], word[-1]) if word[-1] in ",." and word[:-1].isalpha() else (word, "")
-            plain[word] = (body.lower() if body.isascii() and body.isalpha() else body, mark)
-        ask = sorted({p for pair in plain.values() for p in pair if p not in memo})
-        for word, found in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)):
-            memo[word] = np.array(found.ids, self.kind).tobytes()
-        for word, (body, mark) in plain.items():
+        """Remember the ids of new words."""
+        memo, letters, others, marked = self.memo, set(), set(), []
+        for word in words:
+            if word.isalpha():
+                letters.add(word)
+            elif word[-1] in ",." and (body := word[:-1]).isalpha():
+                marked.append((word, body, word[-1]))
+                if body not in memo:
+                    letters.add(body)
+            else:
+                others.add(word)
+        others.update({",", "."} - memo.keys())
+        for ask in (list(letters), list(others)):
+            memo.update(zip(ask, self.ask(ask)))
+        for word, body, mark in marked:
             memo[word] = memo[body] + memo[mark]
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text and the end token, as packed integers."""
-        split = [t.replace("\n", " ").split(" ") if t else [""] for t in texts]
         tail = np.array([end], self.kind).tobytes()
         out = []
-        for first in range(0, len(split), 2000):
-            part = split[first: first + 2000]
-            self.learn(set().union(*part))
-            out.extend(b"".join(map(self.memo.__getitem__, words)) + tail for words in part)
+        for first in range(0, len(texts), 1000):
+            if len(self.memo) > MEMO:
+                self.memo = {"": b""}
+            memo, parts, holes = self.memo, [], []
+            for text in texts[first: first + 1000]:
+                words = simple_case(text).replace("\n", " ").split(" ")
+                ids = list(map(memo.get, words))
+                if None in ids:
+                    holes.append((ids, [(i, words[i]) for i, x in enumerate(ids) if x is None]))
+                ids.append(tail)
+                parts.append(ids)
+            self.learn({w for _, spots in holes for _, w in spots})
+            for ids, spots in holes:
+                for i, word in spots:
+                    ids[i] = memo[word]
+            out.extend(map(b"".join, parts))
         return out
 
 
+def simple_case(text: str) -> str:
+    """Lower case where that can't differ from the tokenizer's own: one byte a character, and no
+    special token whose case counts. Fewer different words are to be learned then."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     """Place on the Hilbert curve of points with coordinates below 2^bits (rows x dimensions).
 
@@ -125,7 +176,7 @@ def curve_keys(ids: np.ndarray, offsets: np.ndarray, table: np.ndarray, bits: in
 
 
 def tokenize(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """``doc_id, k, text`` -> ``doc_id, k, n_tokens, curve, ids`` (packed, width by vocabulary)."""
+    """``doc_id, k, k2, text`` -> ``doc_id, k, k2, n_tokens, curve, ids`` (packed, width by vocabulary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
@@ -133,16 +184,16 @@ def tokenize(docs: DataFrame, path: str, end: int) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
-                packed = words.encode(part.column(2).to_pylist(), end)
+                packed = words.encode(part.column(3).to_pylist(), end)
                 ids = np.frombuffer(b"".join(packed), words.kind)
                 n = np.array([len(p) for p in packed]) // words.kind.itemsize
                 keys = curve_keys(ids, np.concatenate([[0], np.cumsum(n)]), table, BITS)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(1), pa.array(n), pa.array(keys), pa.array(packed, pa.binary()),
-                ], names=["doc_id", "k", "n_tokens", "curve", "ids"])
+                    *part.columns[:3], pa.array(n), pa.array(keys), pa.array(packed, pa.binary()),
+                ], names=["doc_id", "k", "k2", "n_tokens", "curve", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, k long, n_tokens long, curve long, ids binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, k long, k2 long, n_tokens long, curve long, ids binary")
 
 
 def cut(placed: DataFrame, path: str, length: int, total: int) -> DataFrame:
@@ -203,22 +254,20 @@ def pack(
     """
     if length < 1 or length & (length - 1):
         raise ValueError("the length of a sequence has to be a power of two")
+    # two hashes of the whole row are its identity; the window and the join then share one exchange
     whole = docs.select(
-        F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("k"), F.coalesce(text, F.lit("")).alias("text")
+        F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("k"), F.xxhash64(F.lit(1), text, key).alias("k2"),
+        F.coalesce(text, F.lit("")).alias("text"),
     )
     tokens = stored(tokenize(whole, path, end), "tokens")
     # equal rows lie next to each other in the stream
-    light = tokens.groupBy("doc_id", "k").agg(
+    light = tokens.groupBy("k", "k2").agg(
         F.count("*").alias("copies"), F.max("n_tokens").alias("n"), F.max("curve").alias("curve"))
-    order = [F.col("curve"), F.xxhash64("k"), F.col("k"), F.col("doc_id")]
+    order = [F.col("curve"), F.xxhash64("k"), F.col("k"), F.col("k2")]
     light = running_total(light, order, F.col("n") * F.col("copies"), "place")
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    same = Window.partitionBy("doc_id", "k").orderBy("k")
-    numbered = tokens.withColumn("copy", F.row_number().over(same) - 1).alias("t")
-    found = light.alias("l")
-    placed = numbered.join(
-        found, (F.col("t.k") == F.col("l.k")) & F.col("t.doc_id").eqNullSafe(F.col("l.doc_id"))
-    ).select(
-        "t.doc_id", "t.n_tokens", (F.col("l.place") + F.col("t.copy") * F.col("t.n_tokens")).alias("place"), "t.ids"
-    )
+    same = Window.partitionBy("k", "k2").orderBy("k")
+    numbered = tokens.withColumn("copy", F.row_number().over(same) - 1)
+    placed = numbered.join(light.select("k", "k2", "place"), ["k", "k2"]).select(
+        "doc_id", "n_tokens", (F.col("place") + F.col("copy") * F.col("n_tokens")).alias("place"), "ids")
     return cut(placed, path, length, total)
