@@ -64,6 +64,15 @@ def test_packing_of_odd_texts(spark):
     check_pieces(queries.piece_digests(packing.pack(docs, queries.TOKENIZER, length=64)).collect(), texts, 64)
 
 
+def test_words_are_the_same_in_any_generation(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 5)
+    words = packing.WordIds(queries.TOKENIZER)
+    texts = ["one two, three. four", "five six seven eight one,", "nine, one two ten", "two. one nine three,"] * 3
+    expected = [words.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    for text, ids in zip(texts, expected):
+        assert np.frombuffer(words.encode([text], 1)[0], words.kind).tolist() == ids
+
+
 def test_packing_of_repeated_rows_and_of_nothing(spark):
     rows = [(1, "one two"), (None, "three"), (None, "three")] * 3
     pieces = packing.pack(frame(spark, rows), queries.TOKENIZER, length=8).collect()

@@ -31,7 +31,7 @@ END = 1
 DIMENSIONS = 4
 BITS = 15
 HASHED = 256
-MEMO = 700_000  # words that a Python worker remembers
+MEMO = 700_000  # a Python worker remembers at most twice as many words
 
 
 @functools.cache
@@ -54,6 +54,7 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}  # the generation before; words still in use move up
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
@@ -77,14 +78,20 @@ class WordIds:
 
     def learn(self, words: set[str]) -> None:
         """Remember the ids of new words."""
-        memo, letters, others, marked = self.memo, set(), set(), []
+        memo, older, letters, others, marked = self.memo, self.older, set(), set(), []
         for word in words:
+            if (known := older.get(word)) is not None:
+                memo[word] = known
+                continue
             if word.isalpha():
                 letters.add(word)
             elif word[-1] in ",." and (body := word[:-1]).isalpha():
                 marked.append((word, body, word[-1]))
                 if body not in memo:
-                    letters.add(body)
+                    if (known := older.get(body)) is not None:
+                        memo[body] = known
+                    else:
+                        letters.add(body)
             else:
                 others.add(word)
         others.update({",", "."} - memo.keys())
@@ -99,7 +106,7 @@ class WordIds:
         out = []
         for first in range(0, len(texts), 1000):
             if len(self.memo) > MEMO:
-                self.memo = {"": b""}
+                self.memo, self.older = {"": b""}, self.memo
             memo, parts, holes = self.memo, [], []
             for text in texts[first: first + 1000]:
                 words = simple_case(text).replace("\n", " ").split(" ")
@@ -116,6 +123,12 @@ class WordIds:
         return out
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """What this Python worker has learned; it serves many tasks."""
+    return WordIds(path)
+
+
 def simple_case(text: str) -> str:
     """Lower case where that can't differ from the tokenizer's own: one byte a character, and no
     special token whose case counts. Fewer different words are to be learned then."""
@@ -166,10 +179,8 @@ def projection(vocabulary: int, dimensions: int) -> np.ndarray:
 
 def curve_keys(ids: np.ndarray, offsets: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     """Hilbert key of each document from the mean of its tokens' vectors."""
-    total = np.zeros((len(offsets) - 1, table.shape[1]))
-    for j in range(table.shape[1]):
-        sums = np.concatenate([[0.0], np.cumsum(table[ids, j], dtype=np.float64)])
-        total[:, j] = sums[offsets[1:]] - sums[offsets[:-1]]
+    # no document is without a token, so every stretch between offsets has a sum
+    total = np.add.reduceat(table[ids], offsets[:-1], axis=0, dtype=np.float64)
     mean = total / np.maximum(np.diff(offsets), 1)[:, None]
     grid = (np.tanh(3 * mean) + 1) / 2 * ((1 << bits) - 1)
     return hilbert_key(np.round(grid).astype(np.int64), bits)
@@ -179,11 +190,13 @@ def tokenize(docs: DataFrame, path: str, end: int) -> DataFrame:
     """``doc_id, k, k2, text`` -> ``doc_id, k, k2, n_tokens, curve, ids`` (packed, width by vocabulary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         table = projection(words.tokenizer.get_vocab_size() + 1, DIMENSIONS)
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
+                if not part.num_rows:
+                    continue
                 packed = words.encode(part.column(3).to_pylist(), end)
                 ids = np.frombuffer(b"".join(packed), words.kind)
                 n = np.array([len(p) for p in packed]) // words.kind.itemsize
@@ -206,7 +219,7 @@ def cut(placed: DataFrame, path: str, length: int, total: int) -> DataFrame:
     edges = np.array(edges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = WordIds(path).kind
+        kind = word_ids(path).kind
         for batch in batches:
             cols = {"doc": [], "start": [], "length": [], "tokens": [], "sequence": [], "offset": [], "ids": []}
             number, place, blobs = (batch.column(i).to_pylist() for i in (1, 2, 3))
