@@ -193,7 +193,7 @@ def fit_rows(samples: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageModel
     rows = []
     for i, (lang, ids, counts) in enumerate(samples):
         by.setdefault(lang, []).append(i)
-        rows.append((ids, counts / counts.sum() * SCALE))
+        rows.append((ids, (counts / counts.sum() * SCALE).astype(np.float32)))
     model = LanguageModel()
     for lang in sorted(by):
         model.families.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
@@ -216,7 +216,11 @@ def fit_rows(samples: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageModel
     return model
 
 
+GRAM_ID, GRAM_COUNT = np.dtype("<u2"), np.dtype("<u4")
+
+
 def count_grams(texts: pa.Array) -> dict[str, object]:
+    """N-gram buckets of each text and their counts, packed: the driver gathers the sample's."""
     data, offsets = text_bytes(texts)
     letters = has_letter(data, offsets)
     ids, counts = [], []
@@ -224,12 +228,9 @@ def count_grams(texts: pa.Array) -> dict[str, object]:
         part = data[offsets[i]: offsets[i + 1]]
         found = [gram_ids(part, g) for g in GRAMS if len(part) >= g] if letters[i] else []
         u, c = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
-        ids.append(np.asarray(u, np.int32))
-        counts.append(np.asarray(c, np.int32))
-    return {
-        "gram_ids": pa.array(ids, pa.list_(pa.int32())),
-        "gram_counts": pa.array(counts, pa.list_(pa.int32())),
-    }
+        ids.append(np.asarray(u, GRAM_ID).tobytes())
+        counts.append(np.asarray(c, GRAM_COUNT).tobytes())
+    return {"gram_ids": pa.array(ids, pa.binary()), "gram_counts": pa.array(counts, pa.binary())}
 
 
 def fit_language_model(
@@ -260,11 +261,11 @@ def fit_language_model(
     # by key as well, so that copies of one text don't enter or stay out together
     hashed = F.pmod(F.xxhash64("k", "lang"), F.lit(parts))
     sample = rows.where(hashed < share[F.col("lang")])
-    grams = add_by_text(sample, "text", "gram_ids array<int>, gram_counts array<int>", count_grams)
-    got = grams.where(F.size("gram_ids") > 0).select("k", "lang", "gram_ids", "gram_counts").collect()
+    grams = add_by_text(sample, "text", "gram_ids binary, gram_counts binary", count_grams)
+    got = grams.where(F.octet_length("gram_ids") > 0).select("k", "lang", "gram_ids", "gram_counts").collect()
     got.sort(key=lambda r: (r["k"] is None, r["k"], r["lang"], len(r["gram_ids"])))
     return fit_rows([
-        (r["lang"], np.array(r["gram_ids"], np.int64), np.array(r["gram_counts"], np.float64))
+        (r["lang"], np.frombuffer(r["gram_ids"], GRAM_ID), np.frombuffer(r["gram_counts"], GRAM_COUNT))
         for r in got
     ])
 
