@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.llm.common import (
-    checkpoint, mix, prefix_hash, running_total, slices, span_hash, text_bytes, word_bounds,
+    checkpoint, mix, prefix_hash, running_total, slices, span_hash, stored, text_bytes, word_bounds,
 )
 from tonewright.llm.components import connected_components, local_components
 
@@ -161,9 +161,6 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
                 good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    # only the texts of documents in a pair are moved
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    docs = docs.join(nodes, "doc_id", "left_semi")
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -279,6 +276,9 @@ def near_duplicates(
         .select("doc_id", "n_shingles", "key_a", F.explode("b").alias("key_b"))
         .select(F.xxhash64("key_a", "key_b").alias("entry"), "doc_id", "n_shingles").distinct()
     )
+    # texts of documents that are in an entry: taken out once, for all that is verified
+    met = entries.select("doc_id").distinct()
+    docs = stored(docs.join(met, "doc_id", "left_semi"), "met")
     # sets of too different sizes can't reach the similarity
     close = F.least("n_shingles", "n_other") * 100 >= F.greatest("n_shingles", "n_other") * percent
     sizes = entries.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_other")).distinct()
