@@ -398,6 +398,45 @@ def test_mixture_holds_weights_and_uses_every_row(spark):
     assert mixed.columns == docs.columns and mixed.count() == len(plan)
 
 
+def test_segments_keep_asked_weights_to_the_end():
+    rng = random.Random(6)
+    for trial in range(40):
+        weights = [rng.random() ** rng.choice([1, 5]) + 1e-5 for _ in range(rng.randint(1, 20))]
+        if trial % 4 == 0:
+            weights = [rng.choice([1, 2, 0.5]) for _ in weights]
+        shares = mixing.whole_shares(weights)
+        total, size, state, done = sum(shares), rng.choice([7, 64, 200]), [0] * len(shares), [0] * len(shares)
+        for first in range(0, 6 * size, size):
+            until = mixing.advance(shares, state, first, first + size)
+            for source, block, slot in mixing.place(shares, state, until, first):
+                assert block == done[source]
+                done[source] += 1
+                assert all(abs(n * total - s * (slot + 1)) < total for n, s in zip(done, shares))
+            assert done == until
+            state = until
+
+
+def test_long_mixture_holds_asked_weights(spark):
+    weights = {"a": 1, "b": 20000.5, "c": 7000.25}
+    rows = [(0, "x" * 99, "a"), *((i, "x" * 99, "b" if i % 4 else "c") for i in range(1, 12_001))]
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    plan = mixing.mix_schedule(docs, weights, block_bytes=100).collect()
+    source = np.array([r["source"] for r in sorted(plan, key=lambda r: r["slot"])])
+    assert sorted(r["slot"] for r in plan) == list(range(len(plan))) and len(plan) > 3 * 4096
+    assert {r["doc_id"] for r in plan} == set(range(12_001))
+    slots = np.arange(1, len(plan) + 1)
+    for name, weight in weights.items():
+        due = slots * weight / sum(weights.values())
+        assert np.abs(np.cumsum(source == name) - due).max() < 1 + 1e-6
+    assert sum(source == "a") == 1
+
+
+def test_mixture_of_many_sources(spark):
+    rows = [(i, "x", f"s{i}") for i in range(5000)]
+    plan = mixing.mix_schedule(frame(spark, rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r["slot"] for r in plan) == list(range(5000)) and len({r["doc_id"] for r in plan}) == 5000
+
+
 def test_mixture_of_nothing_and_query(spark):
     empty = frame(spark, [], "doc_id long, text string, source string")
     assert mixing.mix_schedule(empty).count() == 0 and mixing.mix_documents(empty).count() == 0

@@ -3,11 +3,18 @@
 A source of weight w is a task that is due one block every 1/w slots: its block number k may not come
 before slot ``floor(k / w)`` and has to come before slot ``ceil((k + 1) / w)``. Each slot takes, among
 the blocks that may come, the one with the earliest deadline. So after any number of slots a source
-is less than one block away from its share. With weights that are fractions of ``period`` slots the schedule
-repeats, so one period is laid out (a table of ``period`` rows) and all blocks are placed by arithmetic.
+is less than one block away from its share. Weights are taken as exact fractions, never rounded, and the schedule
+is laid out to its end.
+
+Segments of the schedule are placed in Spark, each on its own. What they need is where each source stands
+at their ends: its share rounded down or up. ``advance`` finds that without placing a block. Blocks due by
+the end of a segment have to be in it; of those that may come, the ones with the earliest deadlines are in it, as
+far as the slots after their releases hold them (nested sets, so the best choice is made from the last
+release to the first).
 
 Every document is used. A source that ends before the others starts again, so weights hold to the end; the
-mixture ends when every source has been used up at least once.
+mixture ends when every source has been used up at least once. A given weight that is far too small for its
+source makes a long mixture: about the source's blocks divided by its weight.
 
 Nulls and odd input: a null source is a source of its own; a null text counts as no bytes; an empty table
 gives an empty result; equal rows are placed one by one; extra columns don't matter, and columns named
@@ -17,14 +24,19 @@ like the result are replaced.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonewright.llm.common import checkpoint, running_total
 
 PERIOD = 4096
+SEGMENT = 4096
 BLOCK_BYTES = 1 << 16
 TEMPERATURE = 0.85
 
@@ -48,25 +60,116 @@ def slots_of_weights(weights: Mapping[str | None, float], period: int = PERIOD)
     return slots
 
 
-def one_period(slots: Mapping[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """``(source, block, slot)`` of one period: earliest deadline first among released blocks."""
-    period = sum(slots.values())
-    # equal deadlines: the heavier source, then the name
-    rank = sorted(slots, key=lambda s: (-slots[s], s is None, s or ""))
-    coming = [(0, i, 0) for i in range(len(rank))]  # release, source, block
+def whole_shares(weights: Sequence[float | Fraction]) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    if any(not w > 0 for w in weights):
+        raise ValueError("a weight has to be above zero")
+    exact = [Fraction(w) for w in weights]
+    whole = math.lcm(*(w.denominator for w in exact))
+    return [int(w * whole) for w in exact]
+
+
+def advance(shares: Sequence[int], done: Sequence[int], first: int, last: int) -> list[int]:
+    """Blocks of each source before slot ``last``, from those before slot ``first``."""
+    total = sum(shares)
+    due = [s * last // total for s in shares]
+    came = [k * total // s - first for s, a, b in zip(shares, done, due) for k in range(a, b)]
+    releases = np.maximum(np.array(came, np.int64), 0)
+    size = last - first
+    # slots from each slot on that blocks due in the segment leave free
+    free = np.arange(size, 0, -1) - np.bincount(releases, minlength=size)[::-1].cumsum()[::-1]
+    early = sorted((
+        (max(b * total // s - first, 0), -(-(b + 1) * total // s), i)
+        for i, (s, a, b) in enumerate(zip(shares, done, due)) if a <= b and s * last % total
+    ), reverse=True)
+    chosen: list[tuple[int, int]] = []
+    for number, (release, deadline, i) in enumerate(early):
+        heapq.heappush(chosen, (-deadline, i))
+        before = early[number + 1][0] if number + 1 < len(early) else -1
+        if before < release:
+            room = int(free[before + 1: release + 1].min())
+            while len(chosen) > room:
+                heapq.heappop(chosen)
+    state = [max(a, b) for a, b in zip(done, due)]
+    for _, i in chosen:
+        state[i] += 1
+    assert sum(state) == last
+    return state
+
+
+def place(
+    shares: Sequence[int], done: Sequence[int], until: Sequence[int], first: int
+) -> Iterator[tuple[int, int, int]]:
+    """``(source, block, slot)`` from slot ``first`` on for the blocks from ``done`` up to ``until``: earliest
+    deadline first among released blocks."""
+    total = sum(shares)
+    coming = [(a * total // shares[i], i, a) for i, (a, b) in enumerate(zip(done, until)) if a < b]
     ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    out = []
     heapq.heapify(coming)
-    for slot in range(period):
+    last = first + sum(until) - sum(done)
+    for slot in range(first, last):
         while coming and coming[0][0] <= slot:
             _, i, k = heapq.heappop(coming)
-            heapq.heappush(ready, (-(-(k + 1) * period // slots[rank[i]]), i, k))
+            heapq.heappush(ready, (min(-(-(k + 1) * total // shares[i]), last), i, k))
         deadline, i, k = heapq.heappop(ready)
         assert slot < deadline
-        out.append((rank[i], k, slot))
-        if k + 1 < slots[rank[i]]:
-            heapq.heappush(coming, ((k + 1) * period // slots[rank[i]], i, k + 1))
-    return out
+        yield i, k, slot
+        if k + 1 < until[i]:
+            heapq.heappush(coming, ((k + 1) * total // shares[i], i, k + 1))
+
+
+def one_period(slots: Mapping[str | None, int]) -> list[tuple[str | None, int, int]]:
+    """``(source, block, slot)`` of one period."""
+    # equal deadlines: the heavier source, then the name
+    rank = sorted(slots, key=lambda s: (-slots[s], s is None, s or ""))
+    shares = [slots[s] for s in rank]
+    return [(rank[i], k, slot) for i, k, slot in place(shares, [0] * len(rank), shares, 0)]
+
+
+def lay_out(shares: Sequence[int], blocks: Sequence[int], size: int) -> tuple[list[tuple[int, bytes, bytes]], list[int]]:
+    """Segments ``(first slot, ahead at its begin, ahead at its end)`` until every source has come round, and how
+    often each source is used by then. A bit for each source says whether its share is rounded up."""
+    total = sum(shares)
+
+    def ahead(state: list[int], slot: int) -> bytes:
+        return np.packbits([n > s * slot // total for n, s in zip(state, shares)]).tobytes()
+
+    segments: list[tuple[int, bytes, bytes]] = []
+    first, done = 0, [0] * len(shares)
+    while True:
+        until = advance(shares, done, first, first + size)
+        segments.append((first, ahead(done, first), ahead(until, first + size)))
+        if all(n >= b for n, b in zip(until, blocks)):
+            break
+        first, done = first + size, until
+    uses, short = list(done), sum(n < b for n, b in zip(done, blocks))
+    for i, k, _ in place(shares, done, until, first):
+        if not short:
+            break
+        uses[i] = k + 1
+        short -= k + 1 == blocks[i]
+    return segments, uses
+
+
+def slots_of_blocks(spark: SparkSession, shares: list[int], segments: list[tuple[int, bytes, bytes]], size: int) -> DataFrame:
+    """``number, turn, slot``: where block ``turn`` (counted on when a source starts again) of each source comes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(shares)
+
+        def state(slot: int, ahead: bytes) -> list[int]:
+            bits = np.unpackbits(np.frombuffer(ahead, np.uint8), count=len(shares)).tolist()
+            return [s * slot // total + bit for s, bit in zip(shares, bits)]
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                first = row["first"]
+                made = place(shares, state(first, row["begin"]), state(first + size, row["end"]), first)
+                columns = np.array(list(made), np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["number", "turn", "slot"])
+
+    rows = spark.createDataFrame(segments, "first long, begin binary, end binary")
+    return rows.mapInArrow(run, "number long, turn long, slot long")
 
 
 def mix_schedule(
@@ -76,13 +179,14 @@ def mix_schedule(
     text: str = "text",
     key: str = "doc_id",
     block_bytes: int = BLOCK_BYTES,
-    period: int = PERIOD,
+    period: int | None = None,
     temperature: float = TEMPERATURE,
 ) -> DataFrame:
     """Where each document comes: ``doc_id, k, source, size, block, epoch, slot``, one row for each use.
 
     Without ``weights`` a source's weight is its size to the power of ``temperature``, which raises
-    small sources. A document belongs to the block in which its first byte lies, in the order of a hash. ``k``
+    small sources; less than a block counts as one, since it fills a slot. With ``period`` the weights are rounded
+    to whole slots of it, otherwise they are exact. A document belongs to the block in which its first byte lies, in the order of a hash. ``k``
     is a hash of the row.
     """
     spark = docs.sparkSession
@@ -96,46 +200,37 @@ def mix_schedule(
     light = checkpoint(light)
     sums = light.groupBy("source").agg(F.sum("size").alias("total"), F.min("place").alias("begin")).collect()
     totals = {r["source"]: r["total"] for r in sums}
-    chosen = dict(weights) if weights is not None else {s: t ** temperature for s, t in totals.items()}
+    chosen = dict(weights) if weights is not None else {s: max(t, block_bytes) ** temperature for s, t in totals.items()}
     missing = set(totals) - set(chosen)
     if missing:
         raise ValueError(f"no weight for {sorted(map(str, missing))}")
     chosen = {s: chosen[s] for s in totals}
-    slots = slots_of_weights(chosen, period) if totals else {}
-    blocks = {s: -(-t // block_bytes) for s, t in totals.items()}
-    # the end: the first slot after which every source has come round once
-    table = one_period(slots) if slots else []
-    slot_of = {(s, k): slot for s, k, slot in table}
-    last = {s: (n - 1) // slots[s] * period + slot_of[s, (n - 1) % slots[s]] for s, n in blocks.items()}
-    stop = max(last.values(), default=-1) + 1
-    uses = {
-        s: stop // period * slots[s] + sum(1 for o, _, slot in table if o == s and slot < stop % period)
-        for s in totals
-    }
+    if period is not None and totals:
+        chosen = slots_of_weights(chosen, period)
+    # equal deadlines: the heavier source, then the name
+    rank = sorted(chosen, key=lambda s: (-chosen[s], s is None, s or ""))
+    shares = whole_shares([chosen[s] for s in rank])
+    blocks = [-(-totals[s] // block_bytes) for s in rank]
+    size = max(SEGMENT, 4 * len(rank))  # what is kept of a segment grows with the number of sources
+    segments, uses = lay_out(shares, blocks, size) if rank else ([], [])
+    begins = {r["source"]: r["begin"] for r in sums}
     facts = spark.createDataFrame(
-        [(r["source"], r["begin"], blocks[r["source"]], uses[r["source"]], slots[r["source"]]) for r in sums],
-        "source string, begin long, blocks long, uses long, share long",
+        [(s, i, begins[s], blocks[i], uses[i]) for i, s in enumerate(rank)],
+        "source string, number long, begin long, blocks long, uses long",
     )
-    lay = spark.createDataFrame(table, "source string, turn long, at long")
-    # both look-up tables are bounded: a row for each source, a row for each slot of a period
-    return (
+    # a row for each source
+    used = (
         light.alias("d").join(
             F.broadcast(facts.alias("f")), F.col("d.source").eqNullSafe(F.col("f.source"))
         )
-        .select("d.doc_id", "d.k", "d.source", "d.size", "blocks", "uses", "share",
+        .select("d.doc_id", "d.k", "d.source", "d.size", "blocks", "uses", "number",
                 F.floor((F.col("place") - F.col("begin")) / F.lit(block_bytes)).alias("block"))
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(
             (F.col("uses") - 1 - F.col("block")) / F.col("blocks")))))
-        .withColumn("_use", F.col("block") + F.col("epoch") * F.col("blocks")).alias("u")
-        .join(
-            F.broadcast(lay.alias("y")),
-            F.col("u.source").eqNullSafe(F.col("y.source")) & (F.col("u._use") % F.col("u.share") == F.col("y.turn")),
-        )
-        .select(
-            "u.doc_id", "u.k", "u.source", "u.size", "u.block", "u.epoch",
-            (F.floor(F.col("_use") / F.col("share")) * period + F.col("at")).alias("slot"),
-        )
+        .withColumn("turn", F.col("block") + F.col("epoch") * F.col("blocks"))
     )
+    return used.join(slots_of_blocks(spark, shares, segments, size), ["number", "turn"]).select(
+        "doc_id", "k", "source", "size", "block", "epoch", "slot")
 
 
 def mix_documents(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **options) -> DataFrame:
