@@ -97,6 +97,25 @@ def test_near_duplicates_of_repeated_rows_and_of_nothing(spark):
     assert minhash.near_duplicates(frame(spark, []), percent=80).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(12)
+    base, other, third, fourth = (words(200, rng) for _ in range(4))
+    rows = [(1, base), (1, base), (None, base), (2, edited(base, 1, rng)), (None, other), (None, other),
+            (None, edited(other, 1, rng)), (5, third), (5, edited(third, 1, rng)), (5, fourth), (None, None), (None, None)]
+    kind = "doc_id long, text string, source string"
+    docs = frame(spark, [(d, t, f"s{i}") for i, (d, t) in enumerate(rows)], kind)
+    kept = minhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"], r["source"]) for r in kept.collect()]
+    assert sorted((d or 0) for d, _, _ in got) == [0, 0, 1, 5, 5]
+    texts = [t for _, t, _ in got]
+    assert (1, base, "s0") in got and fourth in texts and None in texts
+    assert sum("".join((t or "").split("zzz")) == other for t in texts) == 1
+    # what stays is no copy of anything, so the next stage leaves it whole
+    cut = suffix.cut_repeats(frame(spark, got, kind)).collect()
+    assert sorted(r["text"] or "" for r in cut) == sorted(t or "" for t in texts)
+
+
 def test_query_near_duplicates(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect()]
     expected = brute.near_duplicates(rows, 85)

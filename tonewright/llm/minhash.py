@@ -327,7 +327,23 @@ def near_duplicates(
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Keep the rows of ``docs`` whose document is the smallest of its component."""
-    kept = near_duplicates(docs, percent=percent).where("kept").select(
-        F.col("doc_id").alias("_tw_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_tw_kept"]), "left_semi")
+    """Keep one row of each component: its smallest document.
+
+    Where ids are null or come more than once, they don't tell rows apart. A row is then named by a hash of its
+    id and text, so rows that share an id are compared like any others, and of rows that share both
+    the smallest in all columns stays.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("doc_id is null or n > 1").isEmpty():
+        kept = near_duplicates(docs, percent=percent).where("kept").select(F.col("doc_id").alias("_tw_kept"))
+        return docs.join(kept, docs["doc_id"] == kept["_tw_kept"], "left_semi")
+    named = docs.groupBy(F.xxhash64("doc_id", "text").alias("_tw_row")).agg(
+        F.min(F.struct(*docs.columns)).alias("_tw_one"))
+    rows = stored(named.select("_tw_row", "_tw_one.*"), "rows")
+    found = near_duplicates(rows, key="_tw_row", percent=percent)
+    smallest = F.min(F.struct(F.col("r.doc_id").isNull(), F.col("r.doc_id"), F.col("_tw_row")))["_tw_row"]
+    kept = (
+        found.alias("f").join(rows.select("_tw_row", "doc_id").alias("r"), F.col("f.doc_id") == F.col("_tw_row"))
+        .groupBy("component_id").agg(smallest.alias("_tw_row")).select("_tw_row")
+    )
+    return rows.join(kept, "_tw_row", "left_semi").select(*docs.columns)
