@@ -116,6 +116,16 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(r["text"] or "" for r in cut) == sorted(t or "" for t in texts)
 
 
+def test_bands_follow_the_threshold(spark):
+    assert [minhash.bands_for(p) for p in (80, 85, 95)] == [10, 8, 8]
+    # 80 of 100 shingles in common; no table of 8 x 8 holds both
+    rng = random.Random(211)
+    parts = [f"{rng.getrandbits(32):x}" for _ in range(104)]
+    rows = [(1, " ".join(parts[:94])), (2, " ".join(parts[:84] + parts[94:]))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows), percent=80).collect()}
+    assert got == {1: 1, 2: 1}
+
+
 def test_query_near_duplicates(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect()]
     expected = brute.near_duplicates(rows, 85)
