@@ -190,6 +190,18 @@ def test_language_of_odd_texts(spark):
     assert {r["lang_pred"] for r in language.identify(one, language.fit_language_model(one)).collect()} == {"en", "und"}
 
 
+def test_sample_is_bounded_for_any_keys(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(None, "".join(rng.choice("abcdef ") for _ in range(40)), "en") for _ in range(3000)]
+    rows += [(7, "der die das und nicht", "de")] * 3000
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "fit_rows", seen.extend)
+    language.fit_language_model(docs, per_language=50)
+    names = [name for name, _, _ in seen]
+    assert names.count("en") == 50 and names.count("de") == 1
+
+
 def test_families_come_first():
     rng = np.random.default_rng(1)
     spot = {"en": 0, "de": 100, "fr": 200, "xx": 300}

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewright.llm.common import add_by_text, slices, text_bytes
@@ -240,27 +240,30 @@ def fit_language_model(
     key: str = "doc_id",
     per_language: int = SAMPLE_PER_LANGUAGE,
 ) -> LanguageModel:
-    """Fit on about ``per_language`` rows of each language, chosen by a hash of the key and text.
+    """Fit on at most ``per_language`` rows of each language, chosen by a hash of the key and text.
 
-    Languages are counted first (only the label column is read); each gets the share of rows that
-    gives the sample its size, so what is gathered is bounded by languages times ``per_language``.
+    Distinct rows of each language are counted first, about; each gets the share of rows that gives the sample
+    somewhat more than its size, and at least the row with the smallest hash. Rows that are equal enter once
+    and the sample is cut to its size, so what is gathered is bounded by languages times ``per_language``.
     """
     rows = labelled.select(
         F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")
     ).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in
-              labelled.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang"))
-              .agg(F.count("*").alias("n")).collect()}
+    parts = 1 << 30
+    # by key as well, so that copies of one text don't enter or stay out together
+    rows = rows.withColumn("hash", F.xxhash64("k", "lang", "text"))
+    hashed = F.pmod("hash", F.lit(parts))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"), F.min(hashed).alias("least")).collect()
     if not counts:
         return LanguageModel()
-    parts = 1 << 30
     share = F.create_map(*[
-        F.lit(x) for name in sorted(counts)
-        for x in (name, min(parts, parts * per_language // counts[name] + 1))
+        F.lit(x) for r in sorted(counts, key=lambda r: r["lang"])
+        for x in (r["lang"], min(parts, max(2 * parts * per_language // max(r["n"], 1), r["least"]) + 1))
     ])
-    # by key as well, so that copies of one text don't enter or stay out together
-    hashed = F.pmod(F.xxhash64("k", "lang"), F.lit(parts))
-    sample = rows.where(hashed < share[F.col("lang")])
+    some = rows.where(hashed < share[F.col("lang")]).dropDuplicates(["lang", "hash"])
+    order = Window.partitionBy("lang").orderBy("hash")
+    sample = some.withColumn("number", F.row_number().over(order)).where(F.col("number") <= per_language)
+    sample = sample.select("k", "text", "lang")
     grams = add_by_text(sample, "text", "gram_ids binary, gram_counts binary", count_grams)
     got = grams.where(F.octet_length("gram_ids") > 0).select("k", "lang", "gram_ids", "gram_counts").collect()
     got.sort(key=lambda r: (r["k"] is None, r["k"], r["lang"], len(r["gram_ids"])))
