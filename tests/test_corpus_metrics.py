@@ -63,6 +63,16 @@ def test_preprocess_keeps_first_and_drops_blank(spark):
     assert corpus.encode_labels(already).schema["label"].dataType.simpleString() == "int"
 
 
+def test_one_of_tied_rows_stays(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (1, "a b", "y"), (None, "a b", "x"), (None, "c", "x"), (None, "c", "x"),
+            (2, None, "x"), (2, None, "x"), (3, "d", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, sentence string, label string").repartition(4)
+    got = [(r.doc_id, r.sentence) for r in corpus.drop_duplicate_sentences(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a b"), (None, "c"), (2, None), (3, "d")], key=str)
+    kept = [(r.doc_id, r.sentence) for r in corpus.preprocess(df).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a b"), (None, "c"), (3, "d")], key=str)
+
+
 def test_histogram_counts_every_row(spark):
     import numpy as np
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -20,16 +20,23 @@ def fingerprint(column: str) -> list[Column]:
 def drop_duplicate_sentences(
     df: DataFrame, sentence: str = "sentence", order: str = "doc_id"
 ) -> DataFrame:
-    """Keep the row with the lowest ``order`` per exact sentence (of rows that tie in it, all).
+    """Keep the row with the lowest ``order`` per exact sentence, nulls last; one of rows that tie in it.
 
     The first row of each sentence is found on fingerprints: copies collapse before the shuffle, so
     a sentence that makes up a third of the rows sends one row per input partition, and only
-    fingerprints are grouped.
+    fingerprints are grouped. Rows that tie with it are cut to one in each partition before they are
+    dealt again.
     """
     one, two = fingerprint(sentence)
     marked = df.withColumns({"_h1": one, "_h2": two})
-    first = marked.groupBy("_h1", "_h2").agg(F.min(order).alias(order))
-    return marked.join(first, ["_h1", "_h2", order], "left_semi").select(*df.columns)
+    first = marked.groupBy("_h1", "_h2").agg(F.min(order).alias("_first"))
+    first = first.withColumnsRenamed({"_h1": "_f1", "_h2": "_f2"})
+    same = (F.col("_h1") == F.col("_f1")) & (F.col("_h2") == F.col("_f2")) & F.col(order).eqNullSafe(F.col("_first"))
+    tied = Window.partitionBy("_h1", "_h2").orderBy(order)
+    return (
+        marked.join(first, same, "left_semi").withColumn("_number", F.row_number().over(tied))
+        .where("_number = 1").select(*df.columns)
+    )
 
 
 def drop_empty(df: DataFrame, sentence: str = "sentence") -> DataFrame:
