@@ -516,7 +516,7 @@ from sp where split = 'val' group by label""", LABELLED, split("labelled"))
 # --- written and read back ------------------------------------------------------------------------------
 add("agreement_levels", f"""select case left(grp, 1) when '1' then '50Agree' when '2' then '66Agree'
     when '3' then '75Agree' else 'AllAgree' end as level,
-  {strip('text')} as sentence, {LABEL} as label from h where dir <> 'new' and left(grp, 1) <= '4'""", H)
+  {strip('text')} as sentence, {LABEL} as label from h where dir <> 'new'""", H)
 add("splits_round_trip", "select sentence, label, split from sp", CORPUS, CODED, split("coded"))
 add("predictions_round_trip", "select doc_id::varchar as doc_id, text, category as predicted_label from f", F_)
 add("metrics_round_trip", f"select grp as name, {METRIC_COLUMNS} from (select grp, {SUMMARY} from cr group by grp)",

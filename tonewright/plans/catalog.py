@@ -145,13 +145,15 @@ def read_labelled_text(spark, d):
 
 @query
 def agreement_levels(spark, d):
-    """Labelled lines written in Latin-1 under the name of each agreement level and read back."""
+    """Labelled lines written in Latin-1 under the name of each agreement level and read back; the
+    fifth priority goes to the last level."""
     path = shared_path(spark, "agreement")
     lines = headlines(spark, d).where("dir <> 'new'").select(
         "grp", F.concat("text", F.lit("@"), headline_label()).alias("value"))
     parts = []
     for number, (level, name) in enumerate(texts.AGREEMENT_FILES.items()):
-        some = lines.where(F.col("grp").startswith(str(number + 1)))
+        place = F.least(F.left("grp", F.lit(1)).cast("int"), F.lit(len(texts.AGREEMENT_FILES)))
+        some = lines.where(place == number + 1)
         raw = F.encode("value", "ISO-8859-1").cast("string")
         some.select(raw.alias("value")).write.text(f"{path}/{name}")
         read = texts.read_labelled_text(spark, path, level)
@@ -467,7 +469,7 @@ def stratified_split_exact(spark, d):
 
 @query
 def stratified_split_headlines(spark, d):
-    return stratified_split(headline_labels(spark, d))
+    return stratified_split(labelled_headlines(spark, d).select("doc_id", "label"))
 
 
 @query
