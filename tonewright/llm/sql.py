@@ -98,4 +98,20 @@ a as (select conv_id, count(*) as n_turns,
     sum(n)::bigint as formatted_chars from t group by conv_id)
 select conv_id, n_turns, turns_sha256, len(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars
 from a""",
+
+    "op13_fill_in_middle": """with d as (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || doc_id) as h from documents),
+h as (select doc_id, text, length(text)::bigint as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+    ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as low, greatest(h1 % (n + 1), h2 % (n + 1)) as high,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>')
+      or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+o as (select *, substring(text, 1, low) as p, substring(text, low + 1, high - low) as m, substring(text, high + 1) as s
+  from c)
+select doc_id, n, form, case when form <> 'plain' then low end as prefix_chars,
+  case when form <> 'plain' then high - low end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+    else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from o""",
 }
