@@ -1,13 +1,16 @@
+import base64
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from tonewright.llm import fim, queries
+from tonewright.llm import fim, fingerprints, queries
 from tonewright.sources.tables import table
 
 
@@ -81,3 +84,158 @@ def test_fill_in_middle_of_nothing(spark):
 def test_fill_in_middle_moves_nothing(spark):
     plan = queries.op13_fill_in_middle(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+# fingerprints
+
+SHARE = [0, *[round(c * math.log2(c) * 1024) for c in range(1, 33)]]
+MASK = (1 << 64) - 1
+
+
+def plain_class(window):
+    return 1000 * (SHARE[32] - sum(SHARE[c] for c in Counter(window).values())) // SHARE[32]
+
+
+def plain_ranks(texts):
+    raw = [(t or "").encode() for t in texts]
+    count = Counter(plain_class(r[i: i + 32]) for r in raw for i in range(len(r) - 31))
+    order = sorted(range(1001), key=lambda c: (c < 100, count[c], c))
+    return {c: i for i, c in enumerate(order)}
+
+
+def plain_hash(window, size):
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK
+        return x ^ (x >> 31)
+
+    total = size
+    for i in range(0, len(window), 8):
+        total = (mixed(total ^ int.from_bytes(window[i: i + 8], "little")) + i // 8 + 1) & MASK
+    return mixed(total)
+
+
+def plain_fingerprint(text, ranks):
+    raw = (text or "").encode()
+    if len(raw) < 128:
+        size = min(8, len(raw))
+        found = [plain_hash(raw[i: i + size].ljust(8, b"\0"), size) for i in range(len(raw) - size + 1)] if raw else []
+    else:
+        rank = [ranks[plain_class(raw[i: i + 32])] for i in range(len(raw) - 31)]
+        chosen = Counter(min(range(i, i + 32), key=lambda p: (rank[p], p)) for i in range(len(rank) - 31))
+        most = min(chosen, key=lambda p: (-chosen[p], p))
+        found = [plain_hash(raw[p: p + 32], 32) for p in sorted(chosen) if chosen[p] >= 8 or p == most]
+    found = list(dict.fromkeys(found))
+    chain = []
+    for i in range(0, len(found), 160):
+        bits = [0] * 256
+        for h in found[i: i + 160]:
+            for k in range(5):
+                b = (h >> 11 * k) & 2047
+                bits[b // 8] |= 1 << b % 8
+        chain.append((len(found[i: i + 160]), bytes(bits)))
+    return chain
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(not a and not b)
+
+    def alike(x, y):
+        x, y = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+        chance, mean = x.bit_count() * y.bit_count() / 2048, (x.bit_count() + y.bit_count()) / 2
+        return max(0.0, ((x & y).bit_count() - chance) / (mean - chance))
+
+    total = sum(n * max(alike(f, g) for _, g in other) for own, other in ((a, b), (b, a)) for n, f in own)
+    return total / sum(n for n, _ in a + b)
+
+
+def as_text(chain):
+    return base64.b64encode(b"".join(bytes([n]) + bits for n, bits in chain)).decode()
+
+
+def plain_trial(rows):
+    """{key: result} for distinct keys."""
+    rows = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is not None, r[0]))
+    ranks = plain_ranks([t for _, t in rows])
+    out = {}
+    for i, (key, text) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        q = len(text) // 4
+        changed = text[: len(text) - q] + after[:q]
+        own, other, following = (plain_fingerprint(t, ranks) for t in (text, changed, after))
+        out[key] = (len(text), hashlib.sha256(changed.encode()).hexdigest(), as_text(own), as_text(other),
+                    plain_likeness(own, other), plain_likeness(own, following))
+    return out
+
+
+def check_trial(done, rows):
+    expected = plain_trial(rows)
+    assert len(done) == len(rows)
+    for r in done:
+        n, sha, own, other, near_edited, near_next = expected[r.doc_id]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (n, sha, own, other), r.doc_id
+        assert abs(r.near_edited - near_edited) < 1e-12 and abs(r.near_next - near_next) < 1e-12
+
+
+def test_fingerprints_match_a_plain_version(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    texts = [None, "", "a", "é" * 3, "short text", "x" * 127, "x" * 128, "ab" * 300, "é" * 64, "😀" * 40]
+    texts += [" ".join(rng.choices(words, k=rng.randint(1, 900))) for _ in range(40)] + [" ".join(words * 9), "y" * 9000]
+    rows = [(None, "the first of all, as nulls come first"), *[(3 * i, t) for i, t in enumerate(texts)]]
+    docs = spark.createDataFrame([(k, t, "z") for k, t in rows], "doc_id int, text string, part string").repartition(3)
+    ranks = fingerprints.rarity(docs)
+    assert dict(enumerate(ranks.tolist())) == plain_ranks(texts + [rows[0][1]])
+    done = fingerprints.edit_trial(docs, ranks).collect()
+    check_trial(done, rows)
+    known = {r.doc_id: r.fingerprint for r in done}
+    for r in docs.withColumn("fingerprint", fingerprints.fingerprint(F.col("text"), ranks)).collect():
+        assert r.fingerprint == known[r.doc_id] and r.part == "z"
+
+
+def test_chains_of_parts_are_those_of_the_whole(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (20_000, 0, 50, 140, 3_000)]
+    data, offsets = fingerprints.pack_texts(texts)
+    ranks = np.random.default_rng(1).permutation(1001).astype(np.uint16)
+    whole = fingerprints.chains(data, offsets, ranks)
+    monkeypatch.setattr(fingerprints, "PART", 1000)
+    monkeypatch.setattr(fingerprints, "BLOCK", 100)
+    parts = fingerprints.chains(data, offsets, ranks)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_likeness_of_fingerprints(spark):
+    rng = random.Random(8)
+    long = " ".join(str(rng.random()) for _ in range(2000))
+    docs = spark.createDataFrame([(long, long), (long, long[:30_000]), (long, None), ("", ""), ("", long), (long[:5000], long)], "a string, b string")
+    ranks = fingerprints.rarity(docs, "a")
+    prints = docs.select(fingerprints.fingerprint(F.col("a"), ranks).alias("a"),
+                         F.when(F.col("b").isNotNull(), fingerprints.fingerprint(F.col("b"), ranks)).alias("b"))
+    got = [r[0] for r in prints.select(fingerprints.likeness(F.col("a"), F.col("b"))).collect()]
+    assert got[0] == 1.0 and 0.85 < got[1] < 0.95 and got[2] is None and got[3] == 1.0 and got[4] == 0.0 and got[5] < 0.35
+
+
+def test_trial_of_odd_tables(spark):
+    def trial(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return fingerprints.edit_trial(docs, fingerprints.rarity(docs)).collect()
+
+    assert trial([]) == []
+    check_trial(trial([(5, "only one document, which is followed by itself")]), [(5, "only one document, which is followed by itself")])
+    again = trial([(1, "same"), (1, "same"), (None, "same"), (None, None), (2, "other")] * 20)
+    assert len(again) == 100
+    assert {r.fingerprint for r in again if r.n_chars == 4} == {again[0].fingerprint if again[0].n_chars == 4 else
+                                                              next(r.fingerprint for r in again if r.n_chars == 4)}
+
+
+def test_query_of_fingerprints(spark):
+    docs = table(spark, SF, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    done = queries.op12_improbable_features(spark, SF).collect()
+    check_trial(done, rows)
+    by_text = {}
+    for (key, text), r in zip(sorted(rows), sorted(done)):
+        assert key == r.doc_id and by_text.setdefault(text, r.fingerprint) == r.fingerprint
+    assert np.mean([r.near_edited > 0.4 for r in done]) > 0.95 and np.mean([r.near_next < 0.2 for r in done]) > 0.95
