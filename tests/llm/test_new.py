@@ -10,7 +10,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from tonewright.llm import fim, fingerprints, queries
+from tonewright.llm import fim, fingerprints, queries, search
 from tonewright.sources.tables import table
 
 
@@ -239,3 +239,104 @@ def test_query_of_fingerprints(spark):
     for (key, text), r in zip(sorted(rows), sorted(done)):
         assert key == r.doc_id and by_text.setdefault(text, r.fingerprint) == r.fingerprint
     assert np.mean([r.near_edited > 0.4 for r in done]) > 0.95 and np.mean([r.near_next < 0.2 for r in done]) > 0.95
+
+
+# ranked search
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def plain_terms(text):
+    return [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in TERM.findall(text or "")]
+
+
+def plain_search(docs, items, k):
+    """[(item, rank, doc, score)] for rows (key, text); a null key comes first among equals."""
+    bags = [(key, Counter(plain_terms(text))) for key, text in docs]
+    sizes = [sum(b.values()) for _, b in bags]
+    n_docs, n_terms = sum(1 for s in sizes if s), sum(sizes)
+    df = Counter(t for _, b in bags for t in b)
+    out = []
+    for item, text in items:
+        scored = []
+        for (key, bag), n in zip(bags, sizes):
+            m = 10 + 90 * n * n_docs // n_terms if n_terms else 10
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * bag[t] // (1000 * bag[t] + 8 * m))
+                for t in set(plain_terms(text)) if t in bag)
+            if score > 0:
+                scored.append((-score, key is not None, key or 0, key))
+        scored.sort(key=lambda x: x[:3])
+        out += [(item, i + 1, x[3], -x[0]) for i, x in enumerate(scored[:k])]
+    return sorted(out, key=repr)
+
+
+def random_texts(rng, n, words, longest):
+    frequent = sorted(rng.random() ** 3 for _ in words)
+    return ["".join(rng.choice([w, w.upper(), w.title()]) + rng.choice([" ", ", ", "\n", "-", "_"])
+                    for w in rng.choices(words, frequent, k=rng.randint(0, longest))) for _ in range(n)]
+
+
+def test_search_matches_a_plain_version(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdé9ß") for _ in range(rng.randint(1, 5))) for _ in range(150)]
+    texts = random_texts(rng, 300, words, 60) + [None, "", " .,;", "é" * 9000, "Ab " * 20_000]
+    docs = [(i // 2 if i % 50 else None, t) for i, t in enumerate(texts)]
+    docs += [(1000 + i, texts[7]) for i in range(40)]  # ties
+    items = [(i % 25 if i != 3 else None, t) for i, t in enumerate(random_texts(rng, 30, words, 12))]
+    items += [(90, None), (91, ""), (92, "zzzzz"), (93, "É ÀÉ 9"), (94, "a " * 50), (95, " ".join(words))]
+    docs_df = spark.createDataFrame([(k, t, 1) for k, t in docs], "doc_id long, text string, rank int").repartition(5)
+    items_df = spark.createDataFrame([(k, t, 2) for k, t in items], "item_id long, text string, score int")
+    for k in (1, 4, 400):
+        got = sorted((tuple(r) for r in search.search(docs_df, items_df, k).collect()), key=repr)
+        assert got == plain_search(docs, items, k)
+
+
+def test_search_in_blocks_of_items(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    docs, items = list(enumerate(random_texts(rng, 60, words, 30))), list(enumerate(random_texts(rng, 12, words, 9)))
+    monkeypatch.setattr(search, "INDEX_BYTES", 100)
+    found = search.search(spark.createDataFrame(docs, "doc_id int, text string"),
+                          spark.createDataFrame(items, "item_id long, text string"), 3)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == plain_search(docs, items, 3)
+
+
+def test_chunks_and_light_terms_lose_nothing(monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    docs = list(enumerate(random_texts(rng, 400, words, 80)))
+    items = list(enumerate(random_texts(rng, 10, words, 40)))
+    data, offsets = fingerprints.pack_texts([t for _, t in items])
+    import pyarrow as pa
+    index = search.Index.of(pa.array([t for _, t in items]))
+    monkeypatch.setattr(search, "CELLS", 50)
+    data, offsets = fingerprints.pack_texts([t for _, t in docs])
+    _, term, _, n = search.term_counts(index, data, offsets)
+    df = np.bincount(term, minlength=len(index.hashes))
+    n_docs, n_terms = int((n > 0).sum()), int(n.sum())
+    scorer = search.Scorer(index, search.term_weights(n_docs, df), n_docs, n_terms, 5)
+    scorer.add(data, offsets, np.ones(len(docs), bool), np.arange(len(docs)))
+    got = sorted(((i, r + 1, int(scorer.heaps.key[i, r]), int(s)) for i, row in enumerate(scorer.heaps.score)
+                  for r, s in enumerate(row) if s > 0), key=repr)
+    assert got == plain_search(docs, items, 5)
+
+
+def test_terms_that_share_a_hash(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(search, "span_hash", lambda total, start, end: (end - start).astype(np.uint64))
+    index = search.Index.of(pa.array(["one two six three", "ten seven"]))
+    data, offsets = fingerprints.pack_texts(["six ten xxx ONE three", "seven seven eight two"])
+    doc, term, count, n = search.term_counts(index, data, offsets)
+    letters = index.letters.tobytes()
+    found = {(int(d), letters[index.begins[t]: index.begins[t] + index.sizes[t]]): int(c) for d, t, c in zip(doc, term, count)}
+    assert found == {(0, b"six"): 1, (0, b"ten"): 1, (0, b"one"): 1, (0, b"three"): 1, (1, b"seven"): 2, (1, b"two"): 1}
+    assert n.tolist() == [5, 4]
+
+
+def test_search_of_nothing(spark):
+    docs, items = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    assert search.search(docs.where("false"), items).count() == 0
+    assert search.search(docs, items.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        search.search(docs, items, key="source")

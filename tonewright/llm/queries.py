@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewright.llm import (
-    chat, embeddings, fim, fingerprints, language, minhash, mixing, packing, quality, sharding, suffix, warc,
+    chat, embeddings, fim, fingerprints, language, minhash, mixing, packing, quality, search, sharding,
+    suffix, warc,
 )
 from tonewright.llm.sql import SQL  # noqa: F401 - registered with the queries
 from tonewright.sources.tables import table
@@ -104,6 +105,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_schedule(documents(spark, sf_dir, "doc_id", "text", "source")).drop("k")
 
 
+def op11_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     return fingerprints.edit_trial(docs, fingerprints.rarity(docs))
@@ -122,6 +127,6 @@ QUERIES = {
     f.__name__: f for f in (
         op1_curve_packing, op2_suffix_dedup, op3_vector_dedup, op4_quality_cascade, op5_language, op6_minhash,
         op7_warc, op8_chat, op9_jump_shards, op10_mixing,
-        op12_improbable_features, op13_fill_in_middle,
+        op11_reversed_search, op12_improbable_features, op13_fill_in_middle,
     )
 }

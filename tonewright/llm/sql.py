@@ -16,6 +16,10 @@ def components(nodes: str, links: str) -> str:
 comp as (select node, min(other) as component from reach group by node)"""
 
 
+TERMS = r"regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+LOWERED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 SQL = {
     "op3_vector_dedup": f"""with recursive v as materialized (
   select vec_id, label, e, sqrt(list_dot_product(e, e)) as n from (
@@ -114,4 +118,17 @@ select doc_id, n, form, case when form <> 'plain' then low end as prefix_chars,
     else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
   sha256(text) as restored_sha256
 from o""",
+
+    "op11_reversed_search": f"""with t as materialized (
+  select doc_id, {LOWERED.format("unnest(" + TERMS + ")")} as term from documents),
+d as materialized (select doc_id, count(*) as n from t group by doc_id),
+c as (select count(*) as docs, sum(n)::bigint as terms from d),
+i as materialized (select distinct item_id, {LOWERED.format("unnest(" + TERMS + ")")} as term from benchmark),
+f as materialized (select doc_id, term, count(*) as tf from t where term in (select term from i) group by all),
+w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w
+  from (select term, count(*) as df from f group by term), c),
+s as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::bigint
+    as score from i join f using (term) join w using (term) join d using (doc_id), c group by all),
+r as (select *, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 10""",
 }
