@@ -337,8 +337,8 @@ def edit_trial(docs: DataFrame, ranks_of: np.ndarray, text: str = "text", key: s
     """
     whole = F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
     rows = docs.select(F.col(f"`{key}`").alias("key"), whole)
-    order = [F.col("key"), F.xxhash64("text"), F.col("text")]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [F.col("key"), F.xxhash64("text")]  # samples of these go to the driver, so texts are not among them
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     kind = rows.schema["key"].dataType.simpleString()
     fields = {"part": "int", "key": kind, **RESULT, "first_text": "string", "last_text": "string"}
     ddl = ", ".join(f"{n} {t}" for n, t in fields.items())
