@@ -513,6 +513,8 @@ for _model in ("logreg", "naive_bayes", "svm", "random_forest", "gradient_boosti
   count(*) as shares_sum_to_one, count(*) as confidence_is_largest
 from sp where split = 'val' group by label""", LABELLED, split("labelled"))
 
+add("boosting_rounds", "select unnest(range(1, 101)) as round, true as falls, true as above_zero")
+
 # --- written and read back ------------------------------------------------------------------------------
 add("agreement_levels", f"""select case left(grp, 1) when '1' then '50Agree' when '2' then '66Agree'
     when '3' then '75Agree' else 'AllAgree' end as level,
@@ -523,3 +525,17 @@ add("metrics_round_trip", f"select grp as name, {METRIC_COLUMNS} from (select gr
     P_, class_rates("p", "cr", "grp"))
 add("models_round_trip", """select unnest(['baseline_naive_bayes', 'finbert_pretrained']) as model, n, n as predicted
 from (select count(*) as n from sp where split = 'val') union all select 'compared', 1, 1""", LABELLED, split("labelled"))
+
+# --- explanations of fitted linear models: what has to hold whatever the coefficients ---------------------
+_own_words = words(tokens("text"))
+for _model in ("logreg", "naive_bayes", "svm"):
+    add(f"explain_{_model}", f"""select doc_id, coalesce(n_terms, 0)::int as n_terms, coalesce(terms, '') as terms,
+  {joined(only(_own_words, LEX.negative))} as lexicon_negative, true as adds_up, true as same_class,
+  true as positive_listed
+from (select sp.doc_id, labelled.text from sp join labelled using (doc_id) where split <> 'train')
+  left join (select doc_id, count(*) as n_terms, string_agg(term, '|' order by term) as terms
+    from o join t_vocab using (term) group by doc_id) using (doc_id)""",
+        LABELLED, split("labelled"),
+        "tr as (select labelled.doc_id, labelled.text from labelled join sp using (doc_id) where split = 'train')",
+        tfidf("tr", "t"), f"""o as (select distinct doc_id, unnest({with_pairs('t')}) as term
+  from (select doc_id, {single_terms('text')} as t from labelled))""")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1083,8 +1084,49 @@ for _name in training.CLASSIFIERS:
     QUERIES[f"train_{_name}"] = trained(_name)
 
 
+@query
+def boosting_rounds(spark, d):
+    """The mean log loss of the training rows after every round of boosting: whether it has fallen."""
+    train = training_data(spark, d).where("split = 'train'")
+    losses = training.train_model("gradient_boosting", train).losses
+    rounds = [(i, losses[i] < losses[i - 1], losses[i] > 0) for i in range(1, len(losses))]
+    return spark.createDataFrame(rounds, "round long, falls boolean, above_zero boolean")
+
+
 @query
 def train_ensemble(spark, d):
     data = training_data(spark, d)
     model = training.train_ensemble(data.where("split = 'train'"))
     return scored_facts(model, data.where("split = 'val'"))
+
+
+# --- explanations of fitted linear models -----------------------------------------------------------
+
+def explained_by(name: str):
+    """Texts explained by the stored model of a name, next to what the model itself says of them."""
+    def run(spark, d):
+        path = shared_path(spark, "explained")
+        data = training_data(spark, d)
+        training.save_model(training.train_model(name, data.where("split = 'train'")), path, name)
+        model = training.load_model(path, name)
+        scored = model.transform(data.where("split <> 'train'")).select(
+            "doc_id", F.col("sentence").alias("text"), vector_to_array("rawPrediction").alias("model_margins"),
+            F.col("prediction").cast("int").alias("model_class"))
+        told = training.explain_by_name(
+            path, f"baseline_{name}", scored, LEXICON, keep=["model_margins", "model_class"])
+        apart = F.zip_with("margins", "model_margins", lambda a, b: F.abs(a - b))
+        positive = F.transform(F.filter("word_importance", lambda x: x["direction"] == "positive"), lambda x: x["word"])
+        return told.select(
+            "doc_id", F.size("contributions").alias("n_terms"),
+            joined(F.array_sort(F.transform("contributions", lambda x: x["word"]))).alias("terms"),
+            joined("lexicon_negative").alias("lexicon_negative"),
+            (F.array_max(apart) < 1e-9).alias("adds_up"),
+            (F.col("prediction") == T.decode_label(F.col("model_class"))).alias("same_class"),
+            (F.size(F.array_except(F.slice(positive, 1, 5), words_of("positive_words"))) == 0).alias("positive_listed"),
+        )
+
+    return run
+
+
+for _name in training.LINEAR:
+    QUERIES[f"explain_{_name}"] = explained_by(_name)

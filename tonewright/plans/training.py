@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     LogisticRegressionModel,
@@ -43,17 +42,20 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions import patterns as P
 from ..functions import scores as S
+from ..functions.lexicon import Lexicon
 from ..operators import tfidf
 from ..operators.corpus import class_weights
+from ..operators.linear import LinearModel, explain_linear, linear_model
 from ..operators.metrics import METRICS, classification_metrics, union_results
 from ..session import materialize
 from ..sources.metrics_store import FINE_TUNED, METRIC_SCHEMA, PRETRAINED
+from . import boosting
 from .scoring import prediction_record, score_external, soft_vote
 
 log = logging.getLogger(__name__)
 
 CLASSIFIERS = ("logreg", "naive_bayes", "svm", "random_forest", "gradient_boosting", "mlp")
-LINEAR = ("logreg", "svm")
+LINEAR = ("logreg", "naive_bayes", "svm")
 SEED = 42
 
 
@@ -107,8 +109,8 @@ def with_weights(df: DataFrame, label: str = "label") -> tuple[DataFrame, int]:
 def classifier(name: str, n_rows: int, n_features: int, **changes) -> Estimator:
     """An estimator with the standard parameters; ``changes`` replace some of them.
 
-    Where Spark differs: regularisation is per row (hence ``1 / n_rows``), trees are at most 30
-    deep, boosting is binary (hence one against the rest).
+    Where Spark differs: regularisation is per row (hence ``1 / n_rows``), trees are at most 30 deep.
+    Boosting is not among them: see :mod:`boosting`.
     """
     def merged(**standard):
         return {**standard, **changes}
@@ -129,11 +131,6 @@ def classifier(name: str, n_rows: int, n_features: int, **changes) -> Estimator:
             weightCol="weight",
             **merged(numTrees=200, maxDepth=30, minInstancesPerNode=2, seed=SEED),
         )
-    if name == "gradient_boosting":
-        return OneVsRest(
-            classifier=GBTClassifier(**merged(maxIter=100, maxDepth=5, stepSize=0.1, seed=SEED)),
-            parallelism=1,  # every fit already uses the whole cluster
-        )
     if name == "mlp":
         layers = [min(n_features, dense or n_features), 256, 128, len(P.LABELS)]
         return MultilayerPerceptronClassifier(
@@ -182,8 +179,8 @@ def score(model, df: DataFrame) -> DataFrame:
 
 
 def text_column(model) -> str:
-    first = model.features.stages[0] if isinstance(model, SoftVoteModel) else model.stages[0]
-    return first.getInputCol()
+    pipeline = model if isinstance(model, PipelineModel) else model.features
+    return pipeline.stages[0].getInputCol()
 
 
 def evaluate_model(name: str, model, df: DataFrame, label: str = "label") -> DataFrame:
@@ -212,28 +209,32 @@ def compare_models(models: dict, df: DataFrame) -> DataFrame:
     return union_results(*rows)
 
 
+def _fitted(name: str, features: PipelineModel, data: DataFrame, **changes):
+    """A classifier fitted on feature vectors, together with the feature pipeline."""
+    if name == "gradient_boosting":
+        return boosting.fit(features, data, **changes)
+    return PipelineModel(stages=features.stages + fit_classifier(name, data, **changes))
+
+
 def train_model(name: str, train: DataFrame, text: str = "sentence", features=None, **changes):
     """Fit one classifier on ``doc_id, text, label``; returns the whole pipeline."""
     features = features or fit_features(train, text)
     data = training_vectors(features, train, ["label"]).persist()
     try:
-        return PipelineModel(stages=features.stages + fit_classifier(name, data, **changes))
+        return _fitted(name, features, data, **changes)
     finally:
         data.unpersist()
 
 
 def train_all(
     train: DataFrame, names: Sequence[str] = CLASSIFIERS, text: str = "sentence", changes=None
-) -> dict[str, PipelineModel]:
+) -> dict[str, PipelineModel | boosting.BoostedModel]:
     """Fit several classifiers on one set of cached feature vectors."""
     features = fit_features(train, text)
     data = training_vectors(features, train, ["label"]).persist()
     try:
         return {
-            name: PipelineModel(
-                stages=features.stages + fit_classifier(name, data, **(changes or {}).get(name, {}))
-            )
-            for name in names
+            name: _fitted(name, features, data, **(changes or {}).get(name, {})) for name in names
         }
     finally:
         data.unpersist()
@@ -378,7 +379,7 @@ def train_ensemble(
 
 def save_model(model, path: str, name: str) -> None:
     """Store as ``path/baseline_<name>``."""
-    if isinstance(model, SoftVoteModel):
+    if isinstance(model, (SoftVoteModel, boosting.BoostedModel)):
         model.save(f"{path}/baseline_{name}")
     else:
         model.write().overwrite().save(f"{path}/baseline_{name}")
@@ -386,8 +387,8 @@ def save_model(model, path: str, name: str) -> None:
 
 def load_model(path: str, name: str):
     """Load what :func:`save_model` stored; the ensemble is named ``ensemble``."""
-    where = f"{path}/baseline_{name}"
-    return SoftVoteModel.load(where) if name == "ensemble" else PipelineModel.load(where)
+    kinds = {"ensemble": SoftVoteModel, "gradient_boosting": boosting.BoostedModel}
+    return kinds.get(name, PipelineModel).load(f"{path}/baseline_{name}")
 
 
 def score_by_name(
@@ -427,15 +428,27 @@ def list_models(spark: SparkSession, path: str) -> list[str]:
     ]
 
 
+def linear_part(model, member: str | None = None) -> LinearModel:
+    """The linear model inside a trained pipeline, or inside a member of an ensemble (``logreg``)."""
+    if isinstance(model, SoftVoteModel):
+        if member != "logreg":
+            raise ValueError("of an ensemble only the member 'logreg' is one linear model")
+        return linear_model(model.features, model.logreg)
+    if not isinstance(model, PipelineModel):
+        raise ValueError("model has no coefficients")
+    return linear_model(model, model.stages[-1])
+
+
+def explain_by_name(
+    path: str, name: str, df: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", **options
+) -> DataFrame:
+    """Explain the texts by the stored model ``name`` (``baseline_logreg``, ``svm``, ``ensemble`` ...): see
+    :func:`explain_linear`. Models without coefficients raise an error."""
+    short = name.removeprefix("baseline_")
+    part = linear_part(load_model(path, short), "logreg" if short == "ensemble" else None)
+    return explain_linear(df, part, lexicon, key, text, **options)
+
+
 def coefficient_table(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """``term, coef_neg, coef_neu, coef_pos`` of a linear model: one row per vocabulary term."""
-    terms = next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary
-    last = model.stages[-1]
-    if isinstance(last, LogisticRegressionModel):
-        rows = last.coefficientMatrix.toArray()
-    elif isinstance(last, OneVsRestModel) and hasattr(last.models[0], "coefficients"):
-        rows = [m.coefficients.toArray() for m in last.models]
-    else:
-        raise ValueError("model has no coefficients")
-    names = ("coef_neg", "coef_neu", "coef_pos")
-    return spark.createDataFrame(pa.table({"term": terms, **dict(zip(names, map(list, rows)))}))
+    return linear_part(model).coefficient_table(spark)
