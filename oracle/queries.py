@@ -515,6 +515,11 @@ from sp where split = 'val' group by label""", LABELLED, split("labelled"))
 
 add("boosting_rounds", "select unnest(range(1, 101)) as round, true as falls, true as above_zero")
 
+add("network_early_stop", "select true as stopped_early, true as kept_best, true as learned, true as waited")
+add("calibrate_margins", f"""select grp, class, count(*) as n, count(*) filter (label = class) as hits,
+  true as level_fits, true as slope_fits
+from (select grp, {encode(LABEL)} as label, unnest([0, 1, 2])::int as class from h) group by all""", H)
+
 # --- written and read back ------------------------------------------------------------------------------
 add("agreement_levels", f"""select case left(grp, 1) when '1' then '50Agree' when '2' then '66Agree'
     when '3' then '75Agree' else 'AllAgree' end as level,

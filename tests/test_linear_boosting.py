@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tonewright.functions.lexicon import Lexicon
 from tonewright.operators import linear, tfidf
-from tonewright.plans import boosting, training
+from tonewright.plans import boosting, calibration, network, training
 
 
 @pytest.fixture(scope="module")
@@ -128,3 +128,93 @@ def test_boosting_learns_and_is_stored(spark, labelled, tmp_path):
     one, two = (training.score(m, texts).orderBy("doc_id").collect() for m in (model, again))
     assert one == two and all(abs(sum(r.prediction.probabilities.values()) - 1) < 1e-9 for r in one)
     assert training.list_models(spark, str(tmp_path))[0] == "baseline_gradient_boosting"
+
+
+# calibration
+
+def plain_line(margin, hit):
+    """Gradient descent to the same loss in long steps, then Newton, in plain numpy."""
+    p, q = hit.sum(), (~hit).sum()
+    target = np.where(hit, (p + 1) / (p + 2), 1 / (q + 2))
+    x = np.stack([margin, np.ones_like(margin)], axis=1)
+    line = np.zeros(2)
+    for _ in range(5000):
+        share = 1 / (1 + np.exp(-x @ line))
+        line -= 4 / (x**2).sum() * (x.T @ (share - target))
+    for _ in range(50):
+        share = 1 / (1 + np.exp(-x @ line))
+        line -= np.linalg.solve((x * (share * (1 - share))[:, None]).T @ x, x.T @ (share - target))
+    return line
+
+
+def test_sigmoids_match_a_plain_version(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(400):
+        label = int(rng.integers(0, 3))
+        margin = rng.normal(0, 1, 3) + 1.5 * np.eye(3)[label]
+        if i % 2:
+            margin = 40 * np.eye(3)[label] - 20.0  # no mistakes in this fold
+        rows.append((i % 2, label, [float(m) for m in margin]))
+    frame = spark.createDataFrame([*rows, (0, 9, [9.0] * 3), (0, None, [9.0] * 3), (0, 1, None)], "fold int, label int, margins array<double>")
+    lines = calibration.fit_sigmoids(calibration.stacked_margins(frame).cache())
+    assert set(lines) == {(f, c) for f in range(2) for c in range(3)}
+    for c in range(3):
+        mine = [r for r in rows if r[0] == 0]
+        expected = plain_line(np.array([r[2][c] for r in mine]), np.array([r[1] == c for r in mine]))
+        assert np.allclose(lines[0, c], expected, atol=1e-8)
+        hits = sum(r[1] == c for r in rows if r[0] == 1)
+        others = sum(r[0] == 1 for r in rows) - hits
+        slope, intercept = lines[1, c]  # two different margins: the line meets both targets
+        assert abs(1 / (1 + np.exp(-(20 * slope + intercept))) - (hits + 1) / (hits + 2)) < 1e-9
+        assert abs(1 / (1 + np.exp(-(-20 * slope + intercept))) - 1 / (others + 2)) < 1e-9
+
+
+def test_sigmoid_of_equal_margins(spark):
+    frame = spark.createDataFrame([(0, i % 3, [1.0, 1.0, 1.0]) for i in range(30)], "fold int, label int, margins array<double>")
+    for slope, intercept in calibration.fit_sigmoids(calibration.stacked_margins(frame)).values():
+        assert abs(1 / (1 + np.exp(-(slope + intercept))) - (10 * 11 / 12 + 20 / 22) / 30) < 1e-9
+
+
+# the neural network
+
+def test_gradient_of_the_network():
+    rng = np.random.default_rng(3)
+    size, terms = [0, 2, 4, 1, 3], 6
+    term = np.concatenate([rng.choice(terms, s, replace=False) for s in size])
+    rows = network.Rows(np.array([0, 1, 2, 1, 0]), np.array([0, 0, 0, 0, 1], bool), np.cumsum([0, *size]), term, rng.random(10).astype(np.float32))
+    # biases off zero: a row without terms would stand where the rectifier has no slope
+    weights = [w.astype(np.float64) if w.ndim == 2 else rng.uniform(0.01, 0.1, w.shape) for w in network.initial(terms, 1)]
+    part = network.epoch_part(rows, weights)
+    assert (part.seen, part.held) == (4, 1)
+    whole = np.zeros_like(weights[0])
+    whole[part.terms] = part.first
+    for layer, gradient in enumerate([whole, *part.others]):
+        for place in rng.integers(0, weights[layer].size, 6):
+            losses = []
+            for step in (1e-4, -1e-4):
+                moved = [w.copy() for w in weights]
+                moved[layer].reshape(-1)[place] += step
+                losses.append(network.epoch_part(rows, moved).loss)
+            assert abs((losses[0] - losses[1]) / 2e-4 - gradient.reshape(-1)[place]) < 2e-3
+    halves = [network.Rows(rows.label[a:b], rows.held_out[a:b], rows.begin[a: b + 1] - rows.begin[a],
+                           term[rows.begin[a]: rows.begin[b]], rows.weight[rows.begin[a]: rows.begin[b]]) for a, b in ((0, 2), (2, 5))]
+    both = network.merged(*[network.epoch_part(h, weights) for h in halves])
+    assert (both.terms == part.terms).all() and np.allclose(both.first, part.first, atol=1e-6) and abs(both.loss - part.loss) < 1e-6
+
+
+def test_network_stops_early_keeps_the_best_and_goes_on(spark, labelled, tmp_path):
+    noisy = labelled.withColumn("label", F.when(F.col("doc_id") % 11 == 0, (F.col("label") + 1) % 3).otherwise(F.col("label")))
+    features = training.fit_features(noisy)
+    data = training.vectors(features, noisy, ["label"])
+    model = network.fit(features, data, patience=4)
+    shares = [s for _, s in model.curve]
+    assert len(shares) < 500 and shares[model.best_epoch] == max(shares) and len(shares) - model.best_epoch > 4
+    assert model.curve[-1][0] < model.curve[0][0] / 2
+    training.save_model(model, str(tmp_path), "mlp")
+    again = training.load_model(str(tmp_path), "mlp")
+    one, two = (training.score(m, labelled).orderBy("doc_id").collect() for m in (model, again))
+    assert one == two and again.curve == model.curve
+    assert sum(r.prediction.prediction == r.label for r in one) > 80
+    more = network.fit(features, data, maxIter=1, start=again)
+    assert abs(more.curve[0][1] - max(shares)) < 1e-9

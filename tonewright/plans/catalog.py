@@ -24,7 +24,7 @@ from ..sources import metrics_store, texts
 from ..sources.tables import headline_label, headlines, labelled_documents, table
 from ..sources.tables import texts as texts_of
 from ..session import materialize, shared_path
-from . import scoring, training
+from . import calibration, scoring, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LEXICON = Lexicon()
@@ -1093,6 +1093,39 @@ def boosting_rounds(spark, d):
     return spark.createDataFrame(rounds, "round long, falls boolean, above_zero boolean")
 
 
+@query
+def network_early_stop(spark, d):
+    """Where the training of the neural network stopped, and whether it kept its best epoch."""
+    train = training_data(spark, d).where("split = 'train'")
+    model = training.train_model("mlp", train)
+    shares = [share for _, share in model.curve]
+    best = model.best_epoch
+    facts = [(1 < len(shares) < 500, shares[best] == max(shares), max(shares) > shares[0], len(shares) - best > 10)]
+    return spark.createDataFrame(facts, "stopped_early boolean, kept_best boolean, learned boolean, waited boolean")
+
+
+@query
+def calibrate_margins(spark, d):
+    """Sigmoids for margins from word counts, a line for each priority and class: whether the slope of the loss
+    is zero there, by sums over all rows."""
+    counts = F.array(*[(F.col(f"{c}_word_count") - F.col(f"{o}_word_count")).cast("double") / 2
+                       for c, o in (("negative", "positive"), ("uncertainty", "negative"), ("positive", "negative"))])
+    rows = featured(spark, d).select("grp", T.encode_label(headline_label()).alias("label"), counts.alias("margins"))
+    stacked = materialize(calibration.stacked_margins(rows, fold="grp"))
+    lines = calibration.fit_sigmoids(stacked)
+    fitted = spark.createDataFrame([(g, c, *line) for (g, c), line in lines.items()], "fold string, class int, a double, b double")
+    p, q = F.count_if("hit"), F.count_if(~F.col("hit"))
+    sizes = stacked.groupBy("fold", "class").agg(p.alias("hits"), q.alias("others"))
+    share = 1 / (1 + F.exp(-(F.col("a") * F.col("margin") + F.col("b"))))
+    target = F.when(F.col("hit"), (F.col("hits") + 1) / (F.col("hits") + 2)).otherwise(1 / (F.col("others") + 2))
+    told = stacked.join(sizes, ["fold", "class"]).join(fitted, ["fold", "class"]).withColumn("gap", share - target)
+    limit = F.count("*") * 1e-9
+    return told.groupBy(F.col("fold").alias("grp"), "class").agg(
+        F.count("*").alias("n"), F.count_if("hit").alias("hits"),
+        (F.abs(F.sum("gap")) < limit).alias("level_fits"),
+        (F.abs(F.sum(F.col("gap") * F.col("margin"))) < limit).alias("slope_fits"))
+
+
 @query
 def train_ensemble(spark, d):
     data = training_data(spark, d)

@@ -10,6 +10,7 @@ import json
 import logging
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.ml import Estimator, Model, PipelineModel
@@ -17,7 +18,6 @@ from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
     LogisticRegressionModel,
-    MultilayerPerceptronClassifier,
     NaiveBayes,
     OneVsRest,
     OneVsRestModel,
@@ -31,8 +31,6 @@ from pyspark.ml.feature import (
     Normalizer,
     RegexTokenizer,
     SQLTransformer,
-    UnivariateFeatureSelector,
-    VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
@@ -49,7 +47,7 @@ from ..operators.linear import LinearModel, explain_linear, linear_model
 from ..operators.metrics import METRICS, classification_metrics, union_results
 from ..session import materialize
 from ..sources.metrics_store import FINE_TUNED, METRIC_SCHEMA, PRETRAINED
-from . import boosting
+from . import boosting, calibration, network
 from .scoring import prediction_record, score_external, soft_vote
 
 log = logging.getLogger(__name__)
@@ -106,17 +104,16 @@ def with_weights(df: DataFrame, label: str = "label") -> tuple[DataFrame, int]:
     return known.withColumn("weight", weight), sum(r["n"] for r in by_class)
 
 
-def classifier(name: str, n_rows: int, n_features: int, **changes) -> Estimator:
+def classifier(name: str, n_rows: int, **changes) -> Estimator:
     """An estimator with the standard parameters; ``changes`` replace some of them.
 
     Where Spark differs: regularisation is per row (hence ``1 / n_rows``), trees are at most 30 deep.
-    Boosting is not among them: see :mod:`boosting`.
+    Boosting and the neural network are not among them: see :mod:`boosting` and :mod:`network`.
     """
     def merged(**standard):
         return {**standard, **changes}
 
     linear = {"regParam": 1.0 / n_rows, "standardization": False, "maxIter": 1000, "tol": 1e-4}
-    dense = changes.pop("dense_features", None)
     if name == "logreg":
         return LogisticRegression(weightCol="weight", **merged(family="multinomial", **linear))
     if name == "naive_bayes":
@@ -131,34 +128,13 @@ def classifier(name: str, n_rows: int, n_features: int, **changes) -> Estimator:
             weightCol="weight",
             **merged(numTrees=200, maxDepth=30, minInstancesPerNode=2, seed=SEED),
         )
-    if name == "mlp":
-        layers = [min(n_features, dense or n_features), 256, 128, len(P.LABELS)]
-        return MultilayerPerceptronClassifier(
-            featuresCol="selected" if dense else "features",
-            **merged(layers=layers, maxIter=500, tol=1e-4, seed=SEED),
-        )
     raise ValueError(f"unknown classifier {name!r}; use one of {CLASSIFIERS}")
 
 
 def fit_classifier(name: str, data: DataFrame, **changes) -> list[Model]:
-    """Fit on ``features, label``; the stages to append to the feature pipeline.
-
-    ``dense_features`` (the neural network, which works on dense vectors) keeps that many features
-    with the strongest class signal; by default it sees the whole vocabulary.
-    """
+    """Fit on ``features, label``; the stages to append to the feature pipeline."""
     weighted, n_rows = with_weights(data)
-    n_features = len(weighted.select("features").first()["features"])
-    stages: list[Model] = []
-    if name == "mlp" and changes.get("dense_features"):
-        selector = UnivariateFeatureSelector(
-            featuresCol="features", outputCol="selected", labelCol="label",
-            selectionMode="numTopFeatures",
-        ).setFeatureType("continuous").setLabelType("categorical")
-        selector = selector.setSelectionThreshold(min(n_features, changes["dense_features"]))
-        stages.append(selector.fit(weighted))
-        weighted = stages[0].transform(weighted)
-    stages.append(classifier(name, n_rows, n_features, **changes).fit(weighted))
-    return stages
+    return [classifier(name, n_rows, **changes).fit(weighted)]
 
 
 def probability_array(scored: DataFrame) -> Column:
@@ -211,8 +187,9 @@ def compare_models(models: dict, df: DataFrame) -> DataFrame:
 
 def _fitted(name: str, features: PipelineModel, data: DataFrame, **changes):
     """A classifier fitted on feature vectors, together with the feature pipeline."""
-    if name == "gradient_boosting":
-        return boosting.fit(features, data, **changes)
+    own = {"gradient_boosting": boosting.fit, "mlp": network.fit}.get(name)
+    if own is not None:
+        return own(features, data, **changes)
     return PipelineModel(stages=features.stages + fit_classifier(name, data, **changes))
 
 
@@ -228,7 +205,7 @@ def train_model(name: str, train: DataFrame, text: str = "sentence", features=No
 
 def train_all(
     train: DataFrame, names: Sequence[str] = CLASSIFIERS, text: str = "sentence", changes=None
-) -> dict[str, PipelineModel | boosting.BoostedModel]:
+) -> dict[str, PipelineModel | boosting.BoostedModel | network.NetworkModel]:
     """Fit several classifiers on one set of cached feature vectors."""
     features = fit_features(train, text)
     data = training_vectors(features, train, ["label"]).persist()
@@ -266,29 +243,22 @@ class CalibratedSvm:
     @classmethod
     def fit(cls, data: DataFrame, key: str = "doc_id", folds: int = 3, **changes) -> "CalibratedSvm":
         """Fit on ``key, features, label``: each fold calibrates the SVM of the other folds."""
-        placed = with_folds(data, key, folds)
-        members, sigmoids = [], []
-        for fold in range(folds):
-            # weights and penalty come from the rows that the member sees
-            seen, n_rows = with_weights(placed.where(F.col("_fold") != fold))
-            svm = classifier("svm", n_rows, 0, **changes).fit(seen)
-            held_out = svm.transform(placed.where(F.col("_fold") == fold))
-            margins = held_out.withColumn("_m", vector_to_array("rawPrediction"))
-            members.append(svm)
-            sigmoids.append([cls._sigmoid(margins, c) for c in range(len(P.LABELS))])
-        return cls(members, sigmoids)
-
-    @staticmethod
-    def _sigmoid(margins: DataFrame, number: int) -> tuple[float, float]:
-        one = margins.select(
-            (F.col("label") == number).cast("double").alias("target"),
-            F.get("_m", F.lit(number)).alias("margin"),
-        )
-        points = VectorAssembler(inputCols=["margin"], outputCol="x").transform(one)
-        line = LogisticRegression(
-            featuresCol="x", labelCol="target", family="binomial", standardization=False
-        ).fit(points)
-        return float(line.coefficients[0]), float(line.intercept)
+        placed = with_folds(data, key, folds).persist()
+        members, held_out = [], []
+        try:
+            for fold in range(folds):
+                # weights and penalty come from the rows that the member sees
+                seen, n_rows = with_weights(placed.where(F.col("_fold") != fold))
+                members.append(classifier("svm", n_rows, **changes).fit(seen))
+                scored = members[-1].transform(placed.where(F.col("_fold") == fold))
+                held_out.append(scored.select(
+                    F.lit(fold).alias("fold"), "label", vector_to_array("rawPrediction").alias("margins")))
+            margins = materialize(calibration.stacked_margins(reduce(DataFrame.unionByName, held_out)))
+        finally:
+            placed.unpersist()
+        lines = calibration.fit_sigmoids(margins)
+        unknown = (1.0, 0.0)  # a class without a row in a fold
+        return cls(members, [[lines.get((f, c), unknown) for c in range(len(P.LABELS))] for f in range(folds)])
 
     def add_probabilities(self, df: DataFrame, out: str) -> DataFrame:
         """Mean over the members of their normalised sigmoid probabilities."""
@@ -379,7 +349,7 @@ def train_ensemble(
 
 def save_model(model, path: str, name: str) -> None:
     """Store as ``path/baseline_<name>``."""
-    if isinstance(model, (SoftVoteModel, boosting.BoostedModel)):
+    if not isinstance(model, PipelineModel):
         model.save(f"{path}/baseline_{name}")
     else:
         model.write().overwrite().save(f"{path}/baseline_{name}")
@@ -387,7 +357,7 @@ def save_model(model, path: str, name: str) -> None:
 
 def load_model(path: str, name: str):
     """Load what :func:`save_model` stored; the ensemble is named ``ensemble``."""
-    kinds = {"ensemble": SoftVoteModel, "gradient_boosting": boosting.BoostedModel}
+    kinds = {"ensemble": SoftVoteModel, "gradient_boosting": boosting.BoostedModel, "mlp": network.NetworkModel}
     return kinds.get(name, PipelineModel).load(f"{path}/baseline_{name}")
 
 
