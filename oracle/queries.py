@@ -342,7 +342,13 @@ add("get_lexicon_sentiment", f"""select doc_id, pos as positive_count, neg as ne
 
 # --- probabilities --------------------------------------------------------------------------------------
 def vector(first: int) -> list[str]:
-    return [f"embedding[{i}]::double" for i in range(first + 1, first + 4)]
+    return [f"scores[{i}]" for i in range(first + 1, first + 4)]
+
+
+def score_rows(width: int) -> str:
+    items = ", ".join(f"embedding[(part * {width} + {i}) % len(embedding) + 1]::double" for i in range(width))
+    return f"""e as (select vec_id, part, [{items}] as scores from (
+  select vec_id, embedding, unnest(range(0, ceil(len(embedding) / {width}e0)::int))::int as part from embeddings))"""
 
 
 def probabilities(items: list[str], names=("p0", "p1", "p2")) -> str:
@@ -350,11 +356,11 @@ def probabilities(items: list[str], names=("p0", "p1", "p2")) -> str:
 
 
 NAMES = ["p0", "p1", "p2"]
-SOFT = f"s as (select vec_id, {probabilities(vector(0))} from embeddings)"
-add("softmax", "select vec_id, " + ", ".join(f"{r6(p)} as {p}" for p in NAMES) + " from s", SOFT)
-add("argmax_label", f"""select vec_id, {argmax(NAMES)}::int as prediction, {decode(argmax(NAMES))} as label,
+SOFT = f"{score_rows(3)}, s as (select vec_id, part, {probabilities(vector(0))} from e)"
+add("softmax", "select vec_id, part, " + ", ".join(f"{r6(p)} as {p}" for p in NAMES) + " from s", SOFT)
+add("argmax_label", f"""select vec_id, part, {argmax(NAMES)}::int as prediction, {decode(argmax(NAMES))} as label,
   {r6('greatest(p0, p1, p2)')} as confidence from s""", SOFT)
-add("reorder_probabilities", f"""select vec_id, {r6('p1')} as negative, {r6('p2')} as neutral,
+add("reorder_probabilities", f"""select vec_id, part, {r6('p1')} as negative, {r6('p2')} as neutral,
   {r6('p0')} as positive from s""", SOFT)
 add("prediction_record", f"""select doc_id, {preview('text', 100)} as shown, {argmax(NAMES)}::int as prediction,
   {decode(argmax(NAMES))} as label, {r6('greatest(p0, p1, p2)')} as confidence, {r6('p0')} as negative,
@@ -362,9 +368,9 @@ add("prediction_record", f"""select doc_id, {preview('text', 100)} as shown, {ar
     f"s as (select doc_id, text, {probabilities(['neg * 1e0', '0.5e0', 'pos * 1e0'])} from f)")
 _members = [softmax(vector(i)) for i in (0, 3, 6)]
 _mean = ", ".join(f"({' + '.join(m[c] for m in _members)}) / 3 as p{c}" for c in range(3))
-add("soft_vote", "select vec_id, " + ", ".join(f"{r6(p)} as {p}" for p in NAMES)
+add("soft_vote", "select vec_id, part, " + ", ".join(f"{r6(p)} as {p}" for p in NAMES)
     + f", {argmax(NAMES)}::int as prediction, {r6('greatest(p0, p1, p2)')} as confidence from s",
-    f"s as (select vec_id, {_mean} from embeddings)")
+    f"{score_rows(9)}, s as (select vec_id, part, {_mean} from e)")
 _counts = [f"(length(text) - length(replace(text, '{c}', ''))) / 4e0" for c in "aeo"]
 _class = ["p1", "p2", "p0"]  # external order positive, negative, neutral
 add("score_external", f"""select doc_id, {argmax(_class)}::int as prediction, {decode(argmax(_class))} as label,
@@ -528,8 +534,12 @@ add("splits_round_trip", "select sentence, label, split from sp", CORPUS, CODED,
 add("predictions_round_trip", "select doc_id::varchar as doc_id, text, category as predicted_label from f", F_)
 add("metrics_round_trip", f"select grp as name, {METRIC_COLUMNS} from (select grp, {SUMMARY} from cr group by grp)",
     P_, class_rates("p", "cr", "grp"))
-add("models_round_trip", """select unnest(['baseline_naive_bayes', 'finbert_pretrained']) as model, n, n as predicted
-from (select count(*) as n from sp where split = 'val') union all select 'compared', 1, 1""", LABELLED, split("labelled"))
+_stored = [f"baseline_{m}" for m in (
+    "logreg", "naive_bayes", "svm", "random_forest", "gradient_boosting", "mlp", "ensemble")]
+add("models_round_trip", f"""select model, n, n as predicted, case when model like 'baseline_%' then 2 else 0 end::bigint as versions,
+  case when model like 'baseline_%' then true end as accuracy_is_that_compared, true as no_error
+from (select unnest({[*_stored, 'finbert_pretrained']}) as model), (select count(*) as n from sp where split = 'val')""",
+    LABELLED, split("labelled"))
 
 # --- explanations of fitted linear models: what has to hold whatever the coefficients ---------------------
 _own_words = words(tokens("text"))

@@ -64,6 +64,31 @@ def test_all_classifiers_save_load_list(spark, labelled, tmp_path):
         training.coefficient_table(spark, models["random_forest"])
 
 
+def test_a_broken_save_leaves_the_version_before(spark, labelled, tmp_path):
+    path = str(tmp_path)
+    first = training.train_model("naive_bayes", labelled)
+    assert training.save_model(first, path, "naive_bayes") == 1
+
+    class Breaks:
+        def save(self, where):
+            first.write().save(where)
+            raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        training.save_model(Breaks(), path, "naive_bayes")
+    assert [n for n, _ in training.versions(spark, path, "naive_bayes")] == [1]
+    rows = training.score(training.load_model(path, "naive_bayes"), labelled).count()
+    second = training.train_model("naive_bayes", labelled.where("label <> 2"))
+    assert rows == 90 and training.save_model(second, path, "naive_bayes") == 2
+    labels = {n: {r[0] for r in training.score(training.load_model(path, "naive_bayes", n), labelled).select("prediction.label").collect()}
+              for n in (1, 2, None)}
+    assert len(labels[1]) == 3 and labels[2] == labels[None] == {"negative", "neutral"}
+    with pytest.raises(FileNotFoundError):
+        training.load_model(path, "naive_bayes", 3)
+    with pytest.raises(FileNotFoundError):
+        training.load_model(path, "svm")
+
+
 def test_folds_share_out_every_class(spark):
     rows = [(i, 0 if i % 10 == 0 else 1 + i % 2) for i in range(900)]
     placed = training.with_folds(spark.createDataFrame(rows, "doc_id long, label int"), "doc_id", 3)

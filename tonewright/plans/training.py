@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import logging
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -347,18 +348,43 @@ def train_ensemble(
 
 # --- storage ------------------------------------------------------------------------------------
 
-def save_model(model, path: str, name: str) -> None:
-    """Store as ``path/baseline_<name>``."""
-    if not isinstance(model, PipelineModel):
-        model.save(f"{path}/baseline_{name}")
+def versions(spark: SparkSession, path: str, name: str) -> list[tuple[int, str]]:
+    """Number and folder of every published version of ``path/baseline_<name>``, the newest last."""
+    try:
+        rows = spark.read.text(f"{path}/baseline_{name}/manifests/*").collect()  # one for each version
+    except AnalysisException:
+        return []
+    return sorted((m["version"], m["folder"]) for m in (json.loads(r["value"]) for r in rows))
+
+
+def save_model(model, path: str, name: str) -> int:
+    """Store as the next version of ``path/baseline_<name>``; returns its number.
+
+    The model is written to a folder of its own, and a manifest that names the folder is published when all of it
+    is there: a file that appears by a rename. A save that breaks off leaves the versions before as they were.
+    """
+    spark = SparkSession.getActiveSession()
+    known = versions(spark, path, name)
+    number, folder = (known[-1][0] + 1 if known else 1), f"versions/{uuid.uuid4().hex}"
+    where = f"{path}/baseline_{name}"
+    if isinstance(model, PipelineModel):
+        model.write().save(f"{where}/{folder}")
     else:
-        model.write().overwrite().save(f"{path}/baseline_{name}")
+        model.save(f"{where}/{folder}")
+    manifest = pa.table({"value": [json.dumps({"version": number, "folder": folder})]})
+    spark.createDataFrame(manifest).coalesce(1).write.text(f"{where}/manifests/{number:06d}-{uuid.uuid4().hex}")
+    return number
 
 
-def load_model(path: str, name: str):
-    """Load what :func:`save_model` stored; the ensemble is named ``ensemble``."""
-    kinds = {"ensemble": SoftVoteModel, "gradient_boosting": boosting.BoostedModel, "mlp": network.NetworkModel}
-    return kinds.get(name, PipelineModel).load(f"{path}/baseline_{name}")
+def load_model(path: str, name: str, version: int | None = None):
+    """Load the newest version that :func:`save_model` published, or a given one; the ensemble is named ``ensemble``."""
+    known = versions(SparkSession.getActiveSession(), path, name)
+    folders = [f for n, f in known if version is None or n == version]
+    if not folders:
+        raise FileNotFoundError(f"no model {path}/baseline_{name}" + (f" version {version}" if version else ""))
+    kinds = {
+        "ensemble": SoftVoteModel, "gradient_boosting": boosting.BoostedModel, "mlp": network.NetworkModel}
+    return kinds.get(name, PipelineModel).load(f"{path}/baseline_{name}/{folders[-1]}")
 
 
 def score_by_name(
@@ -391,11 +417,8 @@ def list_models(spark: SparkSession, path: str) -> list[str]:
         except AnalysisException:
             return False
 
-    own = [f"baseline_{n}" for n in (*CLASSIFIERS, "ensemble")]
-    return [
-        *[n for n in own if stored(n)], PRETRAINED,
-        *[n for n in FINE_TUNED if stored(f"{n}_finetuned")],
-    ]
+    own = [f"baseline_{n}" for n in (*CLASSIFIERS, "ensemble") if versions(spark, path, n)]
+    return [*own, PRETRAINED, *[n for n in FINE_TUNED if stored(f"{n}_finetuned")]]
 
 
 def linear_part(model, member: str | None = None) -> LinearModel:
