@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +61,55 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows, for jobs that end inside the block and whose rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+_caches: list[Callable[[], None]] = []
+
+
+def forgets(clear: Callable[[], None]) -> None:
+    """Name a function that empties what a Python worker remembers between tasks."""
+    _caches.append(clear)
+
+
+def forget() -> None:
+    """Empty it: a worker serves tasks of many stages, and steps that need the room begin with this."""
+    for clear in _caches:
+        clear()
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Idle workers wait beside busy ones, and allocators keep what
+    arrays have left."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator], keep: bool = False) -> Callable[[Iterator], Iterator]:
+    """A task function that gives memory back at its end, and (but for those that ``keep`` it) begins
+    without what a worker remembers of other stages."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        if not keep:
+            forget()
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def running_total(
     df: DataFrame, order: Sequence[Column], value: Column, name: str = "before"
 ) -> DataFrame:
@@ -116,7 +168,7 @@ def add_by_text(
             arrays = [row, *(as_arrow(made[n]) for n in names)]
             yield pa.RecordBatch.from_arrays(arrays, names=["_row", *out_names])
 
-    done = packed.mapInArrow(run, inner)
+    done = packed.mapInArrow(tidy(run), inner)
     kept = [F.col("_row").getField(c).alias(c) for c in df.columns if c not in names]
     return done.select(*kept, *[F.col(o).alias(n) for o, n in zip(out_names, names)])
 

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonewright.llm.common import mix, running_total, stored
+from tonewright.llm.common import forgets, mix, running_total, stored, tidy
 
 LENGTH = 2048
 END = 1
 DIMENSIONS = 4
 BITS = 15
 HASHED = 256
-MEMO = 700_000  # a Python worker remembers at most twice as many words
+MEMO = 500_000  # a Python worker remembers at most twice as many words
 
 
 @functools.cache
@@ -129,6 +129,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+forgets(word_ids.cache_clear)
+
+
 def simple_case(text: str) -> str:
     """Lower case where that can't differ from the tokenizer's own: one byte a character, and no
     special token whose case counts. Fewer different words are to be learned then."""
@@ -206,7 +209,7 @@ def tokenize(docs: DataFrame, path: str, end: int) -> DataFrame:
                 ], names=["doc_id", "k", "k2", "n_tokens", "curve", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, k long, k2 long, n_tokens long, curve long, ids binary")
+    return docs.mapInArrow(tidy(run, keep=True), f"doc_id {kind}, k long, k2 long, n_tokens long, curve long, ids binary")
 
 
 def cut(placed: DataFrame, path: str, length: int, total: int) -> DataFrame:
@@ -247,7 +250,7 @@ def cut(placed: DataFrame, path: str, length: int, total: int) -> DataFrame:
             ], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     kind = placed.schema["doc_id"].dataType.simpleString()
-    return placed.mapInArrow(run, (
+    return placed.mapInArrow(tidy(run, keep=True), (
         f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     ))
 

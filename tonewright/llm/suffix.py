@@ -36,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonewright.llm.common import checkpoint, mix, prefix_hash, slices, span_hash, text_bytes
+from tonewright.llm.common import checkpoint, mix, prefix_hash, slices, span_hash, text_bytes, tidy
 
 LENGTH = 200
 GRAM = 50
 #: Shares of the anchors are merged together up to about this many strings.
 MERGED_STRINGS = 40_000
 SHARES = 8  # shares of the anchors for each shuffle partition
+PENDING_BYTES = 12_000_000  # strings that a shard holds before it transforms them
+ALIGNED = 4_000  # strings whose places are worked out at a time
 HOT = 50_000
 HOT_ANCHORS = 1_000_000  # bounds what is broadcast: 8 bytes each
 CUT = 8  # start positions that a cut of a hot anchor covers
@@ -143,7 +145,7 @@ def find_anchors(docs: DataFrame, length: int, gram: int, shares: int) -> DataFr
                 pa.array([r[2] for r in out], pa.binary()),
             ], names=["share", "known", "blob"])
 
-    return docs.mapInArrow(run, "share int, known boolean, blob binary")
+    return docs.mapInArrow(tidy(run), "share int, known boolean, blob binary")
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -193,7 +195,7 @@ def repeated_anchors(found: DataFrame, hot: int) -> DataFrame:
                 rows["hash"][first][top].view(np.int64).tolist(), total[top].tolist(),
             )
 
-    return found.mapInArrow(run, "key long, at int, hash long, many long")
+    return found.mapInArrow(tidy(run), "key long, at int, hash long, many long")
 
 
 def shard_strings(data, starts, keys, texts, at, total, hot, length, gram):
@@ -223,28 +225,44 @@ def shard_strings(data, starts, keys, texts, at, total, hot, length, gram):
     return begin[ok], spot[ok], end[ok], group[ok], texts[ok]
 
 
-def transform(matrix: np.ndarray, group: np.ndarray) -> np.ndarray:
+def transform(matrix: np.ndarray, strings: np.ndarray, reach: int) -> np.ndarray:
     """Burrows-Wheeler transform of aligned strings that are sorted by group.
 
-    Row j of the result holds the symbols in column j, in the order of the suffixes that follow.
-    ``matrix`` has ``ABSENT`` beyond the ends of a string.
+    Row j of the result holds the symbols in column j, in the order of the suffixes that follow. Beyond
+    the ends of a string, which its lengths tell, ``matrix`` has zeros that stand for ``ABSENT``.
     """
     width = matrix.shape[1]
-    out = matrix.T.astype(np.uint8)  # an absent symbol becomes 0; its string's length tells it
-    block = np.cumsum(first_of_each(group)) - 1
+    out = np.ascontiguousarray(matrix.T)
+    block = np.cumsum(first_of_each(strings["group"])) - 1
     many = np.flatnonzero(np.bincount(block)[block] > 1) if len(block) else block
     if not len(many):
         return out
+    start, stop = reach - strings["left"], reach + strings["right"]
     order, block = many.copy(), block[many].astype(np.int64)
     for j in range(width - 1, -1, -1):
         symbols = matrix[order, j]
-        out[j, many] = symbols.astype(np.uint8)
+        out[j, many] = symbols
+        symbols = symbols.astype(np.int64)
+        symbols[(j < start[order]) | (j >= stop[order])] = ABSENT
         key = block * 512 + symbols
         if (key[1:] < key[:-1]).any():
             order = order[np.argsort(key, kind="stable")]
     return out
 
 
+def aligned(part: np.ndarray, begin: np.ndarray, spot: np.ndarray, end: np.ndarray, reach: int, width: int) -> np.ndarray:
+    """The strings in rows, anchors in one column; zeros beyond their ends. Some rows at a time, as
+    places take more room than bytes."""
+    matrix = np.empty((len(spot), width), np.uint8)
+    for first in range(0, len(spot), ALIGNED):
+        rows = slice(first, first + ALIGNED)
+        column = (spot[rows, None] - reach + np.arange(width)).astype(np.int32)
+        there = (column >= begin[rows, None]) & (column < end[rows, None])
+        np.clip(column, 0, len(part) - 1, out=column)
+        matrix[rows] = part[column] * there
+    return matrix
+
+
 def shard_transforms(joined: DataFrame, length: int, gram: int, shares: int, hot: np.ndarray) -> DataFrame:
     """``doc_id, k1, k2, text, at`` (positions of anchors) -> ``share, blob``: a transform for each share."""
     reach = length - gram
@@ -263,6 +281,7 @@ def shard_transforms(joined: DataFrame, length: int, gram: int, shares: int, hot
                 fresh[0] = (k1[0], k2[0]) != last
                 last = (k1[-1], k2[-1])
             shares_of: dict[int, list] = {}
+            pending = 0
             for lo, hi in slices(offsets):
                 starts = offsets[lo: hi + 1] - offsets[lo]
                 part = data[offsets[lo]: offsets[hi]]
@@ -288,31 +307,37 @@ def shard_transforms(joined: DataFrame, length: int, gram: int, shares: int, hot
                 places = np.zeros(len(new), PLACE)
                 places["k1"], places["k2"] = k1[lo + texts], k2[lo + texts]
                 places["at"] = spot - starts[texts]
-                column = spot[first, None] - reach + np.arange(reach + length)
-                there = (column >= begin[first, None]) & (column < end[first, None])
-                matrix = part[np.clip(column, 0, len(part) - 1)].astype(np.int16)
-                matrix[~there] = ABSENT
+                matrix = aligned(part, begin[first], spot[first], end[first], reach, reach + length)
                 number = np.cumsum(new) - 1
                 for share, i in by_share(share_of(strings["group"], shares)):
                     mine = np.zeros(len(first), bool)
                     mine[i] = True
                     shares_of.setdefault(share, []).append((strings[i], places[mine[number]], matrix[i]))
-            out = []
-            for share, got in shares_of.items():
-                strings = np.concatenate([g[0] for g in got])
-                order = np.argsort(strings["group"], kind="stable")
-                number = np.repeat(np.arange(len(strings)), strings["many"])
-                rank = np.argsort(order)[number]
-                places = np.concatenate([g[1] for g in got])[np.argsort(rank, kind="stable")]
-                strings = strings[order]
-                columns = transform(np.concatenate([g[2] for g in got])[order], strings["group"])
-                out.append((share, strings.tobytes(), places.tobytes(), zlib.compress(columns.tobytes(), 1)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int32()),
-                 *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3))],
-                names=["share", "strings", "places", "columns"])
-
-    return joined.mapInArrow(run, "share int, strings binary, places binary, columns binary")
+                pending += matrix.nbytes
+                if pending >= PENDING_BYTES:
+                    yield transformed(shares_of)
+                    shares_of, pending = {}, 0
+            if shares_of:
+                yield transformed(shares_of)
+
+    def transformed(shares_of: dict[int, list]) -> pa.RecordBatch:
+        out = []
+        for share in sorted(shares_of):
+            got = shares_of.pop(share)
+            strings = np.concatenate([g[0] for g in got])
+            order = np.argsort(strings["group"], kind="stable")
+            number = np.repeat(np.arange(len(strings)), strings["many"])
+            rank = np.argsort(order)[number]
+            places = np.concatenate([g[1] for g in got])[np.argsort(rank, kind="stable")]
+            strings = strings[order]
+            columns = transform(np.concatenate([g[2] for g in got])[order], strings, reach)
+            out.append((share, strings.tobytes(), places.tobytes(), zlib.compress(columns, 1)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in out], pa.int32()),
+             *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3))],
+            names=["share", "strings", "places", "columns"])
+
+    return joined.mapInArrow(tidy(run), "share int, strings binary, places binary, columns binary")
 
 
 def merge(transforms: list[tuple[np.ndarray, np.ndarray]], length: int, gram: int) -> np.ndarray:
@@ -416,7 +441,7 @@ def repeated_spans(transforms: DataFrame, length: int, gram: int) -> DataFrame:
         if waiting:
             yield spans(waiting)
 
-    return transforms.mapInArrow(run, "k1 long, k2 long, start long, end long")
+    return transforms.mapInArrow(tidy(run), "k1 long, k2 long, start long, end long")
 
 
 def remove_repeats(
@@ -508,7 +533,7 @@ def apply_spans(joined: DataFrame) -> DataFrame:
             ], names=["doc_id", "text", "spans", "kept", "clean"])
 
     kind = joined.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, (
+    return joined.mapInArrow(tidy(run), (
         f"doc_id {kind}, text binary, spans array<struct<start:long,end:long>>, kept binary, clean string"))
 
 
