@@ -176,7 +176,8 @@ def test_merge_of_transforms_is_exact():
             mine = mine[np.argsort(group[mine], kind="stable")]
             strings = np.zeros(len(mine), suffix.STRING)
             strings["group"], strings["left"], strings["right"], strings["many"] = group[mine], left[mine], right[mine], 1
-            parts.append((strings, suffix.transform(matrix[mine], strings["group"]).ravel()))
+            stored = np.where(matrix[mine] == suffix.ABSENT, 0, matrix[mine]).astype(np.uint8)
+            parts.append((strings, suffix.transform(stored, strings, reach).ravel()))
             numbers.append(mine)
         numbers = np.concatenate(numbers)
         marks = suffix.merge(parts, length, gram)
@@ -277,3 +278,31 @@ def test_pipeline_stages_take_effect(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, (_, c) in expected.items() if c == d)
     cut = stages["repeats"](spark, docs, SF).agg(F.sum(F.octet_length("text"))).first()[0]
     assert cut < docs.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
+def test_one_of_each_with_maps_clashing_names_and_repeats(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(i % 3 or None, t, {"a": i}, i, f"r{i}") for i, t in enumerate([text, text + " more", "other " + text, "x y z", None, "", text] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, marks map<string,int>, _tw_row int, no string")
+    kept = minhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    texts = [r.text for r in kept.collect()]
+    assert sum(t is not None and "word1 " in t for t in texts) == 1 and texts.count("x y z") == 1
+
+
+def test_many_tiles_in_few_batches(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(90):
+        words = base[:]
+        words[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows.append((90, " ".join(base + base[::-1])))
+    monkeypatch.setattr(minhash, "SMALL", 3)
+    monkeypatch.setattr(minhash, "TILE", 4)
+    monkeypatch.setattr(minhash, "PAIRS_PER_BATCH", 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute.near_duplicates(rows, 90)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, percent=90).collect()}
+    assert got == expected

@@ -28,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from tonewright.llm.common import (
-    checkpoint, mix, prefix_hash, running_total, slices, span_hash, stored, text_bytes, word_bounds,
+    checkpoint, mix, prefix_hash, rows_per_batch, running_total, slices, span_hash, stored, text_bytes, tidy, word_bounds,
 )
 from tonewright.llm.components import connected_components, local_components
 
@@ -40,6 +41,7 @@ ROWS = 2
 MISSED = 1e-4
 SMALL = 30
 TILE = 256
+PAIRS_PER_BATCH = 16  # of tiles
 COLUMNS = 8192  # shingles whose incidence is multiplied at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -149,7 +151,7 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 ], names=["doc_id", "n_shingles", "k1", "k2", "a", "b"])
 
     return docs.mapInArrow(
-        run, "doc_id long, n_shingles long, k1 long, k2 long, a array<long>, b array<long>"
+        tidy(run), "doc_id long, n_shingles long, k1 long, k2 long, a array<long>, b array<long>"
     )
 
 
@@ -158,25 +160,24 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for column in (2, 3):
-                data, offsets = text_bytes(batch.column(column))
-                sides.append([])
-                for lo, hi in slices(offsets):
+            texts = [text_bytes(batch.column(column)) for column in (2, 3)]
+            for lo, hi in slices(texts[0][1] + texts[1][1]):
+                sides = []
+                for data, offsets in texts:
                     part = data[offsets[lo]: offsets[hi]]
                     hashes, where, _ = shingles(part, offsets[lo: hi + 1] - offsets[lo], size)
                     values, sets = sorted_sets(hashes, where)
-                    sides[-1].extend(values[s:e] for s, e in zip(sets[:-1], sets[1:]))
-            good = []
-            for x, y in zip(*sides):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                    sides.append([values[s:e] for s, e in zip(sets[:-1], sets[1:])])
+                good = []
+                for x, y in zip(*sides):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                yield batch.select(["a", "b"]).slice(lo, hi - lo).filter(pa.array(good, pa.bool_()))
 
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -242,7 +243,7 @@ def verify_groups(groups: DataFrame, docs: DataFrame, size: int, percent: int) -
         F.ceil(F.col("n") / TILE).alias("tiles"),
     )
     texts = docs.join(members.select("part", "doc_id"), "doc_id").select("part", "doc_id", "text")
-    packed = texts.mapInArrow(sets, "part long, doc_id long, shingles binary")
+    packed = texts.mapInArrow(tidy(sets), "part long, doc_id long, shingles binary")
     tiles = checkpoint(
         packed.join(placed, ["part", "doc_id"]).groupBy("part", "tile", "tiles")
         .agg(F.collect_list(F.struct("doc_id", "shingles")).alias("items"))
@@ -253,7 +254,8 @@ def verify_groups(groups: DataFrame, docs: DataFrame, size: int, percent: int) -
     )
     right = tiles.select("part", F.col("tile").alias("right_tile"), F.col("items").alias("right"))
     pairs = left.join(right, ["part", "right_tile"]).select("left_tile", "right_tile", "left", "right")
-    return pairs.mapInArrow(compare, "a long, b long")
+    with rows_per_batch(docs.sparkSession, PAIRS_PER_BATCH):  # a row holds two tiles
+        return checkpoint(pairs.mapInArrow(tidy(compare), "a long, b long"))
 
 
 def near_duplicates(
@@ -343,21 +345,31 @@ def near_duplicates(
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Keep one row of each component: its smallest document.
 
-    Where ids are null or come more than once, they don't tell rows apart. A row is then named by a hash of its
+    Where ids are null or come more than once, they don't tell rows apart. A row is then named by a number of its
     id and text, so rows that share an id are compared like any others, and of rows that share both
-    the smallest in all columns stays.
+    the smallest in all columns that have an order stays (of those equal in them any one).
     """
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     if ids.where("doc_id is null or n > 1").isEmpty():
         kept = near_duplicates(docs, percent=percent).where("kept").select(F.col("doc_id").alias("_tw_kept"))
         return docs.join(kept, docs["doc_id"] == kept["_tw_kept"], "left_semi")
-    named = docs.groupBy(F.xxhash64("doc_id", "text").alias("_tw_row")).agg(
-        F.min(F.struct(*docs.columns)).alias("_tw_one"))
-    rows = stored(named.select("_tw_row", "_tw_one.*"), "rows")
-    found = near_duplicates(rows, key="_tw_row", percent=percent)
-    smallest = F.min(F.struct(F.col("r.doc_id").isNull(), F.col("r.doc_id"), F.col("_tw_row")))["_tw_row"]
+    # two hashes find equal rows, and the rows that are left are numbered, so none takes another's name
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    ordered = F.struct(*[F.col(f"`{f.name}`") for f in docs.schema.fields if has_order(f.dataType)])
+    alike = docs.groupBy(F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("h2"))
+    single = alike.agg(F.min_by(whole, ordered).alias("row"))
+    numbered = running_total(single.select("h1", "h2"), [F.col("h1"), F.col("h2")], F.lit(1).cast("long"), "no")
+    rows = stored(single.join(numbered, ["h1", "h2"]).select("no", "row"), "rows")
+    texts = rows.select("no", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    found = near_duplicates(texts.select("no", "text"), key="no", percent=percent)
+    smallest = F.min(F.struct(F.col("r.doc_id").isNull(), F.col("r.doc_id"), F.col("r.no")))["no"]
     kept = (
-        found.alias("f").join(rows.select("_tw_row", "doc_id").alias("r"), F.col("f.doc_id") == F.col("_tw_row"))
-        .groupBy("component_id").agg(smallest.alias("_tw_row")).select("_tw_row")
+        found.alias("f").join(texts.select("no", "doc_id").alias("r"), F.col("f.doc_id") == F.col("r.no"))
+        .groupBy("component_id").agg(smallest.alias("no")).select("no")
     )
-    return rows.join(kept, "_tw_row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "no", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def has_order(kind: DataType) -> bool:
+    """Whether values of a type can be put in order, which maps and what holds them can't."""
+    return not any(name in kind.simpleString() for name in ("map<", "variant", "interval"))
