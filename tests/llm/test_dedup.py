@@ -290,7 +290,7 @@ def test_one_of_each_with_maps_clashing_names_and_repeats(spark):
     assert sum(t is not None and "word1 " in t for t in texts) == 1 and texts.count("x y z") == 1
 
 
-def test_many_tiles_in_few_batches(spark, monkeypatch):
+def test_many_small_tiles(spark, monkeypatch):
     rng = random.Random(9)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     rows = []
@@ -301,7 +301,6 @@ def test_many_tiles_in_few_batches(spark, monkeypatch):
     rows.append((90, " ".join(base + base[::-1])))
     monkeypatch.setattr(minhash, "SMALL", 3)
     monkeypatch.setattr(minhash, "TILE", 4)
-    monkeypatch.setattr(minhash, "PAIRS_PER_BATCH", 3)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expected = brute.near_duplicates(rows, 90)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, percent=90).collect()}

@@ -7,7 +7,6 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -61,18 +60,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows, for jobs that end inside the block and whose rows are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 _caches: list[Callable[[], None]] = []
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from tonewright.llm.common import (
-    checkpoint, mix, prefix_hash, rows_per_batch, running_total, slices, span_hash, stored, text_bytes, tidy, word_bounds,
+    checkpoint, mix, prefix_hash, running_total, slices, span_hash, stored, text_bytes, tidy, word_bounds,
 )
 from tonewright.llm.components import connected_components, local_components
 
@@ -41,7 +41,6 @@ ROWS = 2
 MISSED = 1e-4
 SMALL = 30
 TILE = 256
-PAIRS_PER_BATCH = 16  # of tiles
 COLUMNS = 8192  # shingles whose incidence is multiplied at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -254,8 +253,7 @@ def verify_groups(groups: DataFrame, docs: DataFrame, size: int, percent: int) -
     )
     right = tiles.select("part", F.col("tile").alias("right_tile"), F.col("items").alias("right"))
     pairs = left.join(right, ["part", "right_tile"]).select("left_tile", "right_tile", "left", "right")
-    with rows_per_batch(docs.sparkSession, PAIRS_PER_BATCH):  # a row holds two tiles
-        return checkpoint(pairs.mapInArrow(tidy(compare), "a long, b long"))
+    return pairs.mapInArrow(tidy(compare), "a long, b long")
 
 
 def near_duplicates(
