@@ -29,6 +29,7 @@ where contains(v, '@')""", H)
 add("read_texts", f"""select * from (select doc_id, position, {strip('value')} as text from lines)
 where text <> ''""", LINES)
 add("read_texts_any_encoding", "select doc_id, grp as file, text from h", H)
+add("read_csv_texts", "select doc_id, text from documents where text is not null")
 add("detect_text_columns", """select 'text' as column_name, count(text) as n from documents
 union all select 'lang', count(lang) from documents
 union all select 'source', count(source) from documents""")
@@ -335,6 +336,7 @@ add("analyze", f"""select doc_id, cleaned as cleaned_text, category, {r6('score'
   {joined('companies')} as companies, {r6('uncertainty_score')} as uncertainty_score,
   {r6('subjectivity_score')} as subjectivity_score, has_negation, ngt as negation_count,
   exclamation_count, question_count from f""", F_)
+SQL["analyze_stream"] = SQL["analyze"]
 add("get_lexicon_sentiment", f"""select doc_id, pos as positive_count, neg as negative_count,
   unc as uncertainty_count, {r6('score')} as sentiment_score, {joined('positive_words')} as positive_words,
   {joined('negative_words')} as negative_words, {joined('uncertainty_words')} as uncertainty_words from f""", F_)
@@ -376,6 +378,14 @@ _class = ["p1", "p2", "p0"]  # external order positive, negative, neutral
 add("score_external", f"""select doc_id, {argmax(_class)}::int as prediction, {decode(argmax(_class))} as label,
   {r6('greatest(p0, p1, p2)')} as confidence, {r6('p1')} as negative, {r6('p2')} as neutral,
   {r6('p0')} as positive from s""", H, f"s as (select doc_id, {probabilities(_counts)} from h)")
+_kept = "array_to_string(t[1:128], ' ')"
+_letters = [f"(length({_kept}) - length(replace({_kept}, '{c}', ''))) / 16e0" for c in "aeo"]
+add("score_external_tokens", f"""select doc_id, case when n > 0 then n end as n_tokens,
+  case when n > 0 then n > 128 end as truncated, case when n > 0 then {argmax(_class)}::int end as prediction,
+  case when n > 0 then {decode(argmax(_class))} else 'error' end as label,
+  case when n > 0 then {r6('greatest(p0, p1, p2)')} else 0e0 end as confidence from s""",
+    f"l as (select doc_id, coalesce({tokens('text')}, []) as t from documents)",
+    f"s as (select doc_id, len(t)::int as n, {probabilities(_letters)} from l)")
 
 # --- TF-IDF and naive Bayes -------------------------------------------------------------------------------
 add("tokens_1_2gram", f"""select doc_id, {joined(with_pairs('t'))} as terms,

@@ -166,6 +166,43 @@ def test_external_scorer_is_made_once_per_worker(spark, tmp_path):
     assert 1 <= len(made) == len(set(made)) <= 16  # far fewer than the 64 tasks
 
 
+def test_external_scorer_cuts_tokens_and_sorts_by_length(spark, tmp_path):
+    log = str(tmp_path / "padded")
+
+    def make():
+        def score(items):
+            with open(log, "a") as out:
+                out.write(f"{max(map(len, items)) * len(items) - sum(map(len, items))}\n")
+            return [[float(len(t)), 0.0, float(t[0] == "b")] for t in items]
+
+        return score
+
+    def make_tokenizer():
+        def tokens(texts):
+            if any("boom" in t for t in texts):
+                raise RuntimeError("bad text")
+            return [t.split() for t in texts]
+
+        return tokens
+
+    sizes = [1, 9, 2, 8, 1, 7, 2, 40, 3, 300]
+    rows = [(i, " ".join(["ab"[i % 2]] * n)) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame([*rows, (10, None), (11, "boom"), (12, " ")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in scoring.score_external(
+        df, make, batch_size=2, external_order=False, make_tokenizer=make_tokenizer, max_tokens=32).collect()}
+    assert [got[i].n_tokens for i in range(13)] == [*sizes, None, None, None]
+    assert [got[i].truncated for i in range(10)] == [n > 32 for n in sizes] and got[10].truncated is None
+    assert [got[i].error for i in (9, 10, 11, 12)] == [None, "no text", "RuntimeError: bad text", "no text"]
+    alone = [32 if n > 32 else n for n in sizes]
+    for i, n in enumerate(alone):
+        p = got[i].prediction.probabilities
+        assert p["negative"] / p["neutral"] == pytest.approx(2.718281828459045 ** n)
+    in_row_order = sum(abs(a - b) for a, b in zip(alone[::2], alone[1::2]))
+    assert sum(map(int, open(log).read().split())) < in_row_order / 10
+    with pytest.raises(ValueError):
+        scoring.score_external(df, make, max_tokens=3)
+
+
 def test_lexicon_words_are_appended_and_highlighted(spark):
     top = [("profit", 0.5, "positive"), ("weak demand", 0.4, "negative")]
     df = spark.createDataFrame([(1, "Profit up, weak demand.", top)],

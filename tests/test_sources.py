@@ -98,3 +98,33 @@ def test_lexicon_files(spark, tmp_path):
         "Word,Negative,Positive,Uncertainty,Litigious\nLOSS,2009,0,0,0\nMAY,0,0,2009,-2020\n")
     got = lexicons.read_master_dictionary(spark, str(tmp_path / "m.csv")).collect()
     assert sorted(map(tuple, got)) == [("negative", "loss"), ("uncertainty", "may")]
+
+
+@pytest.mark.parametrize("split_bytes", [16, 1 << 20])
+def test_csv_with_quoted_breaks_is_read_in_splits(spark, tmp_path, split_bytes):
+    first = ('id,text\r\n1,"one\r\ntwo, ""so"" he said\n\n"\r\n2,plain\r\n\r\n3,"a ""b"" c"\r\n'
+             '4,"\n\n\n"\r\n5,"' + "long line\n" * 40 + '"\r\n6,\r\n7,"x,y"')
+    second = 'id,text\n8,"na\u00efve\nend"\n9,z\n'
+    (tmp_path / "a.csv").write_bytes(first.encode("utf-8"))
+    (tmp_path / "b.csv").write_bytes(second.encode("latin-1"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    try:
+        got = {r.id: r.text for r in texts.read_csv_any_encoding(spark, f"{tmp_path}/*.csv", "text").collect()}
+        plain = spark.read.options(**texts.csv_options(True)).csv(str(tmp_path / "a.csv"))
+        # Spark's own whole-file parser turns quoted CR LF into LF; the bytes are kept here
+        same = texts.read_texts(spark, str(tmp_path / "a.csv"))
+        same = same.select("id", F.replace("text", F.lit("\r\n"), F.lit("\n")).alias("text"))
+        assert sorted(map(str, same.collect())) == sorted(map(str, plain.collect()))
+        parts = spark.read.text(str(tmp_path / "a.csv"), lineSep="\n").rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {
+        "1": 'one\r\ntwo, "so" he said\n\n', "2": "plain", "3": 'a "b" c', "4": "\n\n\n",
+        "5": "long line\n" * 40, "7": "x,y", "8": "na\u00efve\nend", "9": "z"}
+    assert (parts > 8) == (split_bytes < 100)
+
+
+def test_csv_without_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text\n")
+    assert texts.read_texts(spark, str(tmp_path / "a.csv")).collect() == []

@@ -80,15 +80,16 @@ def corpus_quality_report(
     label: str = "label",
     expected: Sequence[str] = P.LABELS,
 ) -> DataFrame:
-    """One row: size, label check, duplicates, blanks. Grouping by sentence first means a
-    single shuffle of combined rows and no growing buffers."""
+    """One row: size, label check, duplicates, blanks. Grouping by the sentence's fingerprint first means a
+    single shuffle of combined rows without their texts, and no growing buffers."""
     seen = [F.max(F.col(label) == name).alias(f"_has_{i}") for i, name in enumerate(expected)]
     other = F.count_if(~F.coalesce(F.col(label).isin(*expected), F.lit(False))).alias("_other")
-    per_sentence = df.groupBy(sentence).agg(F.count("*").alias("_n"), other, *seen)
+    is_blank = F.max(T.is_blank(F.col(sentence))).alias("_blank")
+    per_sentence = df.groupBy(*fingerprint(sentence)).agg(F.count("*").alias("_n"), is_blank, other, *seen)
     present = F.array(
         *[F.when(F.max(f"_has_{i}"), F.lit(name)) for i, name in enumerate(expected)]
     )
-    blank = F.sum(F.when(T.is_blank(F.col(sentence)), F.col("_n")).otherwise(0))
+    blank = F.sum(F.when(F.col("_blank"), F.col("_n")).otherwise(0))
     report = per_sentence.agg(
         F.sum("_n").alias("n_rows"),
         (F.sum("_n") - F.count("*")).alias("n_duplicates"),

@@ -113,11 +113,22 @@ def top_words_per_text(
 
 
 def top_words_by_direction(
-    top: DataFrame, k: int = 5, key: str = "doc_id"
+    rows: DataFrame, scores: WordScores, k: int = 5, top: int = 20, key: str = "doc_id"
 ) -> DataFrame:
-    """The first ``k`` words of each direction among a text's top words."""
-    order = Window.partitionBy(key, "direction").orderBy("rank")
-    return top.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    """The first ``k`` words of each direction among a text's ``top`` words, with their ``rank`` among these and
+    their ``place`` in the direction. Lists are cut inside the row, so no window brings them together again."""
+    ranked = importance_lists(rows, scores, top, key).select(key, F.transform(
+        "word_importance", lambda x, i: F.struct(
+            x["word"].alias("word"), x["score"].alias("score"), x["direction"].alias("direction"),
+            (i + 1).alias("rank"))).alias("_ranked"))
+
+    def first_of(side: str) -> Column:
+        kept = F.slice(F.filter("_ranked", lambda x: x["direction"] == side), 1, k)
+        return F.transform(kept, lambda x, i: F.struct(x.alias("item"), (i + 1).alias("place")))
+
+    sides = [first_of(side) for side in ("positive", "negative", "neutral")]
+    out = ranked.select(key, F.explode_outer(F.concat(*sides)).alias("_x"))
+    return out.where(F.col("_x").isNotNull()).select(key, "_x.item.*", "_x.place")
 
 
 def importance_lists(

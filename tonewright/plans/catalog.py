@@ -24,6 +24,7 @@ from ..sources import metrics_store, texts
 from ..sources.tables import headline_label, headlines, labelled_documents, table
 from ..sources.tables import texts as texts_of
 from ..session import materialize, shared_path
+from ..streaming import live
 from . import calibration, scoring, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,6 +187,15 @@ def predictions_round_trip(spark, d):
     return texts.read_texts(spark, path).select("doc_id", "text", "predicted_label")
 
 
+@query
+def read_csv_texts(spark, d):
+    """Whole documents, line breaks and quotes included, written as CSV and read back in splits."""
+    path = shared_path(spark, "texts")
+    texts.write_predictions(documents(spark, d), path, ["doc_id", "text"])
+    found = texts.read_csv_any_encoding(spark, path, "text")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 @query
 def metrics_round_trip(spark, d):
     path = shared_path(spark, "metrics")
@@ -742,7 +752,26 @@ def list_caps(spark, d):
 
 @query
 def analyze(spark, d):
-    record = features.analyze(headlines(spark, d), lexicon=LEXICON)
+    return analysis_columns(features.analyze(headlines(spark, d), lexicon=LEXICON))
+
+
+@query
+def analyze_stream(spark, d):
+    """Headlines that arrive in two parts. The stream reads some files in each batch and ends with the first part; started
+    anew it goes on from its checkpoint, and a third start finds nothing new."""
+    folder = shared_path(spark, "stream")
+    rows = headlines(spark, d).select("doc_id", "text", F.coalesce(F.col("dir") == "up", F.lit(False)).alias("early"))
+    for part in ("early", "not early", None):
+        if part:
+            rows.where(part).drop("early").write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 64)
+        analyzed = live.analyze_stream(arriving.parquet(f"{folder}/in"), lexicon=LEXICON)
+        live.write_stream(analyzed, f"{folder}/out", f"{folder}/progress").awaitTermination()
+    return analysis_columns(spark.read.parquet(f"{folder}/out"))
+
+
+def analysis_columns(record: DataFrame) -> DataFrame:
+    """The nested analysis record as flat columns."""
     return record.select(
         "doc_id", "cleaned_text", F.col("sentiment.category").alias("category"),
         r6("sentiment.score").alias("score"), r6("sentiment.confidence").alias("confidence"),
@@ -842,6 +871,27 @@ def score_external(spark, d):
     )
 
 
+def word_tokenizer():
+    """A stand-in tokenizer: words between spaces."""
+    return lambda texts: [t.split() for t in texts]
+
+
+def token_scorer():
+    """A stand-in scorer of token lists: three scores from letter counts."""
+    return lambda items: [[sum(t.count(c) for t in tokens) / 16 for c in "aeo"] for tokens in items]
+
+
+@query
+def score_external_tokens(spark, d):
+    """Whole documents, tokenised and cut for a model that takes 128 tokens."""
+    scored = scoring.score_external(
+        documents(spark, d), token_scorer, batch_size=64, make_tokenizer=word_tokenizer, max_tokens=128)
+    return scored.select(
+        "doc_id", "n_tokens", "truncated", "prediction.prediction", "prediction.label",
+        r6("prediction.confidence").alias("confidence"),
+    )
+
+
 # --- TF-IDF and naive Bayes -----------------------------------------------------------------------
 
 @query
@@ -922,7 +972,9 @@ def top_words_per_text(spark, d):
 
 @query
 def top_words_by_direction(spark, d):
-    return importance.top_words_by_direction(headline_top_words(spark, d)).withColumn("score", r6("score"))
+    scores, _ = headline_scores(spark, d)
+    rows = tfidf.weigh_rows(headlines(spark, d), scores.vocabulary)
+    return importance.top_words_by_direction(rows, scores).withColumn("score", r6("score"))
 
 
 @query

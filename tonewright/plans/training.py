@@ -56,6 +56,8 @@ log = logging.getLogger(__name__)
 CLASSIFIERS = ("logreg", "naive_bayes", "svm", "random_forest", "gradient_boosting", "mlp")
 LINEAR = ("logreg", "naive_bayes", "svm")
 SEED = 42
+# fixed values: tokens of a text that these models are given
+MAX_TOKENS = {"pretrained": 512, "fine_tuned": 128}
 
 
 def fit_features(
@@ -388,12 +390,13 @@ def load_model(path: str, name: str, version: int | None = None):
 
 
 def score_by_name(
-    path: str, name: str, df: DataFrame, text: str = "text", make_scorer=None
+    path: str, name: str, df: DataFrame, text: str = "text", make_scorer=None, make_tokenizer=None
 ) -> DataFrame:
     """``df`` with a ``prediction`` record from the model that :func:`list_models` calls ``name``.
 
     Stored models are loaded from ``path`` (with or without the prefix ``baseline_``); pretrained and
-    fine-tuned ones are scored by ``make_scorer``, which the caller supplies.
+    fine-tuned ones are scored by ``make_scorer``, which the caller supplies. With ``make_tokenizer`` they are given
+    at most ``MAX_TOKENS`` tokens of a text.
     """
     short = name.removeprefix("baseline_")
     if short in (*CLASSIFIERS, "ensemble"):
@@ -404,7 +407,10 @@ def score_by_name(
     if name == PRETRAINED or name.removesuffix("_finetuned") in FINE_TUNED:
         if make_scorer is None:
             raise ValueError(f"{name!r} needs make_scorer")
-        return score_external(df, make_scorer, text, external_order=name == PRETRAINED)
+        kind = "pretrained" if name == PRETRAINED else "fine_tuned"
+        return score_external(
+            df, make_scorer, text, external_order=name == PRETRAINED, make_tokenizer=make_tokenizer,
+            max_tokens=MAX_TOKENS[kind] if make_tokenizer else None)
     raise ValueError(f"unknown model {name!r}")
 
 

@@ -118,18 +118,79 @@ def csv_options(line_breaks: bool) -> dict:
     return {"header": True, "multiLine": line_breaks, "quote": '"', "escape": '"'}
 
 
+def csv_records(spark: SparkSession, path: str, decode: bool = False) -> DataFrame:
+    """``file, record`` of CSV files with a header, read in splits though quoted fields may hold line breaks.
+
+    Quotes come in pairs (a quote inside a field is doubled), so a line break ends a record when an even
+    number of quotes lies before it. Each split counts its quotes; sums over the splits of a file (one row each) tell
+    every split whether it begins inside a field. Lines that are whole records stay as they are; only
+    lines of records with breaks are grouped, by the line in which their record begins, also across splits.
+    With ``decode``, files that aren't valid UTF-8 are taken as Latin-1, which the same count of splits tells. A quote
+    that is never closed makes the rest of its file one record. Breaks inside a field stay as they are, CR LF too.
+    """
+    here = ["file", "_block"]
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"), "value",
+    )
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = lines.withColumn("_quotes", quotes.cast("long"))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (
+        lines.groupBy(*here).agg(F.sum("_quotes").alias("_sum"), F.max(~F.is_valid_utf8("value")).alias("_broken"))
+        .select(*here, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
+                F.max("_broken").over(Window.partitionBy("file")).alias("_latin1"))
+    )
+    in_order = Window.partitionBy(*here).orderBy("_id")
+    above = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_before") + F.coalesce(F.sum("_quotes").over(above), F.lit(0))
+    value = F.col("value")
+    if decode:
+        value = F.when(F.col("_latin1"), latin1(value)).otherwise(value)
+    marked = lines.join(splits, here).select(
+        *here, "_id", value.alias("value"), (before % 2 == 1).alias("_inside"),
+        ((before + F.col("_quotes")) % 2 == 1).alias("_goes_on"),
+        ((F.col("_block") == 0) & (F.row_number().over(in_order) == 1)).alias("_header"),
+    )
+    whole = marked.where("not _inside and not _goes_on and not _header").select("file", "value")
+    pieces = marked.where("_inside or _goes_on")
+    place = F.struct("_block", "_id")
+    begins = F.when(~F.col("_inside"), place)
+    last = pieces.groupBy(*here).agg(F.max(begins).alias("_last"))
+    carried = last.select(*here, F.max("_last").over(earlier).alias("_carried"))
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = (
+        pieces.join(carried, here)
+        .withColumn("_begin", F.coalesce(F.max(begins).over(so_far), "_carried"))
+        .groupBy("file", "_begin")
+        .agg(F.array_sort(F.collect_list(F.struct("_block", "_id", "value"))).alias("_lines"),
+             F.max("_header").alias("_header"))
+        .where("not _header").select("file", F.array_join(F.col("_lines.value"), "\n").alias("value"))
+    )
+    record = F.regexp_replace("value", r"\r\z", "")
+    return whole.union(joined).select("file", record.alias("record")).where("record <> ''")
+
+
+def read_csv_records(spark: SparkSession, path: str, decode: bool = False) -> DataFrame:
+    """CSV files as :func:`csv_records` cuts them: string columns named by the first file's header."""
+    options = csv_options(True)
+    names = spark.read.options(**options).csv(path).columns
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    fields = F.from_csv("record", schema, {"quote": options["quote"], "escape": options["escape"]})
+    return csv_records(spark, path, decode).select(fields.alias("_row")).select("_row.*")
+
+
 def read_texts(
     spark: SparkSession, path: str, text_column: str = "text", line_breaks: bool = True
 ) -> DataFrame:
     """Texts to score: CSV with a named column, or ``.txt`` with one text per line.
 
-    ``path`` is a file, folder or glob. Texts in a CSV file may hold quoted line breaks, which makes
-    each file one task; ``line_breaks=False`` lets large files be split where there are none. For
-    large input Parquet is the better format.
+    ``path`` is a file, folder or glob. Texts in a CSV file may hold quoted line breaks; large files are
+    split all the same (:func:`csv_records`). ``line_breaks=False`` spares the shuffle where there are none.
     """
     if file_kind(spark, path) == "txt":
         return non_empty_lines(spark.read.text(path))
-    df = spark.read.options(**csv_options(line_breaks)).csv(path)
+    df = read_csv_records(spark, path) if line_breaks else spark.read.options(**csv_options(False)).csv(path)
     if text_column not in df.columns:
         raise ValueError(f"no column {text_column!r} in {path}; found {df.columns}")
     return df
@@ -164,15 +225,18 @@ def read_csv_any_encoding(
 ) -> DataFrame:
     """CSV files of unknown encoding, found for each file; rows without a text are dropped.
 
-    All files are read in both encodings and each file's rows are taken from the right one, so
-    no list of files is gathered. Column names have to be the same in both.
+    With ``line_breaks`` files are read in splits, and the count of quotes finds the encoding too.
+    Without, all files are read in both encodings and each file's rows are taken from the right one. No
+    list of files is gathered. Column names have to be the same in both encodings.
     """
+    if line_breaks:
+        return read_csv_records(spark, path, decode=True).where(F.col(text_column).isNotNull())
     broken = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("_file")).agg(
         F.max(~F.is_valid_utf8(F.col("value"))).alias("_broken"))
     broken = broken.where("_broken").select("_file")
     parts = []
     for encoding, how in (("UTF-8", "left_anti"), ("ISO-8859-1", "left_semi")):
-        df = spark.read.options(**csv_options(line_breaks), encoding=encoding).csv(path)
+        df = spark.read.options(**csv_options(False), encoding=encoding).csv(path)
         named = df.select("*", F.col("_metadata.file_path").alias("_file"))
         parts.append(named.join(broken, "_file", how).select(*df.columns))
     return parts[0].unionByName(parts[1]).where(F.col(text_column).isNotNull())
