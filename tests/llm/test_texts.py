@@ -311,6 +311,15 @@ def test_chat_round_trip_of_odd_texts(spark, tmp_path):
     assert got == expected_chat(rows)
 
 
+def test_a_wrong_mask_shows_in_the_loss(spark):
+    rows = [(1, 0, "user", "a<"), (1, 1, "assistant", "b[\U0001f600"), (1, 2, "user", "c"), (1, 3, "assistant", "d")]
+    turns = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    formatted, examples = chat.format_conversations(turns), chat.expand_targets(turns)
+    assert chat.read_loss(formatted, examples).first()["loss"] == "b[\U0001f600d"
+    late = examples.withColumn("loss_start", F.col("loss_start") + 1).withColumn("loss_end", F.col("loss_end") + 1)
+    assert chat.read_loss(formatted, late).first()["loss"] != "b[\U0001f600d"
+
+
 def test_prompts_hold_all_turns_before(spark):
     rows = [(1, 0, "user", "a<"), (1, 1, "assistant", "b["), (1, 2, "user", "c"), (1, 3, "assistant", "d")]
     turns = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))

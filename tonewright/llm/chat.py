@@ -96,3 +96,22 @@ def read_back(formatted: DataFrame) -> DataFrame:
         )
 
     return formatted.select("conv_id", F.char_length("formatted").alias("formatted_chars"), F.transform(parts, turn).alias("turns"))
+
+
+def read_loss(formatted: DataFrame, examples: DataFrame) -> DataFrame:
+    """``conv_id, loss``: all text under the mask, unescaped, example after example.
+
+    The formatted conversation is cut at its turns and their places are counted anew in it, so the mask of an
+    example (``loss_start, loss_end``) is what a trainer would apply to this text: an offset that is wrong shows. Each
+    turn is cut on its own, which keeps the work linear in the length of a conversation.
+    """
+    above = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    found = formatted.select("conv_id", F.posexplode(F.split("formatted", r"(?=<\|start\|>)")).alias("place", "part"))
+    found = found.withColumn("at", F.coalesce(F.sum(F.char_length("part")).over(above), F.lit(0)))
+    same = F.col("f.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("place") == F.col("context_turns"))
+    first, size = (F.col("loss_start") - F.col("at") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")
+    masks = examples.select("conv_id", "example", "context_turns", "loss_start", "loss_end")
+    read = found.alias("f").join(masks.alias("e"), same).select(
+        "e.conv_id", "example", unescape(F.substring(F.col("part"), first, size)).alias("reply"))
+    replies = F.array_sort(F.collect_list(F.struct("example", "reply")))
+    return read.groupBy("conv_id").agg(F.array_join(replies["reply"], "").alias("loss"))

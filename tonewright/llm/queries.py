@@ -82,9 +82,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = chat.format_turns(rows.unionByName(control_conversation(spark)))
     examples = chat.expand_targets(turns)
-    back = chat.read_back(chat.format_conversations(turns))
-    replies = F.array_sort(F.collect_list(F.struct("example", chat.unescape(F.col("target")).alias("reply"))))
-    loss = examples.groupBy("conv_id").agg(F.array_join(replies["reply"], "").alias("loss"))
+    formatted = chat.format_conversations(turns)
+    back, loss = chat.read_back(formatted), chat.read_loss(formatted, examples)
     said = F.array_join(
         F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss_text = F.coalesce("loss", F.lit(""))
