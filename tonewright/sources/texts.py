@@ -153,22 +153,26 @@ def csv_records(spark: SparkSession, path: str, decode: bool = False) -> DataFra
         ((F.col("_block") == 0) & (F.row_number().over(in_order) == 1)).alias("_header"),
     )
     whole = marked.where("not _inside and not _goes_on and not _header").select("file", "value")
-    pieces = marked.where("_inside or _goes_on")
-    place = F.struct("_block", "_id")
-    begins = F.when(~F.col("_inside"), place)
-    last = pieces.groupBy(*here).agg(F.max(begins).alias("_last"))
-    carried = last.select(*here, F.max("_last").over(earlier).alias("_carried"))
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = (
-        pieces.join(carried, here)
-        .withColumn("_begin", F.coalesce(F.max(begins).over(so_far), "_carried"))
+    # records with breaks: put together within their split first, then what crosses a border of splits
+    begins = F.max(F.when(~F.col("_inside"), F.struct("_block", "_id"))).over(
+        in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    in_split = (
+        marked.where("_inside or _goes_on").withColumn("_begin", begins).groupBy(*here, "_begin")
+        .agg(F.array_sort(F.collect_list(F.struct("_id", "value"))).alias("_lines"), F.max("_header").alias("_header"),
+             F.max_by("_goes_on", "_id").alias("_open"))
+        .withColumn("value", F.array_join(F.col("_lines.value"), "\n")).drop("_lines")
+    )
+    closed = in_split.where("_begin is not null and not _open and not _header").select("file", "value")
+    # at most two pieces of a split cross its borders: the end of an earlier record and the begin of a later one
+    through = Window.partitionBy("file").orderBy("_block", F.col("_begin").asc_nulls_first())
+    crossing = (
+        in_split.where("_begin is null or _open").withColumn("_begin", F.max("_begin").over(through))
         .groupBy("file", "_begin")
-        .agg(F.array_sort(F.collect_list(F.struct("_block", "_id", "value"))).alias("_lines"),
-             F.max("_header").alias("_header"))
+        .agg(F.array_sort(F.collect_list(F.struct("_block", "value"))).alias("_lines"), F.max("_header").alias("_header"))
         .where("not _header").select("file", F.array_join(F.col("_lines.value"), "\n").alias("value"))
     )
     record = F.regexp_replace("value", r"\r\z", "")
-    return whole.union(joined).select("file", record.alias("record")).where("record <> ''")
+    return whole.union(closed).union(crossing).select("file", record.alias("record")).where("record <> ''")
 
 
 def read_csv_records(spark: SparkSession, path: str, decode: bool = False) -> DataFrame:
