@@ -526,9 +526,12 @@ add("sample_analyses", f"""select doc_id, {preview('text', 100)} as shown, model
 # --- training: what has to hold for the scores of any model ------------------------------------------
 for _model in ("logreg", "naive_bayes", "svm", "random_forest", "gradient_boosting", "mlp", "ensemble"):
     add(f"train_{_model}", """select label as class, count(*) as n, count(*) as predicted,
-  count(*) as shares_sum_to_one, count(*) as confidence_is_largest
+  count(*) as shares_sum_to_one, count(*) as confidence_is_largest, true as learned
 from sp where split = 'val' group by label""", LABELLED, split("labelled"))
 
+add("forest_leaves", """select tree::int as tree, label as class, count(*) as n, true as all_leaves_agree, 0::bigint as small_split,
+  true as depth_in_bounds
+from sp, range(10) as trees(tree) where split = 'train' group by tree, label""", LABELLED, split("labelled"))
 add("boosting_rounds", "select unnest(range(1, 101)) as round, true as falls, true as above_zero")
 
 add("network_early_stop", "select true as stopped_early, true as kept_best, true as learned, true as waited")

@@ -244,42 +244,48 @@ def block_of(vectors: pa.Array, label: np.ndarray, cuts: np.ndarray, n_terms: in
     return Block(label.astype(np.int64), np.tile(np.array(prior, float), (len(label), 1)), cells, bins.astype(np.int64))
 
 
-def fit(
-    features: PipelineModel, data: DataFrame, maxIter: int = 100, maxDepth: int = 5, stepSize: float = 0.1,
-) -> BoostedModel:
-    """Fit on ``features, label``."""
+def training_facts(data: DataFrame) -> tuple[DataFrame, int, dict[int, int], list[float]]:
+    """``label, v`` of rows with a class, the number of terms, rows by class, and the cuts of the weights."""
     rows = data.where(F.col("label").isin(*range(CLASSES))).select("label", F.unwrap_udt("features").alias("_v"))
     facts = rows.select("label", sparse("_v").alias("v"), F.col("_v.size").alias("size"))
     counts = facts.groupBy("label").agg(F.count("*").alias("n"), F.max(F.coalesce("size", F.size("v.values"))).alias("size"))
-    counted = {r["label"]: r for r in counts.collect()}  # one row for each class
-    n_rows = sum(r["n"] for r in counted.values())
-    if not n_rows:
+    counted = counts.collect()  # one row for each class
+    if not counted:
         raise ValueError("no row with a class")
-    n_terms = max(r["size"] for r in counted.values())
-    prior = [float(np.log(max(counted[c]["n"] if c in counted else 0, 1e-9) / n_rows)) for c in range(CLASSES)]
     positive = facts.select(F.explode("v.values").alias("w")).where("w > 0")
     quantiles = positive.agg(F.percentile_approx("w", [i / BINS for i in range(1, BINS)], 10_000)).first()[0] or []
-    cuts = sorted(set(quantiles))
-    n_bins = len(cuts) + 2
+    return facts, max(r["size"] for r in counted), {r["label"]: r["n"] for r in counted}, sorted(set(quantiles))
+
 
-    def packed(part: Iterator) -> Iterator[Block]:
-        held: list = []
+def packed(part: Iterator, cuts: np.ndarray, n_terms: int, prior: list[float]) -> Iterator[Block]:
+    """Blocks of the rows ``label, v`` of a partition."""
+    held: list = []
 
-        def block() -> Block:
-            kind = pa.struct([("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
-            vectors = pa.array([{"indices": r.v.indices, "values": r.v.values} for r in held], kind)
-            return block_of(vectors, np.array([r.label for r in held]), np.array(cuts), n_terms, prior)
+    def block() -> Block:
+        kind = pa.struct([("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+        vectors = pa.array([{"indices": r.v.indices, "values": r.v.values} for r in held], kind)
+        return block_of(vectors, np.array([r.label for r in held]), cuts, n_terms, prior)
 
-        for row in part:
-            held.append(row)
-            if len(held) == ROWS:
-                yield block()
-                held = []
-        if held:
+    for row in part:
+        held.append(row)
+        if len(held) == ROWS:
             yield block()
+            held = []
+    if held:
+        yield block()
+
+
+def fit(
+    features: PipelineModel, data: DataFrame, maxIter: int = 100, maxDepth: int = 5, stepSize: float = 0.1,
+) -> BoostedModel:
+    """Fit on ``features, label``."""
+    facts, n_terms, counted, cuts = training_facts(data)
+    n_rows = sum(counted.values())
+    prior = [float(np.log(max(counted.get(c, 0), 1e-9) / n_rows)) for c in range(CLASSES)]
+    n_bins = len(cuts) + 2
 
     # blocks of numbers that every level reads: the work inside a task is a program, not a query
-    blocks = facts.select("label", "v").rdd.mapPartitions(packed)
+    blocks = facts.select("label", "v").rdd.mapPartitions(lambda part: packed(part, np.array(cuts), n_terms, prior))
     blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     model = BoostedModel(features, cuts, prior, stepSize, n_terms, [])
     stale = None

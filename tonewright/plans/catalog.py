@@ -1138,11 +1138,20 @@ def scored_facts(model, data: DataFrame) -> DataFrame:
     )
 
 
+def learned(model, train: DataFrame) -> DataFrame:
+    """Whether a model knows its own training rows at least as well as naming the largest class would; one that guesses
+    does not."""
+    right = F.count_if(F.col("label") == F.col("prediction.prediction"))
+    by_class = training.score(model, train).groupBy("label").agg(F.count("*").alias("n"), right.alias("right"))
+    return by_class.agg((F.sum("right") >= F.max("n")).alias("learned"))
+
+
 def trained(name: str):
     def run(spark, d):
         data = training_data(spark, d)
-        model = training.train_model(name, data.where("split = 'train'"))
-        return scored_facts(model, data.where("split = 'val'"))
+        train = data.where("split = 'train'")
+        model = training.train_model(name, train)
+        return scored_facts(model, data.where("split = 'val'")).join(learned(model, train), how="left")
 
     return run
 
@@ -1151,6 +1160,23 @@ for _name in training.CLASSIFIERS:
     QUERIES[f"train_{_name}"] = trained(_name)
 
 
+@query
+def forest_leaves(spark, d):
+    """Trees that see every training row once: rows of each class in the leaves as stored, and as the rows come to them."""
+    train = training_data(spark, d).where("split = 'train'")
+    model = training.train_model("random_forest", train, numTrees=10, bootstrap=False)
+    nodes = model.nodes(spark)
+    stored = nodes.where("term is null").select("tree", "node", F.posexplode("counts").alias("class", "stored"))
+    come = model.add_leaves(training.vectors(model.features, train, ["label"]))
+    come = come.select("label", F.posexplode("leaves").alias("tree", "node")).groupBy("tree", "node", F.col("label").alias("class")).count()
+    inner = nodes.groupBy("tree").agg(
+        F.count_if(F.col("term").isNotNull() & (F.col("n_rows") < 5)).alias("small_split"), (F.max("depth") <= 50).alias("depth_in_bounds"))
+    both = stored.join(come, ["tree", "node", "class"], "left").groupBy("tree", "class").agg(
+        F.sum("stored").cast("long").alias("n"),
+        (F.count_if(F.col("stored") != F.coalesce("count", F.lit(0))) == 0).alias("all_leaves_agree"))
+    return both.join(inner, "tree").where("n > 0")
+
+
 @query
 def boosting_rounds(spark, d):
     """The mean log loss of the training rows after every round of boosting: whether it has fallen."""
@@ -1196,8 +1222,9 @@ def calibrate_margins(spark, d):
 @query
 def train_ensemble(spark, d):
     data = training_data(spark, d)
-    model = training.train_ensemble(data.where("split = 'train'"))
-    return scored_facts(model, data.where("split = 'val'"))
+    train = data.where("split = 'train'")
+    model = training.train_ensemble(train)
+    return scored_facts(model, data.where("split = 'val'")).join(learned(model, train), how="left")
 
 
 # --- explanations of fitted linear models -----------------------------------------------------------

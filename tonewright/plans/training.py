@@ -22,8 +22,6 @@ from pyspark.ml.classification import (
     NaiveBayes,
     OneVsRest,
     OneVsRestModel,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -48,7 +46,7 @@ from ..operators.linear import LinearModel, explain_linear, linear_model
 from ..operators.metrics import METRICS, classification_metrics, union_results
 from ..session import materialize
 from ..sources.metrics_store import FINE_TUNED, METRIC_SCHEMA, PRETRAINED
-from . import boosting, calibration, network
+from . import boosting, calibration, forest, network
 from .scoring import prediction_record, score_external, soft_vote
 
 log = logging.getLogger(__name__)
@@ -83,8 +81,13 @@ def fit_features(
 
 
 def vectors(features: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """``keep`` columns and the feature vector."""
-    return features.transform(df).select(*keep, "features")
+    """``keep`` columns and the feature vector; a null text has the vector of an empty one."""
+    return features.transform(without_nulls(df, text_column(features))).select(*keep, "features")
+
+
+def without_nulls(df: DataFrame, text: str) -> DataFrame:
+    """Tokenizers of pipelines end their task at a null text."""
+    return df.withColumn(text, F.coalesce(text, F.lit("")))
 
 
 ROWS_PER_TASK = 2_000
@@ -110,8 +113,8 @@ def with_weights(df: DataFrame, label: str = "label") -> tuple[DataFrame, int]:
 def classifier(name: str, n_rows: int, **changes) -> Estimator:
     """An estimator with the standard parameters; ``changes`` replace some of them.
 
-    Where Spark differs: regularisation is per row (hence ``1 / n_rows``), trees are at most 30 deep.
-    Boosting and the neural network are not among them: see :mod:`boosting` and :mod:`network`.
+    Where Spark differs: regularisation is per row (hence ``1 / n_rows``).
+    Trees and the neural network are not among them: see :mod:`forest`, :mod:`boosting` and :mod:`network`.
     """
     def merged(**standard):
         return {**standard, **changes}
@@ -126,11 +129,6 @@ def classifier(name: str, n_rows: int, **changes) -> Estimator:
             classifier=LinearSVC(weightCol="weight", **merged(**linear)), weightCol="weight",
             parallelism=1,  # every fit already uses the whole cluster
         )
-    if name == "random_forest":
-        return RandomForestClassifier(
-            weightCol="weight",
-            **merged(numTrees=200, maxDepth=30, minInstancesPerNode=2, seed=SEED),
-        )
     raise ValueError(f"unknown classifier {name!r}; use one of {CLASSIFIERS}")
 
 
@@ -150,11 +148,12 @@ def probability_array(scored: DataFrame) -> Column:
 
 
 def score(model, df: DataFrame) -> DataFrame:
-    """``df`` with a ``prediction`` record from a fitted pipeline or ensemble."""
+    """``df`` with a ``prediction`` record from a fitted pipeline or ensemble; a null text is scored as an empty one."""
     text = text_column(model)
-    scored = model.transform(df)
-    record = prediction_record(F.col(text), probability_array(scored), F.col("prediction"))
-    return scored.select(*df.columns, record.alias("prediction"))
+    scored = model.transform(without_nulls(df.withColumn("_given", F.col(text)), text))
+    record = prediction_record(F.col("_given"), probability_array(scored), F.col("prediction"))
+    own = [F.col("_given").alias(c) if c == text else F.col(c) for c in df.columns]
+    return scored.select(*own, record.alias("prediction"))
 
 
 def text_column(model) -> str:
@@ -190,7 +189,7 @@ def compare_models(models: dict, df: DataFrame) -> DataFrame:
 
 def _fitted(name: str, features: PipelineModel, data: DataFrame, **changes):
     """A classifier fitted on feature vectors, together with the feature pipeline."""
-    own = {"gradient_boosting": boosting.fit, "mlp": network.fit}.get(name)
+    own = {"random_forest": forest.fit, "gradient_boosting": boosting.fit, "mlp": network.fit}.get(name)
     if own is not None:
         return own(features, data, **changes)
     return PipelineModel(stages=features.stages + fit_classifier(name, data, **changes))
@@ -208,7 +207,7 @@ def train_model(name: str, train: DataFrame, text: str = "sentence", features=No
 
 def train_all(
     train: DataFrame, names: Sequence[str] = CLASSIFIERS, text: str = "sentence", changes=None
-) -> dict[str, PipelineModel | boosting.BoostedModel | network.NetworkModel]:
+) -> dict[str, PipelineModel | forest.ForestModel | boosting.BoostedModel | network.NetworkModel]:
     """Fit several classifiers on one set of cached feature vectors."""
     features = fit_features(train, text)
     data = training_vectors(features, train, ["label"]).persist()
@@ -290,18 +289,16 @@ class SoftVoteModel:
     features: PipelineModel
     logreg: LogisticRegressionModel
     svm: CalibratedSvm
-    forest: RandomForestClassificationModel
+    forest: forest.ForestModel
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with ``prediction`` and ``probabilities``."""
         columns = df.columns
         base = vectors(self.features, df, columns)
         base = self.svm.add_probabilities(base, "_svm")
-        for name, model in (("_logreg", self.logreg), ("_forest", self.forest)):
-            kept = base.columns
-            base = model.transform(base).select(
-                *kept, vector_to_array("probability").alias(name)
-            )
+        kept = base.columns
+        base = self.logreg.transform(base).select(*kept, vector_to_array("probability").alias("_logreg"))
+        base = self.forest.add_probabilities(base, "_forest")
         voted = soft_vote([F.col("_logreg"), F.col("_svm"), F.col("_forest")])
         voted_rows = base.select(*columns, voted.alias("probabilities"))
         return voted_rows.withColumn("prediction", S.argmax(F.col("probabilities")))
@@ -309,7 +306,7 @@ class SoftVoteModel:
     def save(self, path: str) -> None:
         self.features.write().overwrite().save(f"{path}/features")
         self.logreg.write().overwrite().save(f"{path}/logreg")
-        self.forest.write().overwrite().save(f"{path}/forest")
+        self.forest.save(f"{path}/forest")
         for i, member in enumerate(self.svm.members):
             member.write().overwrite().save(f"{path}/svm{i}")
         spark = SparkSession.getActiveSession()
@@ -325,7 +322,7 @@ class SoftVoteModel:
             PipelineModel.load(f"{path}/features"),
             LogisticRegressionModel.load(f"{path}/logreg"),
             CalibratedSvm(members, [[tuple(x) for x in fold] for fold in sigmoids]),
-            RandomForestClassificationModel.load(f"{path}/forest"),
+            forest.ForestModel.load(f"{path}/forest"),
         )
 
 
@@ -337,12 +334,12 @@ def train_ensemble(
     features = fit_features(train, text, key)
     data = training_vectors(features, train, [key, "label"]).persist()
     try:
-        forest = {"numTrees": 100, "maxDepth": 30, "minInstancesPerNode": 1}
+        of_forest = {"numTrees": 100, "maxDepth": 30, "minRows": 2}
         return SoftVoteModel(
             features,
             fit_classifier("logreg", data, **changes.get("logreg", {}))[-1],
             CalibratedSvm.fit(data, key, **changes.get("svm", {})),
-            fit_classifier("random_forest", data, **{**forest, **changes.get("forest", {})})[-1],
+            forest.fit(features, data, **{**of_forest, **changes.get("forest", {})}),
         )
     finally:
         data.unpersist()
@@ -385,7 +382,8 @@ def load_model(path: str, name: str, version: int | None = None):
     if not folders:
         raise FileNotFoundError(f"no model {path}/baseline_{name}" + (f" version {version}" if version else ""))
     kinds = {
-        "ensemble": SoftVoteModel, "gradient_boosting": boosting.BoostedModel, "mlp": network.NetworkModel}
+        "ensemble": SoftVoteModel, "random_forest": forest.ForestModel, "gradient_boosting": boosting.BoostedModel,
+        "mlp": network.NetworkModel}
     return kinds.get(name, PipelineModel).load(f"{path}/baseline_{name}/{folders[-1]}")
 
 
