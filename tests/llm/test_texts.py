@@ -1,4 +1,6 @@
+import base64
 import gzip
+import hashlib
 import io
 import itertools
 import random
@@ -262,6 +264,69 @@ def test_damaged_archives_are_refused():
         warc.parse_page(warc.parse_record(gzip.decompress(warc.page_record(1, "u", b"x", "0" * 64, None))))
 
 
+def foreign_record(kind, block, content_type="application/http; msgtype=response", **headers):
+    """A record as other writers make them."""
+    named = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:00000000-0000-4000-8000-000000000001>",
+             "WARC-Date": "2020-02-02T00:00:00Z", "WARC-Target-URI": "http://a.example/", "Content-Type": content_type}
+    named.update({k.replace("_", "-"): v for k, v in headers.items()})
+    return warc.warc_record(list(named.items()), block)
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    def sha1(data):
+        return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+    body, ok = b"<p>hello</p>", b"HTTP/1.1 200 OK\r\n"
+    chunked = ok + b"Transfer-Encoding: chunked\r\n\r\n5;x=1\r\n<p>he\r\n7\r\nllo</p>\r\n0\r\n\r\n"
+    joined = ok + b"Transfer-Encoding: chunked\r\n\r\n" + body
+    noise = bytes(np.random.default_rng(1).integers(0, 256, 3000, dtype=np.uint8))
+    parts = [
+        foreign_record("warcinfo", b"software: x\r\n", "application/warc-fields"),
+        foreign_record("response", ok + b"X: a\r\n b\r\n\r\n" + body, WARC_Payload_Digest=sha1(body)),
+        foreign_record("response", chunked, WARC_Payload_Digest=sha1(body), WARC_Block_Digest=sha1(chunked)),
+        foreign_record("response", chunked, WARC_Payload_Digest=sha1(chunked.partition(b"\r\n\r\n")[2])),
+        foreign_record("response", joined),
+        foreign_record("response", ok + b"\r\n" + body, WARC_Payload_Digest="blake9:xyz"),
+        foreign_record("response", ok + b"\r\n" + body, WARC_Payload_Digest="md5:" + hashlib.md5(body).hexdigest().upper()),
+        foreign_record("response", ok + b"\r\n" + body, WARC_Payload_Digest=sha1(b"other")),
+        foreign_record("response", ok + b"Content-Length: 99\r\n\r\n" + body),
+        foreign_record("response", ok + b"Content-Length: 99\r\n\r\n" + body, WARC_Truncated="length"),
+        foreign_record("request", b"GET / HTTP/1.1\nHost: a\n\n", "application/http; msgtype=request"),
+        foreign_record("resource", noise, "image/png", WARC_Block_Digest="sha-256:" + brute.sha(noise)),
+        foreign_record("revisit", ok + b"\r\n", WARC_Refers_To="<urn:uuid:1>"),
+        foreign_record("resource", noise, "image/png"),  # damaged below
+        foreign_record("response", b"no head"),
+        foreign_record("response", ok + b"\r\n" + body),  # cut off below
+    ]
+    starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+    whole = bytearray(b"".join(parts))
+    whole[starts[13] + 900:starts[13] + 1400] = b"\x1f\x8b\x08" + bytes(497)
+    (tmp_path / "a.warc.gz").write_bytes(whole[:-9])
+    files = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string")
+    rows = warc.read_records(files).orderBy("offset").collect()
+    assert [r.offset for r in rows] == starts
+    assert [r.problem is not None for r in rows] == [i in (7, 8, 13, 15) for i in range(16)]
+    assert [r.record_type for r in rows][:13] == ["warcinfo", *["response"] * 9, "request", "resource", "revisit"]
+    assert [r.verified for r in rows] == [
+        None, True, True, True, None, None, True, False, False, None, None, True, None, False, None, False]
+    assert [None if r.payload is None else bytes(r.payload) for r in rows] == [
+        b"software: x\r\n", *[body] * 6, None, None, body, b"", noise, None, None, b"", None]
+    assert rows[12].refers_to == "<urn:uuid:1>" and rows[12].payload_bytes is None
+    assert rows[1].record_id.startswith("<urn:uuid") and rows[1].date == "2020-02-02T00:00:00Z"
+    for block in (1, 2, 7, 1000):
+        assert [at for at, _ in warc.framed(io.BytesIO(bytes(whole[:-9])), block)] == starts
+    with pytest.raises(Exception, match="digest"):
+        warc.read_archives(files).collect()
+
+
+def test_no_archive_at_all(spark, tmp_path):
+    (tmp_path / "empty").write_bytes(b"")
+    (tmp_path / "text").write_bytes(b"not an archive")
+    files = spark.createDataFrame([(f"file://{tmp_path}/{n}",) for n in ("empty", "text")], "path string")
+    rows = warc.read_records(files).collect()
+    assert [(r.path[-4:], r.offset, r.problem is not None) for r in rows] == [("text", 0, True)]
+
+
 def test_query_archives(spark):
     rows = table(spark, SF, "pages").collect()
     first = {}

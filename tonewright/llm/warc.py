@@ -7,6 +7,8 @@ that succeeded, so a lost executor leaves no half-read file.
 
 The reader takes a file as a stream of blocks of ``BLOCK`` bytes, decompresses step by step, frames each
 record by its Content-Length and verifies block and payload digests. What is in memory is one record.
+:func:`read_records` reads archives of other writers too: all record types and ids, digests of several algorithms or none,
+bodies in chunks; it says where an archive is damaged and reads on.
 
 Files are opened through the file system of their path (``file:`` or any store that Arrow knows).
 
@@ -18,7 +20,9 @@ gives no files.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,7 +30,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewright.llm.common import checkpoint, new_path
@@ -40,6 +44,8 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_TYPE = "application/http; msgtype=response"
 DATE = "2000-01-01T00:00:00Z"
+MEMBER = b"\x1f\x8b\x08"  # how a gzip member begins
+ALGORITHMS = ("md5", "sha1", "sha256", "sha512")
 
 
 def sha256(data: bytes) -> str:
@@ -142,32 +148,72 @@ def write_archives(records: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES
 class Record:
     headers: dict[str, str]
     block: bytes
+    verified: bool | None = None  # whether its block has the digest that is told; null if none can be checked
 
 
 class Damaged(ValueError):
     """An archive that doesn't hold what it says."""
 
 
-def members(stream, block: int = BLOCK) -> Iterator[bytes]:
-    """The content of each gzip member, decompressed step by step."""
-    data = b""
+def framed(stream, block: int = BLOCK) -> Iterator[tuple[int, bytes | Damaged]]:
+    """Offset and content of each gzip member, decompressed step by step.
+
+    Where a member can't be read, its place says why, and reading goes on at the next bytes that begin a readable one.
+    """
+    data, at, lost = b"", 0, False
     while data := data or stream.read(block):
-        unpacker, parts = zlib.decompressobj(31), []
-        while not unpacker.eof:
-            if not data:
-                data = stream.read(block)
+        unpacker, parts, raw = zlib.decompressobj(31), [], []
+        try:
+            while not unpacker.eof:
                 if not data:
-                    raise Damaged("the last member is cut off")
-            parts.append(unpacker.decompress(data))
-            data = unpacker.unused_data
-        yield b"".join(parts)
+                    data = stream.read(block)
+                    if not data:
+                        raise Damaged("the last member is cut off")
+                raw.append(data)
+                parts.append(unpacker.decompress(data))
+                data = unpacker.unused_data
+        except (zlib.error, Damaged) as error:
+            if not lost:
+                yield at, Damaged(str(error))
+            lost, data = True, b"".join(raw)
+            at, data = at + 1, data[1:]
+            while (skip := data.find(MEMBER)) < 0:
+                more = stream.read(block)
+                if not more:
+                    return
+                kept = data[-len(MEMBER) + 1:]
+                at, data = at + len(data) - len(kept), kept + more
+            at, data = at + skip, data[skip:]
+        else:
+            yield at, b"".join(parts)
+            lost, at = False, at + sum(map(len, raw)) - len(data)
+
+
+def members(stream, block: int = BLOCK) -> Iterator[bytes]:
+    """The content of each gzip member of an archive without damage."""
+    for _, content in framed(stream, block):
+        if isinstance(content, Damaged):
+            raise content
+        yield content
 
 
 def parse_headers(raw: bytes) -> tuple[str, dict[str, str]]:
-    first, *lines = raw.decode("utf-8", "replace").split("\r\n")
+    """The first line, and values by name in small letters; a line that begins with a blank goes on with the one before."""
+    first, *lines = re.split(r"\r?\n", re.sub(r"\r?\n[ \t]+", " ", raw.decode("utf-8", "replace")))
     return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
+def has_digest(said: str | None, *contents: bytes) -> bool | None:
+    """Whether one of ``contents`` has the digest ``algorithm:value``, in hex or base32; None for an unknown algorithm."""
+    algorithm, _, value = (said or "").partition(":")
+    algorithm, value = algorithm.strip().lower().replace("-", ""), value.strip()
+    if algorithm not in ALGORITHMS:
+        return None
+    digests = [hashlib.new(algorithm, content).digest() for content in contents]
+    told = (value.lower(), value.upper().rstrip("="))
+    return any(d.hex() == told[0] or base64.b32encode(d).decode().rstrip("=") == told[1] for d in digests)
+
+
 def parse_record(member: bytes) -> Record:
     """Frame a member by its Content-Length and verify its block digest."""
     head, mark, rest = member.partition(b"\r\n\r\n")
@@ -180,53 +226,110 @@ def parse_record(member: bytes) -> Record:
     block, tail = rest[:length], rest[length:]
     if len(block) != length or tail != b"\r\n\r\n":
         raise Damaged("a record is longer or shorter than its Content-Length")
-    said = headers.get("warc-block-digest")
-    if said is not None and said != f"sha256:{sha256(block)}":
+    verified = has_digest(headers.get("warc-block-digest"), block)
+    if verified is False:
         raise Damaged("a block doesn't match its digest")
-    return Record(headers, block)
+    return Record(headers, block, verified)
+
+
+def joined_chunks(body: bytes) -> bytes:
+    """A body sent in chunks; one that isn't (writers may have joined it, and left the header) stays as it is."""
+    parts, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        digits = body[at:end].partition(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", digits):
+            return body
+        size, at = int(digits, 16), end + 2
+        if size == 0:
+            return b"".join(parts)
+        if body[at + size:at + size + 2] != b"\r\n":
+            return body
+        parts.append(body[at:at + size])
+        at += size + 2
+    return body
+
+
+def payload_of(record: Record) -> tuple[bytes | None, int | None, bool | None]:
+    """Payload, its size, and whether it was verified. A revisit has no payload; its size is that of the HTTP header, if any.
+
+    The payload is the body of an HTTP message, else the block. Digests of a body in chunks may be of either form.
+    """
+    headers = record.headers
+    revisit = headers.get("warc-type") == "revisit"
+    if not headers.get("content-type", "").lower().startswith("application/http"):
+        http, bodies = {}, (record.block,)
+    else:
+        end = re.search(rb"\r?\n\r?\n", record.block)
+        head, body = (record.block[:end.start()], record.block[end.end():]) if end else (record.block, b"")
+        _, http = parse_headers(head)
+        chunked = "chunked" in http.get("transfer-encoding", "").lower()
+        bodies = (joined_chunks(body), body) if chunked else (body,)
+    size = http.get("content-length", "")
+    if revisit:
+        return None, int(size) if size.isdigit() else None, record.verified
+    verified = has_digest(headers.get("warc-payload-digest"), *bodies)
+    if verified is False:
+        raise Damaged("a payload doesn't match its digest")
+    if verified is None and len(bodies) == 1 and size.isdigit() and int(size) != len(bodies[0]) and "warc-truncated" not in headers:
+        raise Damaged("a payload is longer or shorter than its Content-Length")
+    return bodies[0], len(bodies[0]), verified or record.verified
 
 
 def parse_page(record: Record) -> tuple[int | None, str, bytes | None, int, str, str, int | None]:
     """``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to`` of a page record."""
     headers = record.headers
-    http, _, payload = record.block.partition(b"\r\n\r\n")
-    _, inner = parse_headers(http)
-    digest = headers["warc-payload-digest"].removeprefix("sha256:")
-    size = int(inner["content-length"])
-    kind = headers["warc-type"]
-    if kind == "response":
-        if len(payload) != size or sha256(payload) != digest:
-            raise Damaged("a payload doesn't match its digest")
-    else:
-        payload = None
+    payload, size, _ = payload_of(record)
     return (
-        key_of(headers["warc-record-id"]), headers["warc-target-uri"], payload, size, digest, kind,
-        key_of(headers.get("warc-refers-to")),
+        key_of(headers["warc-record-id"]), headers["warc-target-uri"], payload, size,
+        headers["warc-payload-digest"].removeprefix("sha256:"), headers["warc-type"], key_of(headers.get("warc-refers-to")),
     )
 
 
-def read_archives(files: DataFrame) -> DataFrame:
-    """Page records of the archives in ``path``: ``page_id, url, payload, payload_bytes, payload_digest,
-    record_type, refers_to``. A revisit has no payload; its size and digest are those of the full one."""
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+def parse_any(path: str, offset: int, content: bytes | Damaged) -> tuple:
+    """A row of :func:`read_records`."""
+    headers: dict[str, str] = {}
+    payload = size = verified = problem = None
+    try:
+        if isinstance(content, Damaged):
+            raise content
+        record = parse_record(content)
+        headers = record.headers
+        payload, size, verified = payload_of(record)
+    except Damaged as damage:
+        problem, verified = str(damage), False
+    told = (headers.get(f"warc-{k}") for k in ("type", "record-id", "target-uri", "date"))
+    return (path, offset, *told, payload, size, headers.get("warc-payload-digest"), verified,
+            headers.get("warc-refers-to"), problem)
+
+
+RECORDS = pa.schema([
+    ("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()),
+    ("url", pa.string()), ("date", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()),
+    ("payload_digest", pa.string()), ("verified", pa.bool_()), ("refers_to", pa.string()), ("problem", pa.string()),
+])
+
+
+def read_records(files: DataFrame) -> DataFrame:
+    """Records of every type in the archives in ``path``, of any writer that gives each record a gzip member: ``path, offset,
+    record_type, record_id, url, date, payload, payload_bytes, payload_digest, verified, refers_to, problem``.
+
+    ``verified`` is null where no digest of a known algorithm is told. A damaged record is a row with its offset and a
+    ``problem`` (what follows damage up to the next readable member is part of it); the others of its file are read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(RECORDS.types)], schema=RECORDS)
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 system, name = file_system(path)
                 rows, size = [], 0
                 with system.open_input_stream(name, compression=None, buffer_size=BLOCK) as stream:
-                    for member in members(stream):
-                        record = parse_record(member)
-                        if record.headers["warc-type"] not in ("response", "revisit"):
-                            continue
-                        rows.append(parse_page(record))
-                        size += len(member)
+                    for offset, content in framed(stream):
+                        rows.append(parse_any(path, offset, content))
+                        size += 0 if isinstance(content, Damaged) else len(content)
                         if size >= 4 << 20:
                             yield packed(rows)
                             rows, size = [], 0
@@ -234,11 +337,27 @@ def read_archives(files: DataFrame) -> DataFrame:
                     yield packed(rows)
 
     schema = (
-        "page_id long, url string, payload binary, payload_bytes long, payload_digest string, "
-        "record_type string, refers_to long"
+        "path string, offset long, record_type string, record_id string, url string, date string, payload binary, "
+        "payload_bytes long, payload_digest string, verified boolean, refers_to string, problem string"
     )
     return files.select("path").mapInArrow(run, schema)
 
 
+def read_archives(files: DataFrame) -> DataFrame:
+    """Page records of the archives in ``path`` that :func:`write_archives` wrote: ``page_id, url, payload, payload_bytes,
+    payload_digest, record_type, refers_to``. A revisit has no payload; its size and digest are those of the full
+    one. Damage ends the job."""
+    told = F.concat_ws(" ", "problem", F.lit("in"), "path", F.lit("at"), "offset")
+    sound = F.when(F.col("problem").isNotNull(), F.raise_error(told).cast("string")).otherwise(F.col("record_type"))
+
+    def key(name: str) -> Column:
+        return F.nullif(F.regexp_extract(name, r"^<urn:x-page:(-?\d+)>$", 1), F.lit("")).cast("long").alias(name)
+
+    pages = read_records(files).withColumn("record_type", sound).where(F.col("record_type").isin("response", "revisit"))
+    return pages.select(
+        key("record_id").alias("page_id"), "url", "payload", "payload_bytes",
+        F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type", key("refers_to"))
+
+
 def archive_folder(spark: SparkSession) -> str:
     return new_path(spark, "archives")
