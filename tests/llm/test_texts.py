@@ -148,6 +148,31 @@ def test_rules_that_reject_more_for_less_come_first(spark):
     assert [r.name for r in quality.order_rules(docs, "text", "doc_id", rules)] == ["all", "slow"]
 
 
+def test_rules_are_ordered_by_what_they_add():
+    """Alone, ``b`` rejects more than ``c`` for its cost, but all of that is what ``a`` rejects."""
+    a, b, c, d = (quality.Rule(n, None) for n in "abcd")
+    seen = quality.Seen(
+        {"a": 0.1, "b": 0.1, "c": 0.1, "d": 0.01}, {"a": {"x": 0.1}, "b": {}, "c": {}, "d": {"x": 0.1, "_w": 0.05}},
+        {0b0011: 80, 0b0001: 60, 0b0100: 20, 0b1000: 2, 0: 50})
+    alone = sorted("abc", key=lambda n: -{"a": 140 / 0.2, "b": 80 / 0.1, "c": 20 / 0.1}[n])
+    assert alone == ["b", "a", "c"]
+    assert [r.name for r in quality.greedy_order((a, b, c, d), seen)] == ["b", "a", "c", "d"]
+    seen.own["b"] = 0.2
+    assert [r.name for r in quality.greedy_order((a, b, c, d), seen)] == ["a", "c", "d", "b"]
+
+
+def test_estimate_is_of_what_the_cascade_meets(spark):
+    long, short = "good plain words for a text " * 4, "#### " * 5
+    docs = frame(spark, [(None, f"{long} number {i} " + "# " * (i % 2) * 9) for i in range(60)] + [(None, short)] * 40)
+    rules = [quality.Rule("symbols", quality.many_symbols), quality.Rule("capitals", quality.mostly_capitals)]
+    seen = quality.estimate(docs, "text", rules, [quality.BASE[0]], ["n_symbols"])
+    assert sum(seen.rejected.values()) == 60 and seen.rejected[1] == 30  # short texts are out before
+    assert set(seen.needs["symbols"]) == set() and set(seen.needs["capitals"]) == {"upper", "letters"}
+    cold = quality.estimate(docs, "text", rules)
+    assert sum(cold.rejected.values()) == 100 and set(cold.needs["symbols"]) == {"n_symbols", "n_words", "_words"}
+    assert [r.name for r in quality.order_rules(docs.limit(0), "text", "doc_id", rules)] == ["symbols", "capitals"]
+
+
 def test_quality_of_nothing_and_query(spark):
     assert quality.cascade(frame(spark, [])).count() == 0
     texts = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}

@@ -1,8 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-On a bounded sample every rule is timed and its rejections are counted. Rules are then ordered by
-rejections per second, and a document is out at the first rule that rejects it: later rules don't
-see it. The order changes what is computed, never who is kept.
+On a sample of about ``SAMPLE_ROWS`` rows every rule is timed on what the base rules leave, with the features known that
+are known by then. The order is greedy: next comes the rule with most rejections, among documents that no rule before it
+rejects, for each second that it adds. A document is out at the first rule that rejects it: later rules don't
+see it. The order changes what is computed and which rule is named in ``rejected_by`` (it follows the clock),
+never who is kept.
 
 Words are runs of bytes other than ASCII white space; symbols are ``#*$%&|<>``; a duplicate line has a
 word and equals an earlier line of its text; a repeated word lies in a window of eight words that
@@ -52,13 +54,17 @@ class Texts:
     data: np.ndarray
     offsets: np.ndarray
     known: dict[str, np.ndarray] = field(default_factory=dict)
+    spent: dict[str, float] = field(default_factory=dict)  # seconds of each feature, without those that it asks for
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
     def __getitem__(self, feature: str) -> np.ndarray:
         if feature not in self.known:
+            begin, before = time.perf_counter(), sum(self.spent.values())
             self.known[feature] = FEATURES[feature](self)
+            asked = sum(self.spent.values()) - before
+            self.spent[feature] = time.perf_counter() - begin - asked
         return self.known[feature]
 
     def take(self, rows: np.ndarray) -> Texts:
@@ -204,40 +210,92 @@ RULES = (
 )
 
 
-def estimate(sample: DataFrame, text: str, rules: Sequence[Rule]) -> dict[str, tuple[float, int]]:
-    """Seconds and rejections of each rule over the sample, each run by itself."""
-    names = [r.name for r in rules]
+@dataclass
+class Seen:
+    """What a sample says: seconds of each rule by itself, seconds of the features that it computes beyond those that are
+    known before the cascade, and how many documents are rejected by exactly the rules of a set (bits of their places)."""
+
+    own: dict[str, float]
+    needs: dict[str, dict[str, float]]
+    rejected: dict[int, int]
+
+
+def estimate(
+    sample: DataFrame, text: str, rules: Sequence[Rule], base: Sequence[Rule] = (), report: Sequence[str] = ()
+) -> Seen:
+    """Time every rule on the sample's documents that ``base`` leaves, where the features of ``report`` and of ``base`` are
+    known already, as they are in the cascade."""
 
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            took, out = np.zeros(len(rules)), np.zeros(len(rules), np.int64)
+            whole = Texts(data, offsets)
+            failed = np.zeros(len(whole), bool)
+            for name in report:
+                whole[name]
+            for rule in base:
+                failed |= rule.rejects(whole)
+            left = whole.take(np.flatnonzero(~failed)) if failed.any() else whole
+            if not len(left):
+                continue
+            found, mask = [], np.zeros(len(left), np.int64)
             for i, rule in enumerate(rules):
-                fresh = Texts(data, offsets)
+                fresh = Texts(left.data, left.offsets, dict(left.known))
                 begin = time.perf_counter()
-                out[i] = rule.rejects(fresh).sum() if len(fresh) else 0
-                took[i] = time.perf_counter() - begin
+                out = rule.rejects(fresh)
+                took = time.perf_counter() - begin
+                mask |= out.astype(np.int64) << i
+                found += [(rule.name, f, None, s, 0) for f, s in fresh.spent.items()]
+                found.append((rule.name, None, None, took - sum(fresh.spent.values()), 0))
+            found += [(None, None, int(m), 0.0, int(n)) for m, n in zip(*np.unique(mask, return_counts=True))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array(took), pa.array(out)], names=["rule", "seconds", "rejected"])
+                [pa.array(column, kind) for column, kind in zip(
+                    zip(*found), (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64()))],
+                names=["rule", "feature", "mask", "seconds", "n"])
 
-    rows = (
-        sample.select(text).mapInArrow(run, "rule string, seconds double, rejected long")
-        .groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("n")).collect()
+    rows = (  # rules x features, and no more sets than documents in the sample
+        sample.select(text).mapInArrow(run, "rule string, feature string, mask long, seconds double, n long")
+        .groupBy("rule", "feature", "mask").agg(F.sum("seconds").alias("s"), F.sum("n").alias("n")).collect()
     )
-    return {r["rule"]: (r["s"], r["n"]) for r in rows}
+    seen = Seen({}, {r.name: {} for r in rules}, {})
+    for r in rows:
+        if r["rule"] is None:
+            seen.rejected[r["mask"]] = r["n"]
+        elif r["feature"] is None:
+            seen.own[r["rule"]] = r["s"]
+        else:
+            seen.needs[r["rule"]][r["feature"]] = r["s"]
+    return seen
+
+
+def greedy_order(rules: Sequence[Rule], seen: Seen) -> list[Rule]:
+    """Next comes the rule with most rejections, among documents that the rules before it leave, for each second that it adds:
+    features that a rule before it has computed cost nothing again."""
+    known: set[str] = set()
+    left, rest, ordered = dict(seen.rejected), list(enumerate(rules)), []
+
+    def worth(place: int, rule: Rule) -> float:
+        rejected = sum(n for mask, n in left.items() if mask >> place & 1)
+        adds = sum(s for f, s in seen.needs[rule.name].items() if f not in known)
+        return (rejected + 0.5) / (max(seen.own.get(rule.name, 0.0), 0.0) + adds + 1e-6)
+
+    while rest:
+        place, rule = max(rest, key=lambda x: worth(*x))
+        rest.remove((place, rule))
+        ordered.append(rule)
+        left = {mask: n for mask, n in left.items() if not mask >> place & 1}
+        known |= {f for f in seen.needs[rule.name] if not f.startswith("_")}  # bounds are made anew for fewer texts
+    return ordered
 
 
 def order_rules(
-    docs: DataFrame, text: str, key: str, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS
+    docs: DataFrame, text: str, key: str, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS,
+    base: Sequence[Rule] = (), report: Sequence[str] = (),
 ) -> list[Rule]:
-    """Rules by rejections per second on about ``sample_rows`` rows that a hash of the key chooses."""
+    """Rules in greedy order by a random sample of about ``sample_rows`` rows, whatever their keys and texts."""
     total = docs.select(F.count("*")).first()[0]
-    parts = 1 << 30
-    share = min(parts, parts * sample_rows // max(total, 1) + 1)
-    sample = docs.where(F.pmod(F.xxhash64(F.col(key), F.lit("rules")), F.lit(parts)) < share)
-    seen = estimate(sample, text, rules)
-    worth = {r.name: (seen.get(r.name, (0.0, 0))[1] + 0.5) / (seen.get(r.name, (0.0, 0))[0] + 1e-6) for r in rules}
-    return sorted(rules, key=lambda r: -worth[r.name])
+    sample = docs.where(F.rand(17) < sample_rows / max(total, 1))
+    return greedy_order(rules, estimate(sample, text, rules, base, report))
 
 
 def cascade(
@@ -254,7 +312,7 @@ def cascade(
     All of ``base`` is evaluated; the documents it leaves go through ``rules`` in the estimated order.
     Features in ``report`` are computed for every document, all others only where a rule asks.
     """
-    ordered = order_rules(docs, text, key, rules, sample_rows)
+    ordered = order_rules(docs, text, key, rules, sample_rows, base, report)
 
     def work(texts: pa.Array) -> dict[str, object]:
         data, offsets = text_bytes(texts)
