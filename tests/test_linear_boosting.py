@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -117,6 +119,31 @@ def test_trees_match_a_plain_version():
         assert np.allclose(np.concatenate([b.margins for b in parts]), margins)
 
 
+def test_the_driver_gets_the_best_cuts_only(spark):
+    rng = np.random.default_rng(3)
+    n, n_terms, n_bins = 400, 3000, 6
+    grid = rng.integers(1, n_bins, (n, n_terms)) * (rng.random((n, n_terms)) < 0.1)
+    label = rng.integers(0, 3, n)
+    blocks = []
+    for rows in np.array_split(np.arange(n), 5):
+        row, term = np.nonzero(grid[rows])
+        blocks.append(boosting.Block(label[rows], np.zeros((len(rows), 3)), row * n_terms + term, grid[rows][row, term]))
+    held = spark.sparkContext.parallelize(blocks, 3)
+    whole, dealt = boosting.Tree.empty(3), boosting.Tree.empty(3)
+    for depth in range(3):
+        sums = None
+        for block in blocks:
+            sums = boosting.merged(sums, boosting.level_sums(block, whole, n_terms, n_bins, depth))
+        parts = boosting._level(held, dealt, n_terms, n_bins, depth)
+        assert len(pickle.dumps(parts)) < 30_000  # sums of all terms and bins: 400 kB and more
+        assert abs(parts[0].loss - sums.loss) < 1e-9
+        assert boosting.apply_cuts(dealt, parts, depth == 2) == boosting.split(whole, sums, n_terms, n_bins, depth == 2)
+    assert (whole.term == dealt.term).all() and (whole.cut == dealt.cut).all() and np.allclose(whole.value, dealt.value)
+    empty = spark.sparkContext.parallelize([boosting.Block(label, np.zeros((n, 3)), np.zeros(0, int), np.zeros(0, int))], 2)
+    parts = boosting._level(empty, boosting.Tree.empty(2), n_terms, n_bins, 0)
+    assert not boosting.apply_cuts(boosting.Tree.empty(2), parts, False) and parts[0].loss > 0
+
+
 def test_boosting_learns_and_is_stored(spark, labelled, tmp_path):
     with_gaps = labelled.union(spark.createDataFrame([(500, "weak loss", 7), (501, "gain", None)], labelled.schema))
     model = training.train_model("gradient_boosting", with_gaps, maxIter=12, maxDepth=2)
