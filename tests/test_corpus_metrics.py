@@ -2,7 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from tonewright.operators import corpus, metrics
+from tonewright.operators import corpus, importance, metrics, tfidf
 from tonewright.operators.split import stratified_split
 
 
@@ -91,3 +91,29 @@ def test_no_overlap_after_deduplication(spark):
     unique = corpus.drop_duplicate_sentences(df)
     assert unique.count() == 50
     assert corpus.split_overlap(stratified_split(unique)).count() == 0
+
+
+def test_weights_compute_the_length_of_a_text_once(texts):
+    rows = texts("gain gain loss", " ".join(f"word{i % 700}" for i in range(3000)), "", None, "loss")
+    vocab = tfidf.fit_vocabulary(rows, min_df=1, max_df=1.0)
+    weighed = tfidf.weigh_rows(rows, vocab)
+    plan = weighed._jdf.queryExecution().optimizedPlan().toString()
+    assert "SQRT(aggregate(" not in plan  # inside the division of each weight
+    for r in weighed.collect():
+        assert len(r.term_no) == len(r.tfidf) and abs(sum(w * w for w in r.tfidf) - (1 if r.tfidf else 0)) < 1e-9
+
+
+def test_term_stats_are_those_of_the_counts(texts):
+    rows = texts("gain gain loss gain", "loss gain loss", "", None, "x", "Gain Gain")
+    plain = tfidf.term_document_stats(tfidf.term_counts(rows))
+    assert sorted(map(tuple, tfidf.term_stats(rows).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_known_words_are_computed_once_for_a_text(spark):
+    rows = spark.createDataFrame([(["a", "b"], ["b", "c", "c"]), ([], ["a"]), (None, ["a"])], "ranked array<string>, words array<string>")
+    ranked = F.transform("ranked", lambda w: F.struct(w.alias("word"), F.lit(1.0).alias("score")))
+    known = F.transform("ranked", lambda w: F.upper(F.lower(w)))
+    told = rows.select(importance.append_unseen(ranked, F.transform(known, F.lower), F.col("words")).alias("x"))
+    lines = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains(transform(" not in lines
+    assert [r.x and [w.word for w in r.x] for r in told.collect()] == [["a", "b", "c", "c"], ["a"], None]
