@@ -245,3 +245,25 @@ def test_network_stops_early_keeps_the_best_and_goes_on(spark, labelled, tmp_pat
     assert sum(r.prediction.prediction == r.label for r in one) > 80
     more = network.fit(features, data, maxIter=1, start=again)
     assert abs(more.curve[0][1] - max(shares)) < 1e-9
+
+
+def test_the_driver_gets_one_gradient(spark):
+    rng = np.random.default_rng(5)
+    terms, blocks = 400, []
+    for _ in range(12):
+        size = rng.integers(0, 40, 20)
+        term = np.concatenate([np.sort(rng.choice(terms, n, False)) for n in size]).astype(np.int64)
+        blocks.append(network.Rows(rng.integers(0, 3, 20), rng.random(20) < 0.1, np.cumsum([0, *size]), term, rng.random(len(term)).astype(np.float32)))
+    weights = network.initial(terms, 1)
+    whole = None
+    for block in blocks:
+        whole = network.merged(whole, network.epoch_part(block, weights))
+    parts = network.gradient_parts(spark.sparkContext.parallelize(blocks, 12), spark.sparkContext.broadcast(weights))
+    assert sum(p.first.nbytes for p in parts) <= weights[0].nbytes  # each task's part: several times as much
+    found = np.concatenate([p.terms for p in parts])
+    order = np.argsort(found)
+    assert (found[order] == whole.terms).all()
+    assert np.allclose(np.concatenate([p.first for p in parts])[order], whole.first, atol=1e-5)
+    rest = [p for p in parts if p.others]
+    assert len(rest) == 1 and (rest[0].seen, rest[0].held, rest[0].hits) == (whole.seen, whole.held, whole.hits)
+    assert abs(rest[0].loss - whole.loss) < 1e-9 and all(np.allclose(x, y, atol=1e-5) for x, y in zip(rest[0].others, whole.others))
