@@ -122,3 +122,18 @@ def test_deep_trees_on_the_given_tables(spark):
     train = catalog.training_data(spark, "/root/testdata/sf0.01").where("split = 'train'")
     model = training.train_model("random_forest", train, numTrees=6)
     assert 30 < model.nodes(spark).agg(F.max("depth")).first()[0] <= 50
+
+
+def test_small_nodes_grow_in_one_task_to_the_same_trees(spark, noisy, monkeypatch):
+    """A tree is the same whether its nodes are split level by level over all rows or below small nodes in one task, which
+    takes no job for a level."""
+    searched, jobs, grown = forest._searched, [], {}
+    monkeypatch.setattr(forest, "_searched", lambda *args: jobs.append(1) or searched(*args))
+    for cells in (0, 150, 4_000_000):
+        monkeypatch.setattr(forest, "CELLS", cells)
+        jobs.clear()
+        model = training.train_model("random_forest", noisy, numTrees=3, minRows=2)
+        grown[cells] = [as_paths(tree) for tree in model.trees], len(jobs)
+    (far, n_far), (some, n_some), (near, n_near) = grown.values()
+    assert far == some == near and any(len(tree) > 30 for tree in far)
+    assert n_far > n_some > 0 == n_near
