@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +228,28 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     want = live.analyze_stream(batch)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_folds_and_classes_of_calibrated_svms_are_fitted_side_by_side(spark, monkeypatch):
+    rows = [(i, f"{'good' if i % 3 == 2 else 'bad' if i % 3 == 0 else 'calm'} thing {i % 5}", i % 3) for i in range(90)]
+    train = spark.createDataFrame(rows, "doc_id long, sentence string, label int")
+    features = training.fit_features(train)
+    data = training.vectors(features, train, ["doc_id", "label"]).cache()
+    together, make = threading.Barrier(3, timeout=30), training.classifier
+
+    def meeting(name, n_rows, **changes):
+        together.wait()  # breaks unless three folds come here at a time
+        made = make(name, n_rows, **changes)
+        assert made.getParallelism() == 3
+        return made
+
+    apart = [make("svm", 1).getOrDefault("parallelism")]
+    monkeypatch.setattr(training, "classifier", meeting)
+    model = training.CalibratedSvm.fit(data, maxIter=5)
+    assert len(model.members) == 3 and len(model.sigmoids) == 3 and apart == [3]
+    placed = training.with_folds(data, "doc_id", 3)
+    for fold, member in enumerate(model.members):  # each saw the rows of the other folds, as if fitted alone
+        seen, n_rows = training.with_weights(placed.where(F.col("_fold") != fold))
+        alone = make("svm", n_rows, maxIter=5).fit(seen)
+        for one, two in zip(member.models, alone.models):
+            assert abs(one.coefficients.toArray() - two.coefficients.toArray()).max() < 1e-9
