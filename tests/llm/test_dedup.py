@@ -7,6 +7,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from tonewright.llm import components, embeddings, minhash, queries, suffix
+from tonewright.llm.common import checkpoint
 from tonewright.sources.tables import table
 
 RNG = random.Random(3)
@@ -305,3 +306,14 @@ def test_many_small_tiles(spark, monkeypatch):
     expected = brute.near_duplicates(rows, 90)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, percent=90).collect()}
     assert got == expected
+
+
+def test_components_make_no_round_in_vain(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(components, "checkpoint", lambda df: made.append(1) or checkpoint(df))
+    star = frame(spark, [(1, n) for n in range(2, 40)] + [(50, 51), (52, 50)], "a long, b long")
+    told = {r.node: r.component for r in components.connected_components(star).collect()}
+    assert told == {**{n: 1 for n in range(1, 40)}, **{n: 50 for n in (50, 51, 52)}}
+    assert len(made) == 1  # the links alone
+    chain = frame(spark, [(n, n + 1) for n in range(30)], "a long, b long")
+    assert {r.component for r in components.connected_components(chain).collect()} == {0}

@@ -304,8 +304,8 @@ def near_duplicates(
         .join(sizes, "a").where(close).select("a", "b")
     )
     links = checkpoint(verify(first_pairs, docs, size, percent))
-    found = connected_components(links)
-    found = entries.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    stars = connected_components(links)
+    found = entries.join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "entry", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
     )
     mixed = found.groupBy("entry").agg(
@@ -324,6 +324,8 @@ def near_duplicates(
         .join(first_pairs, ["a", "b"], "left_anti")
     )
     many = found.where(F.col("n") > SMALL).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
+    # the stars stand for the links they came from, so the last components go on from there
+    links = stars.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     links = links.union(verify_groups(connected_components(many), docs, size, percent))
     links = links.union(verify(rest, docs, size, percent))
     found = connected_components(links)
