@@ -2,8 +2,10 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from tonewright.functions import scores
 from tonewright.operators import corpus, importance, metrics, tfidf
 from tonewright.operators.split import stratified_split
+from tonewright.plans.catalog import s6
 
 
 def test_metrics_golden(spark):
@@ -117,3 +119,15 @@ def test_known_words_are_computed_once_for_a_text(spark):
     lines = told._jdf.queryExecution().optimizedPlan().toString()
     assert "array_contains(transform(" not in lines
     assert [r.x and [w.word for w in r.x] for r in told.collect()] == [["a", "b", "c", "c"], ["a"], None]
+
+
+def test_quick_rounding_is_that_of_spark(spark):
+    numbers = [0.0, -0.0, 1e-7, -1e-7, 5e-7, -5e-7, 0.1234565, -0.1234565, 1.0000005, 2.5e-6, 99999.1234565, 1e5, 1e300,
+               float("nan"), float("inf"), float("-inf"), None, 0.30000000000000004, 1.4999995, -1e-320]
+    given = spark.createDataFrame([(x,) for x in numbers], "x double")
+    drawn = spark.range(200_000).select(((F.rand(3) - 0.5) * F.pow(F.lit(10.0), F.rand(4) * 9 - 4)).alias("x"))
+    near = spark.range(20_000).select(((F.col("id") - 10_000) / 1e6 + 5e-7 + (F.col("id") % 5 - 2) * 1e-11).alias("x"))
+    rows = given.union(drawn).union(near)
+    assert rows.where(~scores.rounded(F.col("x")).eqNullSafe(F.round("x", 6))).count() == 0
+    plan = spark.range(1).select(F.lit(0.5).alias("tfidf")).withColumn("tfidf", s6("tfidf"))
+    assert "rint(" in plan._jdf.queryExecution().analyzed().toString().lower()
