@@ -3,7 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from tonewright.functions import scores
-from tonewright.operators import corpus, importance, metrics, tfidf
+from tonewright.operators import corpus, features, importance, metrics, reasoning, tfidf
 from tonewright.operators.split import stratified_split
 from tonewright.plans.catalog import s6
 
@@ -131,3 +131,13 @@ def test_quick_rounding_is_that_of_spark(spark):
     assert rows.where(~scores.rounded(F.col("x")).eqNullSafe(F.round("x", 6))).count() == 0
     plan = spark.range(1).select(F.lit(0.5).alias("tfidf")).withColumn("tfidf", s6("tfidf"))
     assert "rint(" in plan._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_linguistic_block_computes_no_explanation(spark):
+    texts = spark.createDataFrame([(1, "Profit rose 5% at Acme Inc.", "positive", 0.9)],
+                                  "doc_id long, text string, model_label string, model_confidence double")
+    full = reasoning.comprehensive_explanation(texts).select("linguistic_analysis")
+    assert "Mildly positive" not in full._jdf.queryExecution().optimizedPlan().toString()
+    block, record = full.first()[0], features.analyze(texts).first()
+    assert (block.lexicon_sentiment_score, block.uncertainty_level) == (record.sentiment.score, record.linguistic.uncertainty_score)
+    assert block.positive_words_found == record.features.positive_words and block.entities_found == record.entities

@@ -18,6 +18,7 @@ SCORES = (
     "sentiment_score", "uncertainty_score", "subjectivity_score",
     "has_negation", "negation_count", "exclamation_count", "question_count",
 )
+LISTED = 10  # items of a list that the analysis record shows
 
 
 def normalized_tokens(
@@ -152,10 +153,15 @@ def explain_features() -> Column:
     )
 
 
+def entities() -> Column:
+    """The entities of a frame with features as one record."""
+    return F.struct("percentages", "currencies", "companies")
+
+
 def analyze(df: DataFrame, text: str = "text", lexicon: Lexicon | None = None) -> DataFrame:
     """Nested analysis record per row: sentiment, features, entities, linguistic."""
     full = add_sentiment(extract_features(df, text, lexicon))
-    capped = {n: F.slice(F.col(n), 1, 10).alias(n) for n in
+    capped = {n: F.slice(F.col(n), 1, LISTED).alias(n) for n in
               ("positive_words", "negative_words", "uncertainty_words", "numbers", "companies")}
     return full.select(
         *[F.col(c) for c in df.columns],
@@ -168,7 +174,7 @@ def analyze(df: DataFrame, text: str = "text", lexicon: Lexicon | None = None) -
             capped["uncertainty_words"], "percentages", "currencies", capped["numbers"],
             capped["companies"], *SCORES,
         ).alias("features"),
-        F.struct("percentages", "currencies", "companies").alias("entities"),
+        entities().alias("entities"),
         F.struct(
             "word_count", "sentence_count", "avg_word_length", "has_negation",
             "uncertainty_score", "subjectivity_score",
