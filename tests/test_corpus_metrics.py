@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tonewright.functions import scores
 from tonewright.operators import corpus, features, importance, metrics, reasoning, tfidf
 from tonewright.operators.split import stratified_split
+from tonewright.plans import catalog
 from tonewright.plans.catalog import s6
 
 
@@ -141,3 +142,12 @@ def test_linguistic_block_computes_no_explanation(spark):
     block, record = full.first()[0], features.analyze(texts).first()
     assert (block.lexicon_sentiment_score, block.uncertainty_level) == (record.sentiment.score, record.linguistic.uncertainty_score)
     assert block.positive_words_found == record.features.positive_words and block.entities_found == record.entities
+
+
+def test_coef_lookup_sends_out_the_coefficients(spark, tmp_path):
+    rows = [(n, n % 7, "OFP"[n % 3], 1000.0 * n, "1-URGENT") for n in range(1, 400)]
+    spark.createDataFrame(
+        rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    plan = catalog.coef_lookup(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan  # the weights stay where they are
