@@ -151,3 +151,21 @@ def test_coef_lookup_sends_out_the_coefficients(spark, tmp_path):
     ).write.parquet(str(tmp_path / "orders.parquet"))
     plan = catalog.coef_lookup(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan  # the weights stay where they are
+
+
+def test_words_are_ranked_by_numbers_as_by_their_items(texts):
+    rows = texts("beta alpha gamma delta", "delta delta beta", " ".join(f"word{i % 40}" for i in range(90)), "", None)
+    vocab = tfidf.fit_vocabulary(rows, min_df=1, max_df=1.0)
+    weighed = tfidf.weigh_rows(rows, vocab)
+    lambdas = weighed._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction")
+    assert lambdas == 1  # the pairs; weights are left to compiled loops
+    n = len(vocab.terms)
+    some = tuple(None if i % 5 == 0 else float(i % 3) for i in range(n))
+    for factors in ((1.0,) * n, some, (None,) * n, (1e12,) * n):  # the last don't fit into the numbers
+        scores = importance.WordScores(vocab, factors, tuple("positive" if i % 2 else "neutral" for i in range(n)))
+        plain = importance.add_importance(weighed, scores).select(
+            "doc_id", importance.top_items(F.col("importance"), 7).alias("word_importance"))
+        listed = importance.importance_lists(weighed, scores, 7)
+        assert sorted(map(str, listed.collect())) == sorted(map(str, plain.collect()))
+        by_items = "round(" in listed._jdf.queryExecution().optimizedPlan().toString()
+        assert by_items == (factors[0] == 1e12)
