@@ -144,6 +144,71 @@ def test_the_driver_gets_the_best_cuts_only(spark):
     assert not boosting.apply_cuts(boosting.Tree.empty(2), parts, False) and parts[0].loss > 0
 
 
+def test_columns_give_the_trees_of_rows(spark, labelled, monkeypatch):
+    """Weights dealt by term once give the trees that sums over blocks of rows give, in one group of rows and in several, and
+    a level takes one job of the rows' columns."""
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(60)])
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 25))), int(rng.integers(0, 3))) for i in range(300)]
+    texts = spark.createDataFrame([*rows, (900, "", 1), (901, "w1", None)], "doc_id long, sentence string, label int").repartition(3)
+    features = training.fit_features(texts)
+    data = training.vectors(features, texts, ["label"]).persist()
+    facts, n_terms, counted, cuts, n_cells = boosting.training_facts(data)
+    assert n_cells == sum((r.v["values"] > np.zeros(1)).sum() for r in facts.collect() if len(r.v["values"]))
+    prior = [float(np.log(counted[c] / 301)) for c in range(3)]
+    blocks = facts.rdd.mapPartitions(lambda part: boosting.packed(part, np.array(cuts), n_terms, prior)).collect()
+    sent = list(boosting._sent(0, iter(blocks), 1, 2, n_terms, len(cuts) + 2))
+    part = next(boosting._together((x for x in sent if x[0] == 1), 2, n_terms, len(cuts) + 2, prior))
+    root = np.ones((3, len(part.label)), np.uint8)
+    whole = boosting.column_cuts(part, root, (3, 4), len(cuts) + 2, 0)
+    monkeypatch.setattr(boosting, "NEAR", 70)  # tables and weights come in steps
+    steps = boosting.column_cuts(part, root, (3, 4), len(cuts) + 2, 0)
+    assert len(whole.owner) == 3 and all(np.allclose(x, y) for x, y in zip(vars(whole).values(), vars(steps).values()))
+    jobs, level = [], boosting._cuts
+    monkeypatch.setattr(boosting, "_cuts", lambda *args: jobs.append(1) or level(*args))
+    for rows_of_a_group in (1_000, 120):
+        monkeypatch.setattr(boosting, "GROUP", rows_of_a_group)
+        jobs.clear()
+        model = boosting.fit(features, data, maxIter=4, maxDepth=4)
+        assert len(jobs) == 4 * 4 + 1
+        held = blocks
+        for number, tree in enumerate(model.trees):
+            loss = sum(boosting.loss_of(b.label, boosting.probabilities(b.margins)) for b in held) / 301
+            assert abs(loss - model.losses[number]) < 1e-9
+            plain = boosting.Tree.empty(4)
+            for depth in range(4):
+                sums = None
+                for block in held:
+                    sums = boosting.merged(sums, boosting.level_sums(block, plain, n_terms, len(cuts) + 2, depth))
+                # cuts of equal gain may differ: the gains are compared, then the cuts of the model are made
+                best = boosting.best_cuts(sums, n_terms, len(cuts) + 2)
+                gain = dict(zip(best.owner.tolist(), best.gain))
+                nodes = plain.term.shape[1]
+                inner = np.flatnonzero((tree.term >= 0).ravel() & (np.arange(tree.term.size) % nodes >> depth == 1))
+                assert set(inner.tolist()) == set(gain)
+                place, bin_ = np.divmod(sums.keys, len(cuts) + 2)
+                totals = sums.totals.reshape(-1, 3)
+                for owner in inner.tolist():
+                    term, cut = tree.term.ravel()[owner], tree.cut.ravel()[owner]
+                    right = sums.cells[:, (place == owner * n_terms + term) & (bin_ >= cut)].sum(axis=1)
+                    parts = [x[1] ** 2 / x[0] for x in (right, totals[owner] - right, totals[owner])]
+                    assert abs(parts[0] + parts[1] - parts[2] - gain[owner]) < 1e-9
+                plain.term.ravel()[inner], plain.cut.ravel()[inner] = tree.term.ravel()[inner], tree.cut.ravel()[inner]
+            for c in range(3):  # the values of leaves, from the rows that come to them
+                node = np.concatenate([boosting.nodes_of(b, tree, c, n_terms) for b in held])
+                weights = [boosting.gradients(b.label, boosting.probabilities(b.margins), c) for b in held]
+                gradient, curvature = (np.concatenate(x) for x in zip(*weights))
+                for leaf in np.unique(node):
+                    mine = node == leaf
+                    assert abs(tree.value[c, leaf] - 2 / 3 * gradient[mine].sum() / curvature[mine].sum()) < 1e-9
+            held = [boosting.after(b, tree, n_terms, 0.1) for b in held]
+        known = facts.rdd.map(lambda r: r.label).collect()
+        assert sorted(known) == sorted(np.concatenate([b.label for b in held]).tolist())
+        scores = boosting.Scores(model.trees, n_terms, 0.1)
+        for before, block in zip(blocks, held):
+            assert np.allclose(scores(before), block.margins, atol=1e-12)
+
+
 def test_boosting_learns_and_is_stored(spark, labelled, tmp_path):
     with_gaps = labelled.union(spark.createDataFrame([(500, "weak loss", 7), (501, "gain", None)], labelled.schema))
     model = training.train_model("gradient_boosting", with_gaps, maxIter=12, maxDepth=2)
