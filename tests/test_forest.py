@@ -137,3 +137,27 @@ def test_small_nodes_grow_in_one_task_to_the_same_trees(spark, noisy, monkeypatc
     (far, n_far), (some, n_some), (near, n_near) = grown.values()
     assert far == some == near and any(len(tree) > 30 for tree in far)
     assert n_far > n_some > 0 == n_near
+
+
+def test_weights_are_found_by_look_up(monkeypatch):
+    """The weights of rows in the runs of their nodes, as a comparison of every weight with every run finds them; rows without
+    weights, empty and whole ranges included."""
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(forest, "STEP", 7)
+    n_terms, n = 90, 50
+    for share in (0.0, 0.02, 0.3, 1.0):
+        grid = rng.integers(1, 9, (n, n_terms)) * (rng.random((n, n_terms)) < share)
+        grid[10:13] = 0
+        row, term = np.nonzero(grid)
+        rows = forest.Block(rng.integers(0, 3, n), np.zeros((n, 3)), row * n_terms + term, grid[row, term])
+        places = forest.Places(rows, n_terms)
+        assert len(places.begin) <= 1 + max(len(rows.cells), n) * 2  # grows with the weights, not with rows x terms
+        look = forest.Look(np.zeros((6, 4)), np.arange(6, dtype=np.uint64) * np.uint64(77), np.array([1, 5, 9, 40, 89, 90]))
+        begin, end = look.runs(n_terms)
+        who = np.sort(rng.choice(n, 30, False))
+        at = rng.integers(0, 6, 30)
+        cell, owner = places.within(who, at, begin, end)
+        expected = [(w, t) for i, w in enumerate(who) for t in np.flatnonzero(grid[w]) if ((begin[at[i]] <= t) & (t < end[at[i]])).any()]
+        assert sorted(zip(row[cell], term[cell])) == expected and (who[owner] == row[cell]).all()
+        asked = rng.integers(0, n_terms, 30)
+        assert (places.bins_at(who, asked) == grid[who, asked]).all()
